@@ -11,10 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: ASCII capitals to small letters; every other byte stays.
-SPACES = r"\x20\x09-\x0D"
-
-
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of the session; a folder of its own only in local mode without that setting."""
     at = spark.conf.get("spark.checkpoint.dir", None)
@@ -43,16 +39,17 @@ def remainder(id_col: str, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-def annotate(df: DataFrame, fields: Sequence[T.StructField], rows: Callable[[list], Iterator[tuple]], text: str) -> DataFrame:
-    """df with fields added, computed by rows from the values of column text; a column of df named like a field gives way to it.
+def annotate(df: DataFrame, fields: Sequence[T.StructField], rows: Callable[..., Iterator[tuple]], *inputs: str) -> DataFrame:
+    """df with fields added, computed by rows from the values of the inputs; a column of df named like a field gives way to it.
 
-    rows gets the texts of one Arrow batch and yields one tuple for each, in order.
+    rows gets a list of values for each input column and yields one tuple for each row, in order.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
     names = {f.name.lower() for f in fields}
     kept = [f for f in df.schema.fields if f.name.lower() not in names]
-    source = df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text}`").cast("string").alias("__text"))
+    source = df.select(*[F.col(f"`{f.name}`") for f in kept], *[F.col(f"`{c}`").alias(f"__input{k}") for k, c in enumerate(inputs)])
+    n = len(kept)
     kinds = [(f.name, to_arrow_type(f.dataType)) for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,9 +59,9 @@ def annotate(df: DataFrame, fields: Sequence[T.StructField], rows: Callable[[lis
             # small slices: Python copies of a few texts at a time, however long they are
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                made = list(zip(*rows(part.column(part.num_columns - 1).to_pylist())))
-                arrays = part.columns[:-1] + [pa.array(v, type=k) for v, (_, k) in zip(made, kinds)]
-                yield pa.RecordBatch.from_arrays(arrays, names=part.schema.names[:-1] + [n for n, _ in kinds])
+                made = zip(*rows(*[c.to_pylist() for c in part.columns[n:]]))
+                arrays = part.columns[:n] + [pa.array(v, type=k) for v, (_, k) in zip(made, kinds)]
+                yield pa.RecordBatch.from_arrays(arrays, names=part.schema.names[:n] + [x for x, _ in kinds])
 
     return source.mapInArrow(run, T.StructType([*kept, *fields]))
 
