@@ -8,8 +8,8 @@ from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm import ann, bpe, brown_lm, chat, decontaminate, language_id, pii, simhash
-from docmill.llm._util import remainder, table
+from docmill.llm import ann, bpe, brown_lm, chat, decontaminate, html_extract, language_id, pii, simhash, token_counts
+from docmill.llm._util import remainder, scratch_path, table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,15 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), path("byte_bpe_50k.tiktoken")).drop("text")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_counts.document_counts(docs, scratch_path(spark, "tokens"), path("byte_bpe_50k.tiktoken"), eod=50256).select("doc_id", "n_tokens")
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(table(spark, sf_dir, "conversations"))
 
@@ -48,6 +57,6 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.where(F.col("vec_id") % 100 == 0))
 
 
-_ALL = (op1_language_id, op2_simhash_near_dedup, op3_byte_bpe, op6_chat_formatting, op7_decontamination, op8_pii, op9_lm_scoring, op10_nearest_neighbours)
+_ALL = (op1_language_id, op2_simhash_near_dedup, op3_byte_bpe, op4_token_counts, op5_html_extraction, op6_chat_formatting, op7_decontamination, op8_pii, op9_lm_scoring, op10_nearest_neighbours)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 ORACLE_SQL: dict[str, str] = {"op6_chat_formatting": chat.SQL}

@@ -54,6 +54,10 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     return annotate(docs, [T.StructField("fp", T.LongType())], rows, text)
 
 
+def _hex(fp: str) -> Column:
+    return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
 def _budget(boxes: int) -> int:
     return MAX_BITS * boxes // 7
 
@@ -123,7 +127,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", chain: int = 2) -> DataFrame:
-    """One row per row of docs: id, fingerprint (16 hex digits), n_near, component_id.
+    """One row per row of docs: id, fingerprint (16 hex digits), n_near, component_id, group (one fingerprint of the component, as its key).
 
     Null or wordless texts have fingerprint zero and link to each other; rows that repeat count as rows of their own;
     a null id counts as a row and is never a component's least id unless there is no other; no rows give no rows.
@@ -137,13 +141,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     joined = nodes.join(near, "fp", "left").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     joined = written(joined.select("fp", "n", "least", F.coalesce("near", F.lit(0)).alias("near"), "root"), "joined")
     linked = joined.where("root IS NOT NULL")
-    least = linked.groupBy("root").agg(F.min("least").alias("component"))
-    about = joined.where("root IS NULL").select("fp", (F.col("n") - 1).alias("n_near"), F.col("least").alias("component_id")).unionAll(linked.join(least, "root").select("fp", (F.col("n") - 1 + F.col("near")), "component"))
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    copies = (F.col("n") - 1).alias("n_near")
+    about = joined.where("root IS NULL").select("fp", copies, F.col("least").alias("component_id"), F.col("fp").alias("root")).unionAll(linked.join(least, "root").select("fp", copies + F.col("near"), "component_id", "root"))
     # a fingerprint shared by a third of all rows: the join below splits it by salt on the one side, copies on the other
     salts = 8
     salted = about.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return (
         fps.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
         .join(salted, ["fp", "salt"])
-        .select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "n_near", "component_id")
+        .select(F.col("id").alias(id_col), _hex("fp").alias("fingerprint"), "n_near", "component_id", _hex("root").alias("group"))
     )
