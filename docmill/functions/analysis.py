@@ -10,10 +10,12 @@ import pandas as pd
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docmill.errors import RequestError
 
 STOP_WORDS = tuple("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
+_TOKENS = T.ArrayType(T.StringType())
 _WORDS, _LETTERS = r"[\p{L}\p{M}\p{N}_]+", r"\p{L}+"
 
 
@@ -28,10 +30,10 @@ def _found(pattern: str, c: Column) -> Column:
 
 
 def _without_stops(c: Column) -> Column:
-    return F.array_except(c, F.array()) if not STOP_WORDS else F.filter(c, lambda x: ~x.isin(*STOP_WORDS))
+    return F.filter(c, lambda x: ~x.isin(*STOP_WORDS))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(_TOKENS)
 def _stems(tokens: pd.Series) -> pd.Series:
     return tokens.map(lambda ts: None if ts is None else [stem(t) for t in ts])
 
@@ -59,7 +61,7 @@ _REGISTRY: dict[str, Analyzer] = {
 def register(name: str, column: Callable[[Column], Column] | None, tokens: Callable[[str], list[str]]) -> None:
     """Add an analyzer. Without a column function its tokens run in a pandas UDF."""
     if column is None:
-        udf = F.pandas_udf(lambda s: s.map(lambda x: None if x is None else list(tokens(x))), "array<string>")
+        udf = F.pandas_udf(lambda s: s.map(lambda x: None if x is None else list(tokens(x))), _TOKENS)
         column = udf
     _REGISTRY[_key(name)] = Analyzer(column, tokens)
 

@@ -1,6 +1,7 @@
 """The query language, compiled: each query gives a boolean column and a score column.
 
-Errors of a query are raised when it is compiled. Predicates never are null, so that they can be negated. Scores are
+Errors of a query are raised when it is compiled. A predicate that is null counts as false, as in a filter, so that
+leaves stay plain comparisons, which Spark pushes to the scan; only what is negated is made false first. Scores are
 built from literals: the statistics that BM25 needs of the terms in a query are gathered in one pass beforehand.
 """
 
@@ -66,7 +67,7 @@ class Constant(Query):
     predicate: Column
 
     def matches(self) -> Column:
-        return F.coalesce(self.predicate, F.lit(False))
+        return self.predicate
 
 
 class Everything(Query):
@@ -93,7 +94,7 @@ class Holds(Query):
         return (self.term,)
 
     def matches(self) -> Column:
-        return F.coalesce(self.held, F.lit(False))
+        return self.held
 
     def score(self, stats: Stats) -> Column:
         idf = stats.idf(self.term)
@@ -119,7 +120,7 @@ class Bool(Query):
         needed = [q.matches() for q in (*self.filters, *self.must)]
         if not needed:  # then one of should is needed; must_not alone matches nothing
             needed = [_any([q.matches() for q in self.should])]
-        return _all(needed + [~q.matches() for q in self.must_not])
+        return _all(needed + [~F.coalesce(q.matches(), F.lit(False)) for q in self.must_not])
 
     def score(self, stats: Stats) -> Column:
         parts = [q.score(stats) for q in self.must] + [F.when(q.matches(), q.score(stats)).otherwise(0.0) for q in self.should]
@@ -255,7 +256,7 @@ class _AnyToken(Bool):
     wanted: tuple[str, ...]
 
     def matches(self) -> Column:
-        return F.coalesce(F.arrays_overlap(self.tokens, F.array(*map(F.lit, self.wanted))), F.lit(False))
+        return F.arrays_overlap(self.tokens, F.array(*map(F.lit, self.wanted)))
 
 
 def _bool(spec: Mapping, index: Index) -> Query:
