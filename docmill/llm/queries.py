@@ -59,4 +59,4 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (op1_language_id, op2_simhash_near_dedup, op3_byte_bpe, op4_token_counts, op5_html_extraction, op6_chat_formatting, op7_decontamination, op8_pii, op9_lm_scoring, op10_nearest_neighbours)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
-ORACLE_SQL: dict[str, str] = {"op6_chat_formatting": chat.SQL}
+ORACLE_SQL: dict[str, str] = {"op6_chat_formatting": chat.SQL, "op7_decontamination": decontaminate.SQL}
