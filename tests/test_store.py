@@ -43,14 +43,14 @@ def test_bulk_order_and_outcomes(store, tmp_path):
 
 
 def test_single_writes(store):
-    assert store.put("books", {"title": "Lucene in Action", "pages": 300}, "1")["result"] == "indexed"
+    assert store.put("books", {"title": "Searching in Action", "pages": 300}, "1")["result"] == "indexed"
     assert store.put("books", {"pages": 1}, "2", create=True)["result"] == "created"
     with pytest.raises(Conflict):
         store.put("books", {"pages": 2}, "2", create=True)
     assert store.delete("books", "absent")["result"] == "deleted"
     store.put("books", {"title": "again"}, "1", routing="elsewhere")
     assert len(ids(store)) in (2, 3)  # an id is unique within its shard
-    assert ids(store, {"query": {"match": {"title": "LUCENE"}}}) in (["1"], [])
+    assert ids(store, {"query": {"match": {"title": "SEARCHING"}}}) in (["1"], [])
     with pytest.raises(RequestError):
         store.put("books", "[1]", "3")
 
