@@ -40,10 +40,13 @@ _CLOSED_BY = {
 _ATTR = re.compile(r"([a-zA-Z_:-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _CUES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner\w*|sponsor\w*|promo\w*|popup|modal|overlay|cookies?|consent|gdpr|notice\w*|alert|newsletter|subscribe|signup|login|social|shar(?:e|ing)|related|recommend\w*|trending|popular|"
-    r"side-?bar\w*|widget\w*|menu\w*|nav\w*|breadcrumb\w*|pager|paginat\w*|foot\w*|masthead|site-?header|page-?header|top-?bar|comment\w*|disqus|repl(?:y|ies)|discussion|responses?|reviews?|feedback|toc|tags?|byline-?ad|copyright|legal|disclaimer|skip\w*|hidden|toolbar|search\w*)(?=$|[\s_-]|\d)",
+    r"side-?bar\w*|(?:left|right)-?(?:col\w*|rail)|widget\w*|\w*menu\w*|nav\w*|\w+nav|breadcrumb\w*|pager|paginat\w*|foot\w*|\w+footer|masthead|site-?header|page-?header|top-?bar|comment\w*|disqus|repl(?:y|ies)|discussion|responses?|reviews?|feedback|toc|tags?|byline-?ad|copyright|legal|disclaimer|skip\w*|hidden|toolbar|search\w*)(?=$|[\s_-]|\d)",
     re.I,
 )
 _MAIN_CUES = re.compile(r"(?:^|[\s_-])(?:article\w*|main\w*|content\w*|post|entry|story|body-?text|post-?body|entry-?content|text)(?=$|[\s_-])", re.I)
+_HEADER = re.compile(r"(?:^|\s)\w*header(?=$|\s)", re.I)
+#: A heading after which the rest of its parent is readers' words.
+_READERS = re.compile(r"(?:\d+ )?(?:reader |user )?(?:comments?|commentaires?|kommentare?|comentarios?|responses?|replies)(?: ?\(\d+\))?:?|leave a (?:comment|reply)|join the (?:discussion|conversation)", re.I)
 _BAD_TAGS = frozenset("nav footer aside form menu dialog fieldset search".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
@@ -65,7 +68,7 @@ def _open(tag: str, attrs: str, parent: _Element | None, number: int) -> _Elemen
         for name, *values in _ATTR.findall(attrs):
             name, value = name.lower(), "".join(values)
             if name in ("class", "id"):
-                if _CUES.search(value) and tag not in ("body", "html", "article", "main"):
+                if (_CUES.search(value) or not main and _HEADER.search(value)) and tag not in ("body", "html", "article", "main"):
                     bad = True
                 elif _MAIN_CUES.search(value) and not bad:
                     main = True
@@ -87,6 +90,10 @@ def blocks(html: str) -> list[tuple[str, _Element, int]]:
         nonlocal linked
         if parts:
             if text := " ".join(unescape("".join(parts)).split()):
+                if len(text) < 40 and _READERS.fullmatch(text):
+                    at.bad = True
+                    if at.parent and at.parent.tag not in ("", "html", "body"):
+                        at.parent.bad = True
                 out.append((text, at, linked))
             parts.clear()
         linked = 0

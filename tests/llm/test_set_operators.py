@@ -99,6 +99,23 @@ def test_main_text():
     assert html_extract.main_text("<article><p>" + "x" * 200_000 + ".</p><p>Unclosed <b>tail.").endswith("\n\nUnclosed tail.")
 
 
+STORY = ["A first paragraph of the story, with a few clauses, long enough to count.", "Short one.", "Third paragraph, which ends here after some words."]
+_P = "".join(f"<p>{p}</p>" for p in STORY)
+
+
+@pytest.mark.parametrize("html", [
+    f'<div id="topnav"><a href=a>Home</a> <a href=b>News</a></div><div class="header"><h2>Site name</h2></div><div id="content"><h1>Big title</h1>{_P}</div><div id="right-col"><p>Subscribe to our newsletter for weekly updates, it is free.</p></div><div class="comments"><p>Nice article, I liked reading it a lot.</p></div><div id="pagefooter">Copyright 2024, all rights reserved.</div>',
+    f'<ul class="menu"><li><a href=a>Home</a><li><a href=b>News</a></ul><h1>Big title</h1>{_P}<form action=x><p>Your name</p><input></form><p class="notice">This site uses cookies, please accept them all.</p>',
+    f"<article><h1>Big title</h1>{_P}<section><h2>3 Comments</h2><p>bob: I disagree with this article, sorry to say.</p><p>ann: me too.</p></section></article>",
+    f"<main><h1>Big title</h1>{_P}<h3>Comments</h3><p>bob: I disagree with this article, sorry to say.</p></main>",
+    f'<article><div class="article-header"><h1>Big title</h1></div><div class="entry-content">{_P}<div class="share-buttons"><a href=x>Share</a></div><div class="advertisement">Buy now, today only, at a low price!</div></div></article><div class="related"><p>Related: another story that you may like to read.</p></div>',
+    f'<div role="banner"><h2>Site</h2></div><div role="main"><h1>Big title</h1>{_P}</div><div role="complementary"><p>Trending: a sentence of some length, for the sidebar.</p></div><div role="contentinfo"><p>Contact us by mail, we reply soon.</p></div>',
+    f'<article><h1>Big title</h1><p style="display:none">Hidden text that nobody should ever see here.</p>{_P}<div hidden><p>More hidden.</p></div></article>',
+])
+def test_templates(html):
+    assert html_extract.main_text(f"<html><body>{html}</body></html>") == "\n\n".join(["Big title", *STORY])
+
+
 def test_cut_is_minimum():
     r = random.Random(6)
     for _ in range(300):
