@@ -25,6 +25,8 @@ UNDETERMINED = "und"
 ROWS_PER_LANGUAGE = 2000
 #: A lead in loss, in nats, under which the nearest codeword is ambiguous.
 MARGIN = 1.0
+#: A mean weight of 1/SCALE is a log odds of 1, in texts of FULL trigrams or more.
+SCALE, FULL = 3.0, 60
 _LETTER = r"\p{L}"
 
 
@@ -60,10 +62,10 @@ class Model:
     trust: np.ndarray  # language x bit, rows sum to 1
 
     def margins(self, text: str) -> np.ndarray:
-        """Each bit's score: its classifier's mean weight over the text's trigrams, scaled by their number's root, 8 at most a trigram."""
+        """Each bit's score: its classifier's mean weight over the text's trigrams, SCALE-fold, less for fewer than FULL trigrams."""
         at = trigrams(text)
-        total = self.weights[at].sum(0, dtype=np.float64)
-        return total / max(1.0, np.sqrt(len(at)))
+        mean = self.weights[at].mean(0, dtype=np.float64) if len(at) else np.zeros(self.weights.shape[1])
+        return mean * SCALE * min(1.0, np.sqrt(len(at) / FULL))
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         if text is None or not self.languages or not any(map(str.isalpha, text)):
