@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -114,18 +115,21 @@ class Vocabulary:
 
     def extend(self, last: list[int], data: bytes, to: int | None = None) -> None:
         """Fill last, which holds the last token of each prefix (-1 for the empty one), up to data[:to]."""
-        follows = self.follows
+        known, append = self.follows.get, last.append
+        done = len(last) - 1
         base = max(0, len(last) - self.longest)
         for end, (t, n) in self.ends.iter(data[base:to].decode("latin-1")):
             end += base + 1
-            if end < len(last) or end - n < 0:
+            if end <= done:
                 continue
             before = last[end - n]
             if before < 0:
-                if self.split(t) is not None:
-                    last.append(t)
-            elif follows[before, t] if (before, t) in follows else self.fits(before, t):
-                last.append(t)
+                fits = self.split(t) is not None
+            elif (fits := known((before, t))) is None:
+                fits = self.fits(before, t)
+            if fits:
+                append(t)
+                done = end
 
     def walk(self, last: list[int]) -> list[int]:
         out, end = [], len(last) - 1
@@ -145,7 +149,7 @@ class Vocabulary:
     def encode(self, text: str) -> list[int]:
         """The ids of each match of the pattern in text, encoded on its own."""
         known = self.pieces
-        found = _PIECES(text)
+        found = pieces(text)
         try:
             return list(chain.from_iterable(map(known.__getitem__, found)))
         except KeyError:
@@ -162,6 +166,16 @@ class Vocabulary:
 
 
 _PIECES = regex.compile(PATTERN).findall
+# For characters that \w, \d and \s class as \p{L}, \p{N} and white space do, the standard library's expressions find
+# the same pieces in two thirds of the time. The ranges leave out numbers that are no digits and some controls.
+_COMMON = re.compile("[\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u0400-\u0481\u048a-\u052f\u2010-\u2027\u2030-\u205e\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3]*+").fullmatch
+_SAME_PATTERN = PATTERN.replace(r"[^\s\p{L}\p{N}]+", r"(?:[^\s\w]|_)+").replace(r"\p{L}", r"[^\W\d_]").replace(r"\p{N}", r"\d")
+_COMMON_PIECES = re.compile(_SAME_PATTERN).findall
+
+
+def pieces(text: str) -> list[str]:
+    """The matches of the pattern in text."""
+    return _COMMON_PIECES(text) if _COMMON(text) else _PIECES(text)
 
 
 class Prefixes:
