@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+import zlib
 from collections.abc import Mapping
 from dataclasses import asdict, dataclass
 
@@ -111,7 +112,8 @@ class Store:
 
     def _put(self, name: str, df: DataFrame) -> str:
         path = f"{self.root}/{name}/data/{uuid.uuid4().hex}"
-        df.write.partitionBy("_shard").parquet(path)
+        # files of about the advised size, those of a large shard split, those of small ones not scattered
+        df.hint("rebalance", F.col("_shard")).write.partitionBy("_shard").parquet(path)
         return path
 
     def _read(self, name: str, paths: tuple[str, ...], op: bool) -> DataFrame:
@@ -154,8 +156,7 @@ class Store:
         for attempt in range(5):
             before = self.manifest(name)
             shifted = checked.withColumn("_seq", F.col("_seq") + before.seq)
-            existing = self.index(name, before.generation).docs if before.base or before.deltas else self._read(name, (), False)
-            judged = outcomes(shifted, existing.select(*KEY))
+            judged = outcomes(shifted, self._existing(name, before, shifted))
             written = self._put(name, judged)
             done = self.spark.read.schema(judged.schema).parquet(written)
             last = latest(done.where("_effective")).drop("_status", "_result", "_effective", "_error")
@@ -170,6 +171,13 @@ class Store:
             return done.select("_seq", F.col("_op").alias("op"), "_id", "_shard", F.col("_status").alias("status"), F.col("_result").alias("result")).orderBy("_seq")
         raise Conflict(f"index {name}: other writers kept committing first")
 
+    def _existing(self, name: str, at: Manifest, ops: DataFrame) -> DataFrame:
+        """Keys of documents that a create of ops may meet. Without creates the table is not read; else its keys are cut to theirs, shard by shard."""
+        keys = ops.where("_op = 'create' AND _error IS NULL").select(*KEY).distinct()
+        if not (at.base or at.deltas) or keys.isEmpty():
+            return keys.limit(0)
+        return self.index(name, at.generation).docs.select(*KEY).join(keys, list(KEY), "left_semi")
+
     def bulk(self, bodies: list[str] | str, index: str | None = None) -> dict[str, DataFrame]:
         """Apply bulk requests, given as strings or as a path of files; outcomes by index, items in order of file and line."""
         lines = bulk_source.lines(self.spark, bodies) if isinstance(bodies, str) else bulk_source.of_strings(self.spark, bodies)
@@ -257,11 +265,11 @@ class Store:
     # -- maintenance
 
     def compact(self, name: str) -> Manifest:
-        """Merge deltas into a new base, one file for each shard."""
+        """Merge deltas and small files into a new base."""
         before, whole = self.manifest(name), self.index(name)
         if not before.deltas and len(before.base) <= 1:
             return before
-        path = self._put(name, whole.docs.repartition(whole.shards, "_shard"))
+        path = self._put(name, whole.docs)
         return self._publish(name, before, (path,), (), before.seq)
 
     def collect_garbage(self, name: str, keep: int = 1) -> list[str]:
@@ -313,6 +321,11 @@ class Store:
             rows.append((n, s["shards"], len(s["mappings"]), m.generation, len(m.base), len(m.deltas), s["created_at"]))
         return self.spark.createDataFrame(rows, "index string, shards int, fields int, generation long, base int, deltas int, created_at long")
 
+    def route(self, name: str, id: str, routing: str | None = None) -> int:
+        """The shard that a document of this id and routing key goes to."""
+        key = routing if routing and routing.strip() else id
+        return zlib.crc32((key if key.strip() else name).encode()) % self.settings(name)["shards"]
+
     def shard_counts(self, name: str) -> DataFrame:
         return self.index(name).docs.groupBy("_shard").agg(F.count("*").alias("docs"))
 

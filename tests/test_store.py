@@ -35,7 +35,7 @@ def test_bulk_order_and_outcomes(store, tmp_path):
     assert [(r["op"], r["status"]) for r in out] == [("index", 200), ("create", 201), ("index", 200), ("delete", 200), ("delete", 400), ("create", 201)]
     auto = out[2]["_id"]
     rows = {r["_id"]: r for r in store.index("books").docs.collect()}
-    assert rows.keys() == {"doc-2", auto, "d"} and rows[auto]["_shard"] == zlib.crc32(auto.encode()) % 3 and rows["d"]["_shard"] == zlib.crc32(b"r") % 3
+    assert rows.keys() == {"doc-2", auto, "d"} and rows[auto]["_shard"] == zlib.crc32(auto.encode()) % 3 and rows["d"]["_shard"] == zlib.crc32(b"r") % 3 == store.route("books", "d", "r")
     again = store.bulk([lines({"create": {"_id": "doc-2"}}, {"pages": 9}, {"create": {"_id": "n"}}, {"title": "first"}, {"delete": {"_id": "n"}}, {"create": {"_id": "n"}}, {"title": "second"})], "books")["books"].collect()
     assert [r["status"] for r in again] == [409, 201, 200, 201]
     docs = {h["_id"]: h["_source"] for h in store.search("books", {}).response()["hits"]}
