@@ -23,10 +23,10 @@ BLOCK_IDS = 1 << 20
 
 
 def write_files(docs: DataFrame, folder: str, vocabulary: str, eod: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write each partition's texts as one file of little-endian 16-bit ids (32-bit if eod needs it); a row for each text: path, at (its place in the file, from 0), id.
+    """Write each partition's texts as one file of little-endian 16-bit ids (32-bit if eod needs it); a row for each text: file (its name), at (the text's place in it, from 0), id.
 
     A null text has no tokens but a separator. A file bears its task attempt's number, so a repeated attempt does not
-    disturb another's; only paths in the result, which is written out, count.
+    disturb another's; only files in the result, which is written out, count.
     """
     kind = "<u2" if eod < 1 << 16 else "<u4"
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
@@ -37,29 +37,29 @@ def write_files(docs: DataFrame, folder: str, vocabulary: str, eod: int, id_col:
         v, task = bpe.vocabulary(vocabulary), TaskContext.get()
         system, root = fs.FileSystem.from_uri(folder)
         system.create_dir(root, recursive=True)
-        path, at = f"{root}/part-{task.partitionId():06d}-{task.taskAttemptId()}.bin", 0
+        name, at = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.bin", 0
         out = None
         for batch in batches:
-            out = out or system.open_output_stream(path)
+            out = out or system.open_output_stream(f"{root}/{name}")
             for text in batch.column(1):
                 out.write(np.array(v.encode(text.as_py() or "") + [eod], dtype=kind).tobytes())
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array(range(at, at + n), pa.int64()), batch.column(0)], names=["path", "at", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(range(at, at + n), pa.int64()), batch.column(0)], names=["file", "at", "id"])
             at += n
         if out:
             out.close()
 
-    return written(source.mapInArrow(run, f"path string, at long, id {source.schema['id'].dataType.simpleString()}"), "token-index")
+    return written(source.mapInArrow(run, f"file string, at long, id {source.schema['id'].dataType.simpleString()}"), "token-index")
 
 
-def sizes(spark: SparkSession, folder: str, paths: DataFrame | None = None) -> DataFrame:
-    """path and length in bytes of folder's token files, or of those among paths (column path)."""
-    found = spark.read.format("binaryFile").load(f"{folder}/*.bin").select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "length")
-    return found if paths is None else found.join(paths.select("path").distinct(), "path", "left_semi")
+def sizes(spark: SparkSession, folder: str, files: DataFrame | None = None) -> DataFrame:
+    """file (name) and length in bytes of folder's token files, or of those among files."""
+    found = spark.read.format("binaryFile").load(f"{folder}/*.bin").select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "length")
+    return found if files is None else found.join(files.select("file").distinct(), "file", "left_semi")
 
 
 def count(files: DataFrame, folder: str, eod: int, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """path, at, start, n_tokens, ended for each document of files (path, length): ids before its separator, and where they start.
+    """file, at, start, n_tokens, ended for each document of folder's files (file, length): ids before its separator, and where they start.
 
     Two separators in a row hold an empty document between them; ids behind the last one are a document with ended
     false; an empty file has none. A length that is no multiple of an id's width is an error.
@@ -67,36 +67,36 @@ def count(files: DataFrame, folder: str, eod: int, block_ids: int = BLOCK_IDS) -
     kind = np.dtype("<u2" if eod < 1 << 16 else "<u4")
     width = kind.itemsize
     n_blocks = F.ceil(F.col("length") / (block_ids * width)).cast("long")
-    blocks = files.where("length > 0").select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)).alias("block"))
-    blocks = blocks.repartition(F.col("path"), F.col("block"))
+    blocks = files.where("length > 0").select("file", "length", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)).alias("block"))
+    blocks = blocks.repartition(F.col("file"), F.col("block"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        system, _ = fs.FileSystem.from_uri(folder)
+        system, root = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for path, length, block in zip(*[c.to_pylist() for c in batch.columns]):
+            for name, length, block in zip(*[c.to_pylist() for c in batch.columns]):
                 if length % width:
-                    raise ValueError(f"{path}: {length} bytes are no whole number of ids")
-                with system.open_input_file(path) as f:
+                    raise ValueError(f"{name}: {length} bytes are no whole number of ids")
+                with system.open_input_file(f"{root}/{name}") as f:
                     f.seek(block * block_ids * width)
                     ids = np.frombuffer(f.read(block_ids * width), dtype=kind)
                 ends = np.flatnonzero(ids == eod) + block * block_ids
                 last = int(ends[-1]) if len(ends) else None
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([path]), pa.array([length // width]), pa.array([block]), pa.array([len(ends)], pa.int64()), pa.array([last], pa.int64()), pa.array([ends], pa.list_(pa.int64()))],
-                    names=["path", "total", "block", "n", "last", "ends"],
+                    [pa.array([name]), pa.array([length // width]), pa.array([block]), pa.array([len(ends)], pa.int64()), pa.array([last], pa.int64()), pa.array([ends], pa.list_(pa.int64()))],
+                    names=["file", "total", "block", "n", "last", "ends"],
                 )
 
-    found = blocks.mapInArrow(run, "path string, total long, block long, n long, last long, ends array<long>")
-    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    found = blocks.mapInArrow(run, "file string, total long, block long, n long, last long, ends array<long>")
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     placed = found.withColumns({"first": F.coalesce(F.sum("n").over(earlier), F.lit(0)), "before": F.coalesce(F.max("last").over(earlier), F.lit(-1).cast("long")), "end_block": F.col("block") == F.ceil(F.col("total") / block_ids).cast("long") - 1})
     # each end with the one before it; the last block also closes what has no separator
     open_end = F.col("end_block") & (F.coalesce("last", "before") < F.col("total") - 1)
     ends = F.when(open_end, F.concat("ends", F.array("total"))).otherwise(F.col("ends"))
-    each = placed.select("path", "first", "before", "total", ends.alias("ends")).select("path", "first", "before", "total", "ends", F.posexplode("ends").alias("k", "end"))
+    each = placed.select("file", "first", "before", "total", ends.alias("ends")).select("file", "first", "before", "total", "ends", F.posexplode("ends").alias("k", "end"))
     start = F.when(F.col("k") == 0, F.col("before")).otherwise(F.try_element_at("ends", F.greatest("k", F.lit(1)))) + 1
-    return each.select("path", (F.col("first") + F.col("k")).alias("at"), start.alias("start"), (F.col("end") - start).alias("n_tokens"), (F.col("end") < F.col("total")).alias("ended"))
+    return each.select("file", (F.col("first") + F.col("k")).alias("at"), start.alias("start"), (F.col("end") - start).alias("n_tokens"), (F.col("end") < F.col("total")).alias("ended"))
 
 
 def document_counts(docs: DataFrame, folder: str, vocabulary: str, eod: int, id_col: str = "doc_id", text: str = "text", block_ids: int = BLOCK_IDS) -> DataFrame:
@@ -106,4 +106,5 @@ def document_counts(docs: DataFrame, folder: str, vocabulary: str, eod: int, id_
     if index.isEmpty():
         return index.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("start"))
     found = count(sizes(spark, folder, index), folder, eod, block_ids)
-    return index.join(found, ["path", "at"], "left").select(F.col("id").alias(id_col), "n_tokens", "start")
+    # both sides have a row for each text; what their files' size suggests must not make Spark broadcast one
+    return index.join(found.hint("merge"), ["file", "at"], "left").select(F.col("id").alias(id_col), "n_tokens", "start")

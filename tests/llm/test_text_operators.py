@@ -221,11 +221,11 @@ def test_flat_files_of_any_shape(spark, tmp_path):
     folder = f"file://{tmp_path}"
     for block in (1, 4, 7, 100):
         got = token_counts.count(token_counts.sizes(spark, folder), folder, 9, block_ids=block).collect()
-        assert {(r["path"].rsplit("/", 1)[1], r["start"]): (r["n_tokens"], r["ended"]) for r in got} == want
+        assert {(r["file"], r["start"]): (r["n_tokens"], r["ended"]) for r in got} == want
         places = {}
-        for r in sorted(got, key=lambda r: (r["path"], r["at"])):
-            assert r["at"] == places.setdefault(r["path"], 0)
-            places[r["path"]] += 1
+        for r in sorted(got, key=lambda r: (r["file"], r["at"])):
+            assert r["at"] == places.setdefault(r["file"], 0)
+            places[r["file"]] += 1
     (tmp_path / "odd.bin").write_bytes(b"abc")
     with pytest.raises(Exception, match="whole number of ids"):
         token_counts.count(token_counts.sizes(spark, folder), folder, 9).collect()
