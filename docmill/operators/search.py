@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+import zlib
 from collections.abc import Mapping
 from dataclasses import dataclass, replace
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from docmill.functions import values as V
 from docmill.operators import aggregations, knn, relevance, sorting
 from docmill.plans.dsl import Query, combined, compile_query
-from docmill.plans.index import Index, shard
+from docmill.plans.index import Index
 
 HIT = ("_index", "_id", "_shard", "_score", "_source", "sort_values")
 
@@ -25,6 +26,7 @@ class Found:
     hits: DataFrame
     aggregations: dict[str, DataFrame]
     size: int
+    shards: int = 1
 
     def response(self) -> dict:
         """hits and aggregations collected: size rows at most, and buckets."""
@@ -33,6 +35,7 @@ class Found:
         aggs = {k: [r.asDict() for r in d.collect()] for k, d in self.aggregations.items()}
         return {
             "took": round((time.time() - began) * 1000),
+            "_shards": {"total": self.shards, "successful": self.shards, "failed": 0},
             "hits": [{"_index": r["_index"], "_id": r["_id"], "_score": r["_score"], "_source": json.loads(r["_source"]), "sort": list(r["sort_values"])} for r in rows],
             "aggregations": {k: v[0] if v and "key" not in v[0] else {"buckets": v} for k, v in aggs.items()},
         }
@@ -46,7 +49,8 @@ def routed(index: Index, routing: object) -> Index:
     """The index cut to the one shard of a routing key, which prunes partitions where _shard is one."""
     if routing is None or index.shards == 1:
         return index
-    number = index.docs.sparkSession.range(1).select(shard(F.lit(str(routing)), index.shards, index.name)).first()[0]
+    key = str(routing) if str(routing).strip() else index.name
+    number = zlib.crc32(key.encode()) % index.shards
     return replace(index, docs=index.docs.where(F.col("_shard") == number))
 
 
@@ -83,7 +87,7 @@ def search(index: Index, body: Mapping) -> Found:
         aggregated = docs
     if V.number(least):
         hits = hits.where(F.col("_score") >= float(least))
-    return Found(hits, aggregations.aggregate(aggregated, body.get("aggs"), index), size)
+    return Found(hits, aggregations.aggregate(aggregated, body.get("aggs"), index), size, 1 if body.get("routing") is not None else index.shards)
 
 
 def knn_search(index: Index, body: Mapping) -> Found:

@@ -240,6 +240,7 @@ class Store:
         return knn_search(self._view(name, body, pit), body)
 
     def _view(self, name: str, body: Mapping, pit: str | None) -> Index:
+        """What a body reads. A write returns when its commit is published, so weak and strong reads see the same."""
         inner = body.get("pit")
         pit = pit or (inner.get("id") if isinstance(inner, Mapping) else None) or body.get("pit_id")
         return self.index(name, self._pinned(name, pit) if pit else None)
