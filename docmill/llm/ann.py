@@ -22,7 +22,7 @@ from docmill.llm._util import written
 EPSILON = 4.0
 #: Numbers of query vectors that one pass over the table holds in each worker.
 BLOCK_NUMBERS = 4_000_000
-#: Rows whose mean is the codes' centre; any centre is right, a near one makes the bounds tighter.
+#: Rows at most whose mean is the codes' centre; any centre is right, a near one makes the bounds tighter.
 CENTRE_ROWS = 10_000
 
 
@@ -105,7 +105,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     for dim in sorted(dims):
         rows = base.where(F.size("v") == dim)
         per_block = max(1, block_numbers // dim)
-        sample = np.array([r["v"] for r in rows.limit(CENTRE_ROWS).select(F.col("v")).toLocalIterator()])
+        # a collected limit reads as many partitions as it needs, and shuffles none
+        sample = np.array([r["v"] for r in rows.select("v").limit(max(1, min(CENTRE_ROWS, BLOCK_NUMBERS // dim // 4))).collect()])
         if not len(sample):
             continue
         centre, turn = sample.mean(0), rotation(dim)
