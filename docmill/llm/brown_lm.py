@@ -1,12 +1,17 @@
 """Scores of texts by a class-based bigram model whose classes come from exchange clustering.
 
 log P(text) is the sum over tokens of log P(class | class before) + log P(word | class); a text starts after an end and
-ends with one. The ``CLUSTERED`` most frequent words are assigned to ``CLASSES`` classes by the exchange algorithm, which
-moves one word at a time to the class that raises the training likelihood most. Every other word, seen or not, is in
-one of ``TAILS`` classes by its last three bytes. Emission uses the counts of all words of all training texts.
+ends with one. Every training word is assigned by exchange. The ``CLUSTERED`` most frequent words start it, moved one at
+a time. Then rounds over all texts count each word's neighbouring classes in a shuffle and move every word, frequent or
+rare, to the class that raises the training likelihood most, the others held fixed; the likeliest round is kept. Classes
+are as many as the cube root of the distinct training words, ``CLASSES`` at least.
 
-Counts of the ``HOT`` words at most that are the most frequent are sent to every worker; for the rest, which grow with the
-corpus, texts' words meet their counts in a join on the word.
+A word not seen in training is in one of ``TAILS`` classes by its last three bytes, whose transitions are those of the
+words that occur once: of the count of such a word its class keeps a share only and its tail class, for what is new, gets
+the discount.
+
+Counts and classes of the ``HOT`` words at most that are the most frequent are sent to every worker; for the rest, which
+grow with the corpus, texts' words meet them in a join on the word.
 """
 
 from __future__ import annotations
@@ -22,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm._util import remainder, written
+from docmill.llm._util import dropped, remainder, written
 
 CLUSTERED, CLASSES, TAILS, HOT = 1000, 48, 64, 200_000
+#: Rounds that move all words; after the first, each moves a half of them, so that neighbours don't change places for ever.
+ROUNDS = 3
 #: A word longer than this is never hot: so HOT bounds the bytes sent, too.
 HOT_BYTES = 64
-DELTA = 0.5
+_BLOCK = 512  # hot words whose neighbours' counts travel in a row
 _END = b"\x00"  # stands for the end in counts; no word can be it, see _words
 
 
@@ -115,6 +122,69 @@ def exchange(n: np.ndarray, words: int, classes: int, rounds: int = 6) -> np.nda
     return of
 
 
+def moves(table: np.ndarray, starts: np.ndarray, keys: np.ndarray, n: np.ndarray, own: np.ndarray, marks: np.ndarray, turn: int) -> np.ndarray:
+    """The best class of each word, all others held fixed. table: counts of class bigrams, the last class is the end's.
+
+    A word's entries begin at its start; an entry's key is the class after it, or the size of the table and the class
+    before it; n tells how often. own: the classes now, -1 if none. marks: crc32 of the words. A word that no class suits
+    better than others goes by its mark; one that has a class moves only in every other turn.
+    """
+    size = len(table)
+    classes = size - 1
+    f = lambda x: x * np.log(np.maximum(x, 1))
+    base = np.concatenate([table[:classes].T, table[:, :classes]])  # by key, then class
+    was = f(base)
+    one = f(base + 1) - was
+    n = n.astype(float)
+    ends = np.append(starts[1:], len(keys))
+    rows, cols = table.sum(1)[:classes], table.sum(0)[:classes]
+    out = np.empty(len(starts), dtype=np.int64)
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + 16_384, "right")))
+        a, b = int(starts[at]), int(ends[to - 1])
+        k, m, mine = keys[a:b], n[a:b], own[at:to]
+        gain = one[k]
+        if len(many := np.flatnonzero(m != 1)):
+            gain[many] = f(base[k[many]] + m[many, None]) - was[k[many]]
+        of = np.repeat(mine, ends[at:to] - starts[at:to])
+        has = np.flatnonzero(of >= 0)  # in its own class it is counted already
+        x = base[k[has], of[has]]
+        gain[has, of[has]] = f(x) - f(np.maximum(x - m[has], 0))
+        first = starts[at:to] - a
+        total = np.add.reduceat(gain, first, axis=0)
+        after = np.add.reduceat(np.where(k < size, m, 0.0), first)
+        before = np.add.reduceat(np.where(k < size, 0.0, m), first)
+        for whole, part in ((rows, after), (cols, before)):
+            loss = f(whole[None, :] + part[:, None]) - f(whole)[None, :]
+            has = np.flatnonzero(mine >= 0)
+            x = whole[mine[has]]
+            loss[has, mine[has]] = f(x) - f(np.maximum(x - part[has], 0))
+            total -= loss
+        lines = np.arange(to - at)
+        best = total.argmax(1)
+        best = np.where(total[lines, best] - total.min(1) < 1e-9, marks[at:to] % classes, best)
+        stays = (mine >= 0) & ((total[lines, best] <= total[lines, np.maximum(mine, 0)] + 1e-9) | (marks[at:to] // 64 % 2 != turn % 2))
+        out[at:to] = np.where(stays, mine, best)
+        at = to
+    return out
+
+
+def likelihood(table: np.ndarray) -> float:
+    """The part of the training likelihood that classes change."""
+    f = lambda x: float((x * np.log(np.maximum(x, 1))).sum())
+    return f(table) - f(table.sum(0)) - f(table.sum(1))
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """int32 numbers, the first bytes of all, then the second, and so on: small ones compress to a byte."""
+    return np.ascontiguousarray(x, dtype="<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, dtype=np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
 _HOT: dict[str, dict[bytes, int]] = {}
 
 
@@ -125,7 +195,7 @@ def _ranks(stamp: str, words: list[bytes]) -> dict[bytes, int]:
     return _HOT[stamp]
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held_out: str | None = None, clustered: int = CLUSTERED, classes: int = CLASSES, hot: int = HOT) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held_out: str | None = None, clustered: int = CLUSTERED, classes: int | None = None, hot: int = HOT, rounds: int = ROUNDS) -> DataFrame:
     """One row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), perplexity.
 
     Training texts are those not held out: by column held_out (null: not), else by crc32 of the id mod 7 = 2. A null
@@ -138,9 +208,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held_out:
     train = given.where("NOT held_out")
     c = written(counts(train), "counts")
 
-    # sizes: N, V, and of each tail class
-    tail_class = F.pmod(F.crc32(F.expr("substring(word, -3, 3)")), F.lit(TAILS))
-    whole = c.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    whole = c.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), *(F.count(F.when(F.col("c") == k, 1)) for k in (1, 2))).first()
     total, distinct = int(whole[0]), int(whole[1])
     # the largest set of counts that has at most `hot` words: found from how many words share a count
     steps = c.where((F.length("word") <= HOT_BYTES) & (F.col("c") * 20 * hot >= total)).groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).limit(hot).collect()
@@ -154,9 +222,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held_out:
     else:
         rows = sorted(c.where((F.length("word") <= HOT_BYTES) & (F.col("c") >= least) & (F.col("word") != F.lit(bytearray(_END)))).collect(), key=lambda r: (-r["c"], bytes(r["word"])))
         words, freq = [bytes(r["word"]) for r in rows], np.array([r["c"] for r in rows], dtype=float)
-    clustered = min(clustered, len(words))
+    classes = max(CLASSES, math.ceil(distinct ** (1 / 3))) if classes is None else classes
+    clustered, n_hot = min(clustered, len(words)), len(words)
     hot_rest = np.array([_tail(w) for w in words[clustered:]], dtype=np.int64)
-    # unit of a token: a clustered word's rank; clustered + its class for any other word; the last for the end
+    # to start with, unit of a token: a clustered word's rank; clustered + its tail class for any other word; the last for the end
     units = clustered + TAILS + 1
     unit_of = np.concatenate([np.arange(clustered), clustered + hot_rest]).astype(np.int32)
     sent, stamp = spark.sparkContext.broadcast(words), uuid.uuid4().hex
@@ -211,60 +280,202 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held_out:
     n[cells["cell"].to_numpy(dtype=np.int64)] = cells["n"].to_numpy()
     n = n.reshape(units, units)
     of = exchange(n, clustered, classes)
-    model = _probabilities(n, of, classes)
-
-    # emission: a tail class holds all words that are not clustered
-    first = words[:clustered]
-    sums = c.where(F.col("word") != F.lit(bytearray(_END))).groupBy(tail_class.alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
-    size, kinds = np.zeros(TAILS), np.zeros(TAILS)
-    for r in sums:
-        size[r["k"]], kinds[r["k"]] = r["c"], r["v"]
-    for w, x in zip(first, freq):
-        size[_tail(w)] -= x
-        kinds[_tail(w)] -= 1
-    tail_norm = np.log10(size + DELTA * (kinds + 1))
+    # classes of hot words are on the driver, of all others in column rare, in the order of tails; -1: none yet, -2: not in training
+    end, size = n_hot + TAILS, classes + 1
+    hot_class = np.full(n_hot, -1, dtype=np.int64)
+    hot_class[:clustered] = of[:clustered]
+    hot_tail = np.array([_tail(w) for w in words], dtype=np.int64)
+    hot_mark = np.array([zlib.crc32(w) for w in words], dtype=np.int64)
+    state = encoded.withColumn("rare", F.transform("tails", lambda x: F.lit(-1))).withColumn("times", F.transform("tails", lambda x: F.lit(0).cast("long")))
+
+    def sequence(codes: pa.Array, rare: pa.Array, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of texts with the end around each, and their classes."""
+        parts = [np.array([end])]
+        for b in codes.to_pylist():
+            parts += [np.frombuffer(b, dtype=np.int32), np.array([end])]
+        seq = np.concatenate(parts)
+        cls = np.concatenate([of, np.zeros(TAILS, dtype=np.int64), [classes]])[seq]
+        cls[(seq >= n_hot) & (seq < end)] = rare.flatten().to_numpy(zero_copy_only=False)
+        return seq, cls
+
+    def transitions(state: DataFrame, of: np.ndarray) -> np.ndarray:
+        """Counts of class bigrams in training, apart by whether the second word occurs once; such words count again in and out of their tail class."""
+        total = size + TAILS
+        sent = spark.sparkContext.broadcast((of, freq == 1, hot_tail))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of, once, tail = sent.value
+            n = np.zeros(2 * total * total, dtype=np.int64)
+            tail = np.concatenate([tail, np.arange(TAILS), [0]])
+            once = np.concatenate([once, np.zeros(TAILS + 1, dtype=bool)])
+            for whole_batch in batches:
+                for at in range(0, whole_batch.num_rows, 512):
+                    batch = whole_batch.slice(at, 512)
+                    seq, cls = sequence(batch.column(0), batch.column(1), of)
+                    new = once[seq]
+                    new[(seq >= n_hot) & (seq < end)] = batch.column(2).flatten().to_numpy(zero_copy_only=False) == 1
+                    old, apart = np.ones(len(seq), dtype=bool), size + tail[seq]
+                    for x, y in ((cls, cls), (apart, cls), (cls, apart), (apart, apart)):
+                        keep = (old if x is cls else new)[:-1] & (old if y is cls else new)[1:] & (x[:-1] >= 0) & (y[1:] >= 0)
+                        n += np.bincount(((new[1:] * total + x[:-1]) * total + y[1:])[keep], minlength=2 * total * total)
+            cells = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(n[cells])], names=["cell", "n"])
+
+        got = state.where("NOT held_out").select("codes", "rare", "times").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+        table = np.zeros(2 * total * total)
+        table[got["cell"].to_numpy(dtype=np.int64)] = got["n"].to_numpy()
+        return table.reshape(2, total, total)
+
+    def move_hot(state: DataFrame, of: np.ndarray, table: np.ndarray, turn: int) -> np.ndarray:
+        width = 2 * size
+        sent = spark.sparkContext.broadcast((of, table, hot_mark))
+
+        def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of, kept, held = sent.value[0], [], 0
+
+            def out() -> pa.RecordBatch:
+                keys, n = np.unique(np.concatenate(kept), return_counts=True)
+                blocks, first = np.unique(keys // (width * _BLOCK), return_index=True)
+                cuts = [*first, len(keys)]
+                cells, n = (keys % (width * _BLOCK)).astype(np.int32), n.astype(np.int32)
+                made = [[_planes(np.diff(cells[a:b], prepend=np.int32(0))) for a, b in zip(cuts, cuts[1:])], [_planes(n[a:b]) for a, b in zip(cuts, cuts[1:])]]
+                return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(made[0], pa.binary()), pa.array(made[1], pa.binary())], names=["block", "cells", "n"])
+
+            for whole_batch in batches:
+                for at in range(0, whole_batch.num_rows, 512):
+                    batch = whole_batch.slice(at, 512)
+                    seq, cls = sequence(batch.column(0), batch.column(1), of)
+                    seq = seq.astype(np.int64)
+                    for w, x, side in ((seq[:-1], cls[1:], 0), (seq[1:], cls[:-1], size)):
+                        keep = (w < n_hot) & (x >= 0)
+                        kept.append(w[keep] * width + side + x[keep])
+                        held += len(kept[-1])
+                    if held > 4_000_000:
+                        yield out()
+                        kept, held = [], 0
+            if held:
+                yield out()
+
+        def best(part: pa.Table) -> pa.Table:
+            of, table, mark = sent.value
+            n = np.zeros(_BLOCK * width, dtype=np.int64)
+            for cells, k in zip(part["cells"].to_pylist(), part["n"].to_pylist()):
+                n[np.cumsum(_numbers(cells))] += _numbers(k)
+            cells = np.flatnonzero(n)
+            inner, starts = np.unique(cells // width, return_index=True)
+            code = part["block"][0].as_py() * _BLOCK + inner
+            to = moves(table, starts, cells % width, n[cells], of[code], mark[code], turn)
+            return pa.table({"code": pa.array(code, pa.int32()), "cls": pa.array(to, pa.int32())})
+
+        cells = state.where("NOT held_out").select("codes", "rare").mapInArrow(tally, "block int, cells binary, n binary")
+        got = cells.groupBy("block").applyInArrow(best, "code int, cls int").toPandas()
+        to = np.where(of < 0, hot_mark % classes, of)  # without a neighbour that has a class
+        to[got["code"].to_numpy()] = got["cls"].to_numpy()
+        return to
+
+    def move_rare(state: DataFrame, of: np.ndarray, table: np.ndarray, turn: int) -> DataFrame:
+        """word, c, cls of each training word that isn't hot."""
+        none = 2 * size  # the key of a neighbour without a class
+        sent = spark.sparkContext.broadcast((of, table))
+
+        def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of = sent.value[0]
+            for whole_batch in batches:
+                for at in range(0, whole_batch.num_rows, 512):
+                    batch = whole_batch.slice(at, 512)
+                    seq, cls = sequence(batch.column(0), batch.column(1), of)
+                    here = np.flatnonzero((seq >= n_hot) & (seq < end))
+                    word, after, before = batch.column(2).flatten(), cls[here + 1], cls[here - 1]
+                    for keys in (np.where(after < 0, none, after), np.where(before < 0, none, size + before)):
+                        yield pa.RecordBatch.from_arrays([word, pa.array(cls[here], pa.int32()), pa.array(keys, pa.int32())], names=["word", "own", "key"])
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of, table = sent.value
+            for batch in batches:
+                found = batch.column(2)
+                each = np.asarray(found.value_lengths())
+                word = np.repeat(np.arange(len(each)), each)
+                entries = found.flatten()
+                keys, n = entries.field("key").to_numpy(zero_copy_only=False), entries.field("n").to_numpy(zero_copy_only=False)
+                c = np.bincount(word, weights=n, minlength=len(each)).astype(np.int64) // 2
+                marks = np.array([zlib.crc32(w) for w in batch.column(0).to_pylist()], dtype=np.int64)
+                own = batch.column(1).to_numpy().astype(np.int64)
+                to = np.where(own < 0, marks % classes, own)
+                keep = keys < none
+                inner, starts = np.unique(word[keep], return_index=True)
+                to[inner] = moves(table, starts, keys[keep], n[keep], own[inner], marks[inner], turn)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c), pa.array(to, pa.int32())], names=["word", "c", "cls"])
+
+        seen = state.where("NOT held_out AND size(tails) > 0").select("codes", "rare", "tails").mapInArrow(tally, "word binary, own int, key int")
+        sums = seen.groupBy("word", "own", "key").agg(F.count("*").alias("n")).groupBy("word", "own").agg(F.sort_array(F.collect_list(F.struct("key", "n"))).alias("found"))
+        return sums.mapInArrow(best, "word binary, c long, cls int")
+
+    def annotated(encoded: DataFrame, classes_of: DataFrame) -> DataFrame:
+        encoded = encoded.drop("rare", "times")
+        tokens = encoded.where("size(tails) > 0").select("row", F.posexplode("tails").alias("k", "word"))
+        met = tokens.join(classes_of, "word", "left").select("row", F.struct("k", F.coalesce("cls", F.lit(-2)).alias("cls"), F.coalesce("c", F.lit(0).cast("long")).alias("c")).alias("x"))
+        by_row = met.groupBy("row").agg(F.sort_array(F.collect_list("x")).alias("x"))
+        joined = encoded.join(by_row, "row", "left")
+        empty = lambda x, t: F.coalesce(F.col(x), F.array().cast(t))
+        return joined.select(*encoded.columns, empty("x.cls", "array<int>").alias("rare"), empty("x.c", "array<bigint>").alias("times"))
+
+    kept = None
+    if total:
+        counted = transitions(state, hot_class)
+        for turn in range(max(1, rounds)):
+            table = counted.sum(0)[:size, :size]
+            rare_class = move_rare(state, hot_class, table, turn)
+            hot_class = move_hot(state, hot_class, table, turn)
+            state = written(annotated(state, rare_class), "classes")
+            counted = transitions(state, hot_class)
+            value = likelihood(counted.sum(0)[:size, :size])
+            if kept is not None and value <= kept[0] + 1e-6:
+                break
+            dropped(encoded if kept is None else kept[1])
+            kept = (value, state, hot_class, counted)
+        _, state, hot_class, counted = kept
+    else:
+        counted = np.zeros((2, size + TAILS, size + TAILS))
+        hot_class = np.zeros(n_hot, dtype=np.int64)
+        state = state.withColumn("rare", F.transform("tails", lambda x: F.lit(-2)))
+    discount = whole[2] / (whole[2] + 2 * whole[3] + 1)
+    shares = counted[0] + counted[1] * np.where(np.arange(size + TAILS) < size, 1 - discount, discount)
+    model = _probabilities(shares, np.arange(size + TAILS), classes)
+
+    # emission: a training word's share of its class; any other word's is one of a class that grows by one
+    class_size = np.log10(np.maximum((counted[0] + (1 - discount) * counted[1])[:size, :classes].sum(0), 1e-9))
+    new_size = np.log10(counted[1][:size, size:].sum(0) + 1)
     base_norm = math.log10(total + distinct + 1)
     ends = float(total and c.where(F.col("word") == F.lit(bytearray(_END))).first()["c"])
-
-    class_size = np.bincount(of[:clustered], weights=freq[:clustered], minlength=classes) if clustered else np.zeros(classes)
-    emit = np.concatenate([
-        np.log10(freq[:clustered]) - np.log10(class_size[of[:clustered]]) if clustered else np.zeros(0),
-        np.log10(freq[clustered:] + DELTA) - tail_norm[hot_rest],
-        -tail_norm,  # of a word in the join, whose own part is added there
-    ])
-    flat = np.concatenate([np.log10(freq + 1), np.zeros(TAILS)]) - base_norm
-    known = np.concatenate([np.ones(len(words), dtype=bool), np.zeros(TAILS, dtype=bool)])
-    class_of = np.concatenate([of[unit_all], of[units - 1 :]]) if total else np.zeros(len(unit_all) + 1, dtype=np.int64)
-    numbers = spark.sparkContext.broadcast((emit, flat, known, class_of, model))
+    numbers = spark.sparkContext.broadcast((hot_class, freq, class_size, new_size, model))
     end_flat, end_known = math.log10(ends + 1) - base_norm, int(ends > 0)
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        emit, flat, known, class_of, model = numbers.value
-        end = np.array([len(class_of) - 1])
-        for batch in batches:
-            cols: list[list] = [[], [], []]
-            for b in batch.column(4).to_pylist():
-                codes = np.frombuffer(b, dtype=np.int32)
-                path = class_of[np.concatenate([end, codes, end])]
-                cols[0].append(flat[codes].sum() + end_flat)
-                cols[1].append(emit[codes].sum() + model[path[:-1], path[1:]].sum())
-                cols[2].append(int(known[codes].sum()) + end_known)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(cols[0], pa.float64()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.int64())], names=["id", "held_out", "row", "n_tokens", "flat", "part", "known"])
-
-    local = encoded.select("id", "held_out", "row", "n_tokens", "codes").mapInArrow(near, f"id {id_type}, held_out boolean, row long, n_tokens long, flat double, part double, known long")
-    rare = encoded.select("row", F.explode("tails").alias("word")).groupBy("row", "word").agg(F.count("*").alias("tf"))
-    cold = c if least is None else c.where((F.length("word") > HOT_BYTES) | (F.col("c") < least))
-    met = rare.join(cold, "word", "left").select(
-        "row", (F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("f"), (F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + DELTA)).alias("e"), F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0).alias("k")
-    )
-    sums_by_row = met.groupBy("row").agg(F.sum("f").alias("f"), F.sum("e").alias("e"), F.sum("k").alias("k"))
-    joined = local.join(sums_by_row, "row", "left")
-    zero = lambda x: F.coalesce(F.col(x), F.lit(0))
-    base_score = F.col("flat") + zero("f")
-    final = F.col("part") + zero("e") if total else base_score
-    return joined.select(
-        F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + zero("k")).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        base_score.alias("base_score"), final.alias("score"), F.pow(F.lit(10.0), -final / F.col("n_tokens")).alias("perplexity"),
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, freq, class_size, new_size, model = numbers.value
+        for whole_batch in batches:
+            for at in range(0, whole_batch.num_rows, 512):
+                batch = whole_batch.slice(at, 512)
+                seq, cls = sequence(batch.column(3), batch.column(4), of)
+                is_rare, word = (seq >= n_hot) & (seq < end), seq != end
+                times = np.concatenate([freq, np.zeros(TAILS + 1)])[seq]
+                times[is_rare] = batch.column(5).flatten().to_numpy(zero_copy_only=False)
+                new = cls == -2
+                cls[new] = size + seq[new] - n_hot
+                flat = np.where(word, np.log10(times + 1) - base_norm, end_flat)
+                emit = np.zeros(len(seq))
+                emit[new] = -new_size[cls[new] - size]
+                old = word & ~new
+                emit[old] = np.log10(np.maximum(times[old] - discount * (times[old] == 1), 1e-9)) - class_size[cls[old]]
+                emit[1:] += model[cls[:-1], cls[1:]]
+                stop = np.flatnonzero(~word)
+                flat, emit, known = (np.add.reduceat(x[1:], stop[:-1]) for x in (flat, emit, np.where(word, times > 0, end_known).astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(flat), pa.array(emit), pa.array(known)], names=["id", "held_out", "n_tokens", "base_score", "score", "known"])
+
+    scored = state.select("id", "held_out", "n_tokens", "codes", "rare", "times").mapInArrow(scores, f"id {id_type}, held_out boolean, n_tokens long, base_score double, score double, known long")
+    final = F.col("score") if total else F.col("base_score")
+    return scored.select(
+        F.col("id").alias(id_col), "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        "base_score", final.alias("score"), F.pow(F.lit(10.0), -final / F.col("n_tokens")).alias("perplexity"),
     )
 
 

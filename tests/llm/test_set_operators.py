@@ -210,6 +210,19 @@ def test_exchange_raises_the_likelihood():
     assert likelihood(of, n[np.ix_(p, p)]) >= likelihood(start, n) - 1e-6
 
 
+def test_lm_clusters_rare_words_too(spark):
+    """Rare words that take the place of a frequent kind of words are of its class, whatever their last bytes are."""
+    r = np.random.default_rng(5)
+    kinds = [[f"{k}{i}" for i in range(3)] for k in "ab"]
+    texts = [" ".join(str(r.choice(kinds[i % 2])) for i in range(20)) for _ in range(60)]
+    texts += [f"a0 b1 {x} b2 a1 {y} a2 b0" for x, y in zip(("rarezzq", "oddzzq", "scarcezzq"), ("fewzzq", "slimzzq", "thinzzq"))]
+    docs = spark.createDataFrame([(i, t, False) for i, t in enumerate(texts)] + [(900, "b0 rarezzq b1", True), (901, "a0 rarezzq a1", True)], "doc_id long, text string, h boolean")
+    for hot in (6, 200_000):
+        got = {x["doc_id"]: x for x in brown_lm.score(docs, held_out="h", clustered=6, classes=2, hot=hot).where("held_out").collect()}
+        assert got[900]["n_known"] == got[901]["n_known"] == 4
+        assert got[900]["score"] > got[901]["score"] + 1  # ten times as likely where a word of kind a belongs
+
+
 def test_lm_edges(spark, docs, none):
     assert brown_lm.score(none).count() == 0
     held = docs.selectExpr("doc_id", "text", "true AS h")
