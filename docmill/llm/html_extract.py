@@ -38,11 +38,17 @@ _CLOSED_BY = {
     "td": frozenset({"td", "th", "tr", "tbody", "tfoot"}), "th": frozenset({"td", "th", "tr", "tbody", "tfoot"}), "tr": frozenset({"tr", "tbody", "tfoot"}), "head": frozenset({"body"}),
 }
 _ATTR = re.compile(r"([a-zA-Z_:-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_CUE = (
+    r"(?:ad|ads|advert\w*|banner\w*|sponsor\w*|promo\w*|popup|modal|overlay|cookies?|consent|gdpr|notice\w*|alert|newsletter|subscribe|signup|login|social|shar(?:e|ing)|related|recommend\w*|trending|popular|"
+    r"side-?bar\w*|(?:left|right)-?(?:col\w*|rail)|widget\w*|\w*menu\w*|nav\w*|\w+nav|breadcrumb\w*|pager|paginat\w*|foot\w*|\w+footer|masthead|site-?header|page-?header|top-?bar|comments?|disqus|repl(?:y|ies)|discussion|responses?|reviews?|feedback|toc|tags?|byline-?ad|copyright|legal|disclaimer|skip\w*|hidden|toolbar|search\w*)"
+)
+#: A whole class or id that names boilerplate: cues, with words for a part of a page before and after.
 _CUES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner\w*|sponsor\w*|promo\w*|popup|modal|overlay|cookies?|consent|gdpr|notice\w*|alert|newsletter|subscribe|signup|login|social|shar(?:e|ing)|related|recommend\w*|trending|popular|"
-    r"side-?bar\w*|(?:left|right)-?(?:col\w*|rail)|widget\w*|\w*menu\w*|nav\w*|\w+nav|breadcrumb\w*|pager|paginat\w*|foot\w*|\w+footer|masthead|site-?header|page-?header|top-?bar|comment\w*|disqus|repl(?:y|ies)|discussion|responses?|reviews?|feedback|toc|tags?|byline-?ad|copyright|legal|disclaimer|skip\w*|hidden|toolbar|search\w*)(?=$|[\s_-]|\d)",
+    rf"(?:(?:site|page|main|global|top|bottom|left|right|primary|secondary|post|article|entry|user|reader|js|the)[_-]+)*{_CUE}\d*(?:[_-]+(?:{_CUE}|box|buttons?|bar|links?|list|items?|wrap|wrapper|container|section|area|block|inner|panel|content|text|posts?|articles?|stories|title|form|top|bottom|left|right|slot|unit|\d+)\d*)*",
     re.I,
 )
+#: What a cue takes from the log odds.
+CUE = 3.0
 _MAIN_CUES = re.compile(r"(?:^|[\s_-])(?:article\w*|main\w*|content\w*|post|entry|story|body-?text|post-?body|entry-?content|text)(?=$|[\s_-])", re.I)
 _HEADER = re.compile(r"(?:^|\s)\w*header(?=$|\s)", re.I)
 #: A heading after which the rest of its parent is readers' words.
@@ -52,36 +58,59 @@ _ROLES = frozenset("navigation banner contentinfo complementary search form dial
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "bad", "main", "number")
+    __slots__ = ("tag", "parent", "bad", "main", "number", "cue", "lifts", "chars")
 
-    def __init__(self, tag: str, parent: _Element | None, bad: bool, main: bool, number: int):
+    def __init__(self, tag: str, parent: _Element | None, bad: bool, main: bool, number: int, cue: bool = False, lifts: bool = False):
         self.tag, self.parent, self.bad, self.main, self.number = tag, parent, bad, main, number
+        self.cue, self.lifts, self.chars = cue, lifts, 0  # lifts: an article or main
 
 
 def _open(tag: str, attrs: str, parent: _Element | None, number: int) -> _Element:
     bad, main = bool(parent and parent.bad), bool(parent and parent.main)
     if tag in _BAD_TAGS or tag == "header" and not main or tag == "head":
         bad = True
-    if tag in ("article", "main"):
-        main = True
+    cue, lifts = False, tag in ("article", "main")
+    main = main or lifts
     if attrs.strip():
         for name, *values in _ATTR.findall(attrs):
             name, value = name.lower(), "".join(values)
             if name in ("class", "id"):
-                if (_CUES.search(value) or not main and _HEADER.search(value)) and tag not in ("body", "html", "article", "main"):
-                    bad = True
+                if (any(map(_CUES.fullmatch, value.split())) or not main and _HEADER.search(value)) and tag not in ("body", "html", "article", "main"):
+                    cue = True
                 elif _MAIN_CUES.search(value) and not bad:
                     main = True
             elif name == "role":
-                bad, main = bad or value.lower() in _ROLES, main or value.lower() in ("main", "article")
+                lifts = lifts or value.lower() in ("main", "article")
+                bad, main = bad or value.lower() in _ROLES, main or lifts
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 bad = True
-    return _Element(tag, parent, bad, main, number)
+    return _Element(tag, parent, bad, main, number, cue, lifts)
+
+
+def _inherit(elements: list[_Element]) -> None:
+    """Hands cues down, given elements in page order with their own characters.
+
+    A wrapper's cue is void: that of an element with the longest article or main inside or, on a page without one, with
+    over half of the text that isn't bad. Nor does a cue reach into the longest article or main.
+    """
+    for e in reversed(elements):
+        if e.parent and not e.bad:
+            e.parent.chars += e.chars
+    lead = max((e for e in elements if e.lifts and not e.bad and e.chars), key=lambda e: e.chars, default=None)
+    around, e = set(), lead
+    while e:
+        around.add(e.number)
+        e = e.parent
+    whole = elements[0].chars
+    for e in elements:
+        void = e.number in around if lead else 2 * e.chars > whole
+        e.cue = not void and (e.cue or bool(e.parent and e.parent.cue))
 
 
 def blocks(html: str) -> list[tuple[str, _Element, int]]:
     """Text, enclosing element and characters in links of each block with text, in page order."""
     root = at = _Element("", None, False, False, 0)
+    elements = [root]
     out: list[tuple[str, _Element, int]] = []
     parts: list[str] = []
     linked, in_link, number, done = 0, 0, 0, 0
@@ -94,6 +123,7 @@ def blocks(html: str) -> list[tuple[str, _Element, int]]:
                     at.bad = True
                     if at.parent and at.parent.tag not in ("", "html", "body"):
                         at.parent.bad = True
+                at.chars += len(text)
                 out.append((text, at, linked))
             parts.clear()
         linked = 0
@@ -137,8 +167,10 @@ def blocks(html: str) -> list[tuple[str, _Element, int]]:
             if tag not in _VOID and not m["attrs"].endswith("/"):
                 number += 1
                 at = _open(tag, m["attrs"], at, number)
+                elements.append(at)
     text(done, len(html))
     flush()
+    _inherit(elements)
     return out
 
 
@@ -149,7 +181,9 @@ def cost(text: str, element: _Element, linked: int, any_main: bool) -> float:
         return -8.0
     s = -0.5 + min(n, 240) / 120 + 0.8 * (text[-1] in ".!?…:;\"”»") + 0.4 * (element.tag in ("p", "blockquote", "pre", "h1", "h2", "h3", "h4", "li", "figcaption"))
     s -= 3.5 * min(1.0, linked / n)
-    if any_main:
+    if element.cue:
+        s += max(0, min(n, 960) - 240) / 480 - CUE
+    if any_main and not (element.cue and element.main):
         s += 4.0 if element.main else -4.0
     return s - 3.0 * (text[0] in "©" or text[:9].lower() == "copyright")
 
@@ -212,22 +246,26 @@ def _flow(rest: list[int], s: list[float], near: list[dict[int, float]]) -> set[
             cap[b][a] += least
 
 
+def _part(e: _Element) -> tuple[bool, bool, bool]:
+    return e.bad, e.main, e.cue
+
+
 def main_text(html: str | None) -> str:
     """The content blocks of html, a blank line between; empty if there are none."""
     found = blocks(html or "")
     if not found:
         return ""
-    any_main = any(e.main and not e.bad for _, e, _ in found)
+    any_main = any(e.main and not e.bad and not e.cue for _, e, _ in found)
     costs = [cost(t, e, n, any_main) for t, e, n in found]
     edges, last = [], {}
     for i, (_, e, _) in enumerate(found):
         if i:
             before = found[i - 1][1]
-            edges.append((i - 1, i, IN_ROW * (1 if (before.bad, before.main) == (e.bad, e.main) else ACROSS)))
+            edges.append((i - 1, i, IN_ROW * (1 if _part(before) == _part(e) else ACROSS)))
         parent = e.parent.number if e.parent else -1
         if parent in last and (j := last[parent]) < i:
             other = found[j][1]
-            edges.append((j, i, SIBLING * (1 if (other.bad, other.main) == (e.bad, e.main) else ACROSS)))
+            edges.append((j, i, SIBLING * (1 if _part(other) == _part(e) else ACROSS)))
         last[parent] = i
     return "\n\n".join(t for (t, _, _), keep in zip(found, cut(costs, edges)) if keep)
 

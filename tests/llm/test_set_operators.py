@@ -116,6 +116,19 @@ def test_templates(html):
     assert html_extract.main_text(f"<html><body>{html}</body></html>") == "\n\n".join(["Big title", *STORY])
 
 
+@pytest.mark.parametrize("name", ["overflow-hidden", "has-sidebar", "no-sidebar", "sidebar-right", "comments-open", "post tag-politics", "sidebar", "x hidden"])
+def test_layout_wrappers_keep_their_article(name):
+    want = "\n\n".join(["Big title", *STORY])
+    assert html_extract.main_text(f'<body><div class="{name}"><article><h1>Big title</h1>{_P}</article></div></body>') == want
+    assert html_extract.main_text(f'<body><div class="{name}"><h1>Big title</h1>{_P}</div><div class="related"><p>Read this other story, too.</p></div></body>') == want
+
+
+def test_cues_are_outweighed_by_long_text_only():
+    story, aside = "A sentence of the story, with clauses. " * 30, "Buy this now, it is on sale today!"
+    page = f'<main><p>{story}</p><div class="notice"><p>{story}</p></div><div class="ad">{aside}</div><div class="related"><article><p>{aside}</p></article></div></main>'
+    assert html_extract.main_text(page) == "\n\n".join([story.strip()] * 2)
+
+
 def test_cut_is_minimum():
     r = random.Random(6)
     for _ in range(300):
