@@ -51,7 +51,7 @@ _CUES = re.compile(
 CUE = 3.0
 _MAIN_CUES = re.compile(r"(?:^|[\s_-])(?:article\w*|main\w*|content\w*|post|entry|story|body-?text|post-?body|entry-?content|text)(?=$|[\s_-])", re.I)
 _HEADER = re.compile(r"(?:^|\s)\w*header(?=$|\s)", re.I)
-#: A heading after which the rest of its parent is readers' words.
+#: A heading after which its parent has readers' words, up to the next heading of its level or a higher one.
 _READERS = re.compile(r"(?:\d+ )?(?:reader |user )?(?:comments?|commentaires?|kommentare?|comentarios?|responses?|replies)(?: ?\(\d+\))?:?|leave a (?:comment|reply)|join the (?:discussion|conversation)", re.I)
 _BAD_TAGS = frozenset("nav footer aside form menu dialog fieldset search".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -107,24 +107,36 @@ def _inherit(elements: list[_Element]) -> None:
         e.cue = not void and (e.cue or bool(e.parent and e.parent.cue))
 
 
-def blocks(html: str) -> list[tuple[str, _Element, int]]:
-    """Text, enclosing element and characters in links of each block with text, in page order."""
+def _level(e: _Element) -> int:
+    """1 to 6 for headings; 7 for other elements."""
+    return int(e.tag[1]) if re.fullmatch("h[1-6]", e.tag) else 7
+
+
+def blocks(html: str) -> list[tuple[str, _Element, int, bool]]:
+    """Text, enclosing element, characters in links and whether under readers' heading, of each block with text, in page order."""
     root = at = _Element("", None, False, False, 0)
     elements = [root]
-    out: list[tuple[str, _Element, int]] = []
+    out: list[tuple[str, _Element, int, bool]] = []
+    under: tuple[_Element, int] | None = None  # the parent of the readers' heading in force, and its level
     parts: list[str] = []
     linked, in_link, number, done = 0, 0, 0, 0
 
+    def within(e: _Element | None, outer: _Element) -> bool:
+        while e and e.number > outer.number:
+            e = e.parent
+        return e is outer
+
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, under
         if parts:
             if text := " ".join(unescape("".join(parts)).split()):
                 if len(text) < 40 and _READERS.fullmatch(text):
-                    at.bad = True
-                    if at.parent and at.parent.tag not in ("", "html", "body"):
-                        at.parent.bad = True
+                    if not (under and within(at, under[0]) and _level(at) > under[1]):
+                        under = at.parent or at, _level(at)
+                elif under and not (within(at, under[0]) and (_level(at) == 7 or _level(at) > under[1])):
+                    under = None
                 at.chars += len(text)
-                out.append((text, at, linked))
+                out.append((text, at, linked, under is not None))
             parts.clear()
         linked = 0
 
@@ -174,16 +186,16 @@ def blocks(html: str) -> list[tuple[str, _Element, int]]:
     return out
 
 
-def cost(text: str, element: _Element, linked: int, any_main: bool) -> float:
+def cost(text: str, element: _Element, linked: int, any_main: bool, readers: bool = False) -> float:
     """The log odds that a block is content."""
     n = len(text)
     if element.bad:
         return -8.0
     s = -0.5 + min(n, 240) / 120 + 0.8 * (text[-1] in ".!?…:;\"”»") + 0.4 * (element.tag in ("p", "blockquote", "pre", "h1", "h2", "h3", "h4", "li", "figcaption"))
     s -= 3.5 * min(1.0, linked / n)
-    if element.cue:
-        s += max(0, min(n, 960) - 240) / 480 - CUE
-    if any_main and not (element.cue and element.main):
+    if cued := element.cue or readers:
+        s += max(0, min(n, 1440) - 240) / 480 - CUE
+    if any_main and not (cued and element.main):
         s += 4.0 if element.main else -4.0
     return s - 3.0 * (text[0] in "©" or text[:9].lower() == "copyright")
 
@@ -246,8 +258,8 @@ def _flow(rest: list[int], s: list[float], near: list[dict[int, float]]) -> set[
             cap[b][a] += least
 
 
-def _part(e: _Element) -> tuple[bool, bool, bool]:
-    return e.bad, e.main, e.cue
+def _part(e: _Element, readers: bool) -> tuple[bool, bool, bool]:
+    return e.bad, e.main, e.cue or readers
 
 
 def main_text(html: str | None) -> str:
@@ -255,19 +267,17 @@ def main_text(html: str | None) -> str:
     found = blocks(html or "")
     if not found:
         return ""
-    any_main = any(e.main and not e.bad and not e.cue for _, e, _ in found)
-    costs = [cost(t, e, n, any_main) for t, e, n in found]
+    any_main = any(e.main and not e.bad and not e.cue for _, e, _, _ in found)
+    costs = [cost(t, e, n, any_main, r) for t, e, n, r in found]
     edges, last = [], {}
-    for i, (_, e, _) in enumerate(found):
+    for i, (_, e, _, r) in enumerate(found):
         if i:
-            before = found[i - 1][1]
-            edges.append((i - 1, i, IN_ROW * (1 if _part(before) == _part(e) else ACROSS)))
+            edges.append((i - 1, i, IN_ROW * (1 if _part(*found[i - 1][1::2]) == _part(e, r) else ACROSS)))
         parent = e.parent.number if e.parent else -1
         if parent in last and (j := last[parent]) < i:
-            other = found[j][1]
-            edges.append((j, i, SIBLING * (1 if _part(other) == _part(e) else ACROSS)))
+            edges.append((j, i, SIBLING * (1 if _part(*found[j][1::2]) == _part(e, r) else ACROSS)))
         last[parent] = i
-    return "\n\n".join(t for (t, _, _), keep in zip(found, cut(costs, edges)) if keep)
+    return "\n\n".join(t for (t, _, _, _), keep in zip(found, cut(costs, edges)) if keep)
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -129,6 +129,17 @@ def test_cues_are_outweighed_by_long_text_only():
     assert html_extract.main_text(page) == "\n\n".join([story.strip()] * 2)
 
 
+def test_readers_heading_marks_what_follows_it_only():
+    body = "A body of the post, lying directly in its element, long enough to count."
+    readers = "<p>bob: I disagree, sorry to say.</p>"
+    assert html_extract.main_text(f'<body><div class="post">{body}<br>More of it.<h3>Comments</h3>{readers}</div></body>') == f"{body} More of it."
+    for word in ("Response", "Comment", "Comments"):
+        got = html_extract.main_text(f"<article><h1>Big title</h1><p>{body}</p><h2>{word}</h2>{readers}<h3>Lower</h3>{readers}<h2>Next section</h2>{_P}</article>")
+        assert got == "\n\n".join(["Big title", body, "Next section", *STORY])
+    long = "A section of the article that is headed so, in whole sentences. " * 20
+    assert long.strip() in html_extract.main_text(f"<article><h1>Big title</h1><p>{body}</p><h2>Response</h2><p>{long}</p></article>")
+
+
 def test_cut_is_minimum():
     r = random.Random(6)
     for _ in range(300):
