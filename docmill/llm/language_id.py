@@ -21,8 +21,10 @@ from docmill.llm._util import annotate
 
 BUCKETS = 1 << 16
 UNDETERMINED = "und"
-#: Rows of each language that training reads, about; chosen by a hash of the text.
+#: Distinct texts of each language that training reads, about; chosen by a hash of the text.
 ROWS_PER_LANGUAGE = 2000
+#: Texts of each language at least that rows_per_language is taken for.
+LEAST_TEXTS = 20
 #: A lead in loss, in nats, under which the nearest codeword is ambiguous.
 MARGIN = 1.0
 #: A mean weight of 1/SCALE is a log odds of 1, in texts of FULL trigrams or more.
@@ -96,17 +98,21 @@ def _counts(sample: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, lang: str = "lang", text: str = "text", rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
-    """A model of the languages in docs' labelled rows with a letter, from about rows_per_language rows of each.
+    """A model of the languages in docs' labelled rows with a letter, from about rows_per_language distinct texts of each.
 
+    Only rows with a letter count for it, copies count once; of every language with such a row some text is read.
     What comes to the driver is languages x 65536 sums at most, whatever the number of rows.
     """
-    seen = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    sizes = {r["lang"]: r["n"] for r in docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).collect()}
+    seen = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(_LETTER)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    seen = seen.withColumn("h", F.xxhash64(F.lit("sample"), "text"))
+    sizes = {r["lang"]: (r["n"], r["h"]) for r in seen.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("h")).collect()}
     if not sizes:
         return Model([], codewords(0), np.zeros((BUCKETS, 1), np.float32), codewords(0))
     # a language is rarer than the cut or is thinned to it
-    share: Column = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, rows_per_language / n)))])
-    sample = seen.where((F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)) & F.col("text").rlike(_LETTER))
+    share: Column = F.create_map(*[x for k, (n, _) in sizes.items() for x in (F.lit(k), F.lit(min(1.0, max(rows_per_language, LEAST_TEXTS) / n)))])
+    always: Column = F.create_map(*[x for k, (_, h) in sizes.items() for x in (F.lit(k), F.lit(h))])
+    chosen = seen.where((F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)) | (F.col("h") == always[F.col("lang")]))
+    sample = chosen.groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
     rows = _counts(sample).toPandas()
     languages = sorted(rows["lang"].unique())
     place = {x: i for i, x in enumerate(languages)}

@@ -192,6 +192,15 @@ def test_language_of_odd_rows(docs, rows, none):
     assert language_id.train(docs, rows_per_language=1).languages  # the bound thins, it never fails
 
 
+def test_language_sample_is_of_usable_distinct_texts(spark):
+    rows = [("xx", None)] * 3000 + [("xx", f"quoz blim {i}") for i in range(5)] + [("yy", "the same words")] * 3000 + [("yy", f"other words {i}") for i in range(5)] + [("zz", "1 2 3")] * 9
+    df = spark.createDataFrame(rows, "lang string, text string")
+    model = language_id.train(df, rows_per_language=20)
+    assert model.languages == ["xx", "yy"]
+    once = language_id.train(df.distinct(), rows_per_language=20)
+    assert (model.weights == once.weights).all()  # copies don't outweigh other texts
+
+
 def test_codewords():
     for n in (2, 3, 4, 7, 12, 60):
         m = language_id.codewords(n)
