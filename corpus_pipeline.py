@@ -15,8 +15,11 @@ from docmill.llm._util import table, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in which no language can be told (no text or no letter); a missing lang becomes the predicted one."""
-    told = language_id.predict(docs, language_id.train(docs)).where(F.col("lang_pred") != language_id.UNDETERMINED)
+    """Drop documents without text or letter; a missing lang becomes the predicted one, or stays null if no document tells of a language."""
+    model = language_id.train(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    told = language_id.predict(docs, model).where(F.col("lang_pred") != language_id.UNDETERMINED)
     return told.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 

@@ -45,3 +45,8 @@ def test_stages_on_odd_rows(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0, name
         if name != "encode":
             assert stage(spark, docs, SF).columns == docs.columns
+
+
+def test_documents_of_no_known_language_are_kept(spark):
+    docs = spark.createDataFrame([(1, "some text", None), (2, "12", None), (3, None, None), (4, "", None)], "doc_id long, text string, lang string")
+    assert [tuple(r) for r in corpus_pipeline.identify_language(spark, docs, SF).collect()] == [(1, "some text", None)]
