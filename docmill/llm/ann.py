@@ -100,7 +100,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     base = usable(vectors, id_col, vector)
     asked = usable(queries, id_col, vector).distinct()
     shape = "query_id long, vec_id long, score double"
-    dims = [r["d"] for r in asked.select(F.size("v").alias("d")).distinct().limit(1000).collect()]
+    sizes = [t.select(F.size("v").alias("d")).distinct() for t in (asked, base)]
+    dims = [r["d"] for r in sizes[0].join(sizes[1], "d").collect()]
     results = None
     for dim in sorted(dims):
         rows = base.where(F.size("v") == dim)

@@ -289,6 +289,13 @@ def test_neighbours(spark, dim, block):
     assert ann.search(few, few, 10).count() == 12 and ann.search(df.limit(0), df.limit(0)).count() == 0 and ann.search(df, df.limit(0)).count() == 0
 
 
+def test_neighbours_of_many_dimensions(spark):
+    many = spark.range(1, 1301).selectExpr("id AS vec_id", "array_repeat(CAST(1 AS FLOAT), CAST(id AS INT)) AS embedding")
+    dims = [3, 200, 777, 900, 1299]
+    few = many.where(many.vec_id.isin(dims)).selectExpr("vec_id + 5000 AS vec_id", "embedding")
+    assert sorted(r["query_id"] for r in ann.search(few, many, 1).collect()) == dims
+
+
 def test_bounds_hold():
     r = np.random.default_rng(1)
     x, q = r.standard_normal((3000, 64)), r.standard_normal(64)
