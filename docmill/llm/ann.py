@@ -93,16 +93,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     Distances are Euclidean, in double precision, nearest first, ties to the smaller id; fewer than k rows are all
     returned. Null, empty or zero vectors, or ones with a null or non-finite component, take no part, nor do rows
     without an id or, as rows, of another dimension than the query. Rows that repeat an id count each; a query repeated
-    exactly is answered once. Empty tables give no rows. Queries go round in blocks of bounded size, each a pass over
+    exactly is answered once. Queries that repeat an id with other vectors are answered each: their id then has up to k
+    rows, of ranks from 1, for each vector. Empty tables give no rows. Queries go round in blocks of bounded size, each a pass over
     the table; a pass keeps k rows for each query and partition.
     """
     spark = vectors.sparkSession
     base = usable(vectors, id_col, vector)
     asked = usable(queries, id_col, vector).distinct()
-    shape = "query_id long, vec_id long, score double"
+    shape = "query int, query_id long, vec_id long, score double"
     sizes = [t.select(F.size("v").alias("d")).distinct() for t in (asked, base)]
     dims = [r["d"] for r in sizes[0].join(sizes[1], "d").collect()]
-    results = None
+    results, before = None, 0  # queries numbered before a block's own
     for dim in sorted(dims):
         rows = base.where(F.size("v") == dim)
         per_block = max(1, block_numbers // dim)
@@ -116,27 +117,29 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
         for b in range(blocks):
             # the ids' hash spreads queries over blocks of about equal size
             block = mine.where(F.pmod(F.xxhash64("id", "v"), F.lit(blocks)) == b).toPandas()
-            sent = spark.sparkContext.broadcast((block["id"].to_numpy(dtype=np.int64), np.array(block["v"].tolist(), dtype=np.float64).reshape(-1, dim), centre, turn))
+            numbers, before = np.arange(before, before + len(block), dtype=np.int32), before + len(block)
+            sent = spark.sparkContext.broadcast((numbers, block["id"].to_numpy(dtype=np.int64), np.array(block["v"].tolist(), dtype=np.float64).reshape(-1, dim), centre, turn))
 
             def run(batches: Iterator[pa.RecordBatch], sent=sent, dim: int = dim) -> Iterator[pa.RecordBatch]:
-                q_ids, qs, centre, turn = sent.value
+                numbers, q_ids, qs, centre, turn = sent.value
                 for batch in batches:
                     if not batch.num_rows or not len(q_ids):
                         continue
                     ids = batch.column(0).to_numpy()
                     x = batch.column(1).flatten().to_numpy().reshape(-1, dim)
                     coded = encode(x, centre, turn)
-                    out: list[list] = [[], [], []]
-                    for i, q in zip(q_ids, qs):
+                    out: list[list] = [[], [], [], []]
+                    for number, i, q in zip(numbers, q_ids, qs):
                         at, d = _nearest(x, ids, coded, q, i, centre, turn, k)
-                        out[0].append(np.full(len(at), i))
-                        out[1].append(ids[at])
-                        out[2].append(d)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+                        out[0].append(np.full(len(at), number))
+                        out[1].append(np.full(len(at), i))
+                        out[2].append(ids[at])
+                        out[3].append(d)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(out, (pa.int32(), pa.int64(), pa.int64(), pa.float64()))], names=["query", "query_id", "vec_id", "score"])
 
             found = rows.mapInArrow(run, shape)
             results = found if results is None else results.unionAll(found)
     if results is None:
         results = spark.createDataFrame([], shape)
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    best = Window.partitionBy("query").orderBy("score", "vec_id")
     return results.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

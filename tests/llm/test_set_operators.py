@@ -289,6 +289,13 @@ def test_neighbours(spark, dim, block):
     assert ann.search(few, few, 10).count() == 12 and ann.search(df.limit(0), df.limit(0)).count() == 0 and ann.search(df, df.limit(0)).count() == 0
 
 
+def test_neighbours_of_repeated_ids(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(8)], "vec_id long, embedding array<float>")
+    asked = spark.createDataFrame([(99, [0.0, 1.5]), (99, [7.0, 1.5])], "vec_id long, embedding array<float>")
+    got = sorted((r["rank"], r["vec_id"]) for r in ann.search(df, asked, 3).collect())
+    assert got == [(1, 0), (1, 7), (2, 1), (2, 6), (3, 2), (3, 5)]
+
+
 def test_neighbours_of_many_dimensions(spark):
     many = spark.range(1, 1301).selectExpr("id AS vec_id", "array_repeat(CAST(1 AS FLOAT), CAST(id AS INT)) AS embedding")
     dims = [3, 200, 777, 900, 1299]
