@@ -467,11 +467,11 @@ def q_update_by_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus AS status, round(o_totalprice, 2) AS price FROM orders")
 def q_point_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A point in time still sees what was deleted after it."""
-    store, _ = _loaded(spark, sf_dir)
+    store, t = _loaded(spark, sf_dir)
     pit = store.open_pit("orders", "1h")
     store.delete_by_query("orders")
     store.collect_garbage("orders")
-    docs = store.search("orders", {"size": 10_000_000, "sort": ["_id"]}, pit).hits
+    docs = store.search("orders", {"size": t.count(), "sort": ["_id"]}, pit).hits
     return docs.select(F.col("_id").alias("id"), "status", F.round("price", 2).alias("price"))
 
 

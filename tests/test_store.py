@@ -118,3 +118,13 @@ def test_stream(store, spark, tmp_path):
     spark.createDataFrame([("b", '{"pages": 4}', 0)], "id string, source string, seq long").write.mode("append").parquet(str(folder))
     upserts(read(), store, "books", str(tmp_path / "check")).awaitTermination()
     assert {h["_id"]: h["_source"]["pages"] for h in store.search("books", {}).response()["hits"]} == {"a": 2, "b": 4}
+
+
+def test_point_in_time_query_asks_for_every_order(spark, monkeypatch):
+    from docmill import queries
+    from tests.llm.conftest import SF
+
+    sizes, search = [], Store.search
+    monkeypatch.setattr(Store, "search", lambda self, name, body, *more: sizes.append(body["size"]) or search(self, name, body, *more))
+    n = spark.read.parquet(f"{SF}/orders.parquet").count()
+    assert queries.q_point_in_time(spark, SF).count() == n and sizes == [n]
