@@ -151,6 +151,62 @@ def test_cut_is_minimum():
         assert math.isclose(paid(html_extract.cut(costs, edges)), best, abs_tol=1e-9)
 
 
+def test_labels_are_a_minimum_cut_of_the_page():
+    """Over every labelling of a small page's blocks and regions none costs less than the one chosen, and the cut does change labels."""
+    r, changed = random.Random(9), 0
+    sentence = lambda: " ".join(r.choices(["word", "another", "of", "text"], k=r.choice([1, 3, 20, 150]))) + r.choice([".", ""])
+    for _ in range(120):
+        part = lambda: "".join(r.choice(["<p>{}</p>", "<li><a href=x>{}</a>", "<h2>{}</h2>", "<div>{}</div>", "<h3>Comments</h3><p>{}</p>"]).format(sentence()) for _ in range(r.randint(1, 2)))
+        page = "".join(r.choice(["<article>{}</article>", "<nav>{}</nav>", "<div class=ad>{}</div>", "{}"]).format(part()) for _ in range(2))
+        found = html_extract.blocks(page)
+        costs, edges = html_extract.graph(found)
+        assert len(costs) <= 14
+        labels = (np.arange(1 << len(costs))[:, None] >> np.arange(len(costs)) & 1).astype(bool)
+        paid = np.where(labels, np.maximum(0, -np.array(costs)), np.maximum(0, np.array(costs))).sum(1) + sum(w * (labels[:, a] != labels[:, b]) for a, b, w in edges)
+        got = html_extract.cut(costs, edges)
+        assert math.isclose(paid[sum(1 << k for k, x in enumerate(got) if x)], paid.min(), abs_tol=1e-6)
+        changed += sum((c > 0) != keep for _, c, keep in html_extract.labelled(page))
+    assert changed > 50
+
+
+def test_built_pages():
+    """Pages put together from blocks of known kind, in many layouts: the text is the article's blocks, exactly."""
+    r = random.Random(21)
+    words = "the river town council said that it would open a new bridge over water in spring after years of work".split()
+    say = lambda a, b: " ".join(r.choices(words, k=r.randint(a, b))).capitalize()
+    article_tags = [("<article>", "</article>"), ("<main>", "</main>"), ('<div role="main">', "</div>"), ('<main><article class="post">', "</article></main>"), ('<div id="content">', "</div>")]
+    before = [lambda: f"<nav><ul>{''.join(f'<li><a href=x>{say(1, 2)}</a>' for _ in range(5))}</ul></nav>", lambda: f'<header class="site-header"><a href=/>{say(1, 3)}</a></header>', lambda: f'<div class="cookie-notice">{say(5, 12)}.</div>', lambda: f'<ul class="menu"><li><a href=x>{say(1, 1)}</a></ul>']
+    after = [lambda: f"<footer><p>{say(8, 30)}.</p><p>&copy; {say(2, 4)}</p></footer>", lambda: f"<aside><h3>{say(2, 3)}</h3><p>{say(8, 40)}.</p></aside>", lambda: f'<div id="comments"><h3>Comments</h3>{"".join(f"<p>{say(4, 30)}.</p>" for _ in range(4))}</div>', lambda: f'<form><p>{say(4, 8)}:</p><input></form>', lambda: f'<div class="newsletter-box"><p>{say(6, 20)}.</p></div>']
+    inside = [lambda: f'<div class="ad">{say(4, 12)}.</div>', lambda: "<script>var x = '<p>no</p>';</script>", lambda: f'<div class="share-buttons"><a href=x>{say(1, 1)}</a></div>', lambda: f"<aside>{say(5, 15)}.</aside>"]
+    for n in range(200):
+        title, paras = say(3, 9), [say(*r.choice([(1, 3), (10, 30), (60, 120)])) + "." for _ in range(r.randint(3, 9))]
+        body = f"<h1>{title}</h1>"
+        for p in paras:
+            body += r.choice([f"<p>{p}</p>", f"<p>{p}", f"<ul><li>{p}</li></ul>", f"<blockquote>{p}</blockquote>"]) + (r.choice(inside)() if r.random() < 0.25 else "")
+        a, b = r.choice(article_tags)
+        page = f"<html><head><title>T</title></head><body>{''.join(f() for f in r.sample(before, 2))}{a}{body}{b}{''.join(f() for f in r.sample(after, 3))}</body></html>"
+        assert html_extract.main_text(page) == "\n\n".join([title, *paras]), n
+
+
+def test_words_in_names_lose_no_article():
+    long = "A review of the new bridge, which opened in spring after years of work. " * 6
+    for name in ("review", "feedback", "legal", "tags", "discussion", "related", "alert", "search"):
+        assert html_extract.main_text(f'<div class="{name}"><p>{long}</p></div>') == long.strip(), name
+    assert html_extract.main_text(f"<article><h1>Big title</h1><p>{long}</p><h2>Responses</h2><p>{long}</p><p>{long}</p></article>").count("A review") >= 6
+
+
+def test_time_is_linear():
+    import time
+
+    for make in (lambda k: "<a" * k, lambda k: "<!" * k, lambda k: "<script" * k, lambda k: "<div>" * k + "</p>" * k, lambda k: "<div>" * k + "<h3>Comments</h3>" + "<i>x</i><div>" * k, lambda k: '<a "' * k, lambda k: "<p>one" * k, lambda k: "&#" + "9" * k, lambda k: f'<p class="{"menu_" * k}!">x'):
+        best = []
+        for k in (6_000, 48_000):
+            began = time.process_time()
+            html_extract.main_text(make(k))
+            best.append(time.process_time() - began)
+        assert best[1] < 30 * max(best[0], 0.02), make(3)
+
+
 def test_pages_query(spark):
     html = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     got = queries.op5_html_extraction(spark, SF).collect()
