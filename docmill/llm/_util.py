@@ -12,16 +12,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_LOCAL: dict[str, str] = {}  # by application
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of the session; a folder of its own only in local mode without that setting."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
+    if at := spark.conf.get("spark.checkpoint.dir", None):
         return at.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    at = f"file://{tempfile.mkdtemp(prefix='docmill-')}"
-    spark.conf.set("spark.checkpoint.dir", at)
-    return at
+    if (app := spark.sparkContext.applicationId) not in _LOCAL:
+        _LOCAL[app] = f"file://{tempfile.mkdtemp(prefix='docmill-')}"
+    return _LOCAL[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -34,15 +36,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder, read back: later readers neither recompute it nor depend on executors that wrote it."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._scratch = path
+    return back
 
 
-def dropped(df: DataFrame) -> None:
-    """Deletes a written table that nothing reads any more, and lets the session delete shuffles that nothing refers to."""
-    spark = df.sparkSession
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more, and lets the session delete shuffles that nothing refers to."""
+    for df in tables:
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    released(spark)
+
+
+def released(spark: SparkSession) -> None:
+    """Lets the session delete shuffles and broadcasts that nothing refers to."""
     gc.collect()
     spark._jvm.System.gc()
 

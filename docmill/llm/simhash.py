@@ -6,7 +6,8 @@ the first box is equal, the first two differ in one bit at most, and so on round
 make the join key: one side writes them as they are, the other in each variant within the budget. Longer chains are
 then checked one box at a time; the seventh is the full Hamming check.
 
-Equal fingerprints are one node before anything is joined, so a group of copies, however large, costs one row.
+Equal fingerprints are one node before anything is joined, so a group of copies, however large, costs one row. A longer
+chain means more keys to ask for and fewer candidates: it is chosen from the number of nodes and changes no result.
 """
 
 from __future__ import annotations
@@ -21,11 +22,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from docmill.llm._util import annotate, written
+from docmill.llm._util import annotate, dropped, written
 
 WIDTHS = (9, 9, 9, 9, 9, 9, 10)
 STARTS = tuple(sum(WIDTHS[:i]) for i in range(7))
 MAX_BITS = 6
+#: What it takes to test a candidate, a probe's row through the shuffle being 1.
+CANDIDATE = 0.1
+#: A fingerprint of more rows than this, or than a ten-thousandth of all if that is more, is hot: at most 10,000 are.
+HOT_ROWS = 100_000
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -71,6 +76,14 @@ def _masks(box: int, chain: int) -> list[int]:
     return [m for m, _ in found]
 
 
+def best_chain(nodes: int) -> int:
+    """The chain by which that many evenly spread fingerprints are joined with the least work."""
+
+    def work(chain: int) -> float:
+        return sum(len(_masks(b, chain)) * (1 + CANDIDATE * nodes / (1 << sum(WIDTHS[(b + k) % 7] for k in range(chain)))) for b in range(7))
+
+    return min((2, 3, 4), key=work)
+
 
 def _passes(box: int, first: int, x: str) -> str:
     """SQL: the chain that starts at box stays within budget at each length from first on."""
@@ -115,40 +128,44 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         state = e.agg(F.count("*").alias("n"), F.sum(F.col("u").cast("decimal(38,0)") + F.col("v")).alias("s"), F.sum((F.xxhash64("u", "v") % 1000003)).alias("h")).first()
         if seen == tuple(state) or not state[0]:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v")).distinct()
+            done = e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v")).distinct()
+            done._scratch = e._scratch
+            return done
         seen = tuple(state)
         both = e.unionAll(e.select("v", "u"))  # large star: a node's larger neighbours join its least neighbour
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))  # small star: it and its smaller neighbours join the least
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-        e = written(small.where("u != v").distinct(), "edges")
+        before, e = e, written(small.where("u != v").distinct(), "edges")
+        dropped(before)
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", chain: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", chain: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per row of docs: id, fingerprint (16 hex digits), n_near, component_id, group (one fingerprint of the component, as its key).
 
     Null or wordless texts have fingerprint zero and link to each other; rows that repeat count as rows of their own;
-    a null id counts as a row and is never a component's least id unless there is no other; no rows give no rows.
-    Raise chain to 3 beyond some 200 million distinct fingerprints: 14 times the probes for a fortieth of the candidates.
+    a null id counts as a row and is never a component's least id unless there is no other; no rows give no rows. Whole
+    texts are read, however long; columns other than the two named are ignored. Keys that many nodes share are split by
+    Spark's skew join, rows of a hot fingerprint by salt.
     """
     fps = written(fingerprints(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text")), "text").select("id", "fp"), "fingerprints")
     nodes = written(fps.groupBy("fp").agg(F.count("*").alias("n"), F.min("id").alias("least")), "nodes")
-    pairs = written(links(nodes.select("fp", "n"), chain), "links")
+    pairs = written(links(nodes.select("fp", "n"), chain or best_chain(nodes.count())), "links")
     near = pairs.select(F.col("a").alias("fp"), F.col("n_b").alias("n")).unionAll(pairs.select("b", "n_a")).groupBy("fp").agg(F.sum("n").alias("near"))
     roots = components(pairs)
     joined = nodes.join(near, "fp", "left").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     joined = written(joined.select("fp", "n", "least", F.coalesce("near", F.lit(0)).alias("near"), "root"), "joined")
+    dropped(nodes, pairs, roots)
     linked = joined.where("root IS NOT NULL")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    copies = (F.col("n") - 1).alias("n_near")
-    about = joined.where("root IS NULL").select("fp", copies, F.col("least").alias("component_id"), F.col("fp").alias("root")).unionAll(linked.join(least, "root").select("fp", copies + F.col("near"), "component_id", "root"))
-    # a fingerprint shared by a third of all rows: the join below splits it by salt on the one side, copies on the other
-    salts = 8
-    salted = about.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return (
-        fps.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-        .join(salted, ["fp", "salt"])
-        .select(F.col("id").alias(id_col), _hex("fp").alias("fingerprint"), "n_near", "component_id", _hex("root").alias("group"))
-    )
+    about = joined.where("root IS NULL").select("fp", "n", F.lit(0).cast("long").alias("near"), F.col("least").alias("component_id"), F.col("fp").alias("root"))
+    about = about.unionAll(linked.join(least, "root").select("fp", "n", "near", "component_id", "root"))
+    about = about.select("fp", "n", (F.col("n") - 1 + F.col("near")).alias("n_near"), "component_id", "root")
+    limit = max(hot_rows, (joined.agg(F.sum("n")).first()[0] or 0) // 10_000)
+    parts = lambda n: F.when(n > limit, F.ceil(n / limit).cast("int")).otherwise(F.lit(1))
+    hot = joined.where(F.col("n") > limit).select("fp", parts(F.col("n")).alias("parts"))  # 10,000 rows at most
+    salted = about.select(F.explode(F.sequence(F.lit(0), parts(F.col("n")) - 1)).alias("salt"), "fp", "n_near", "component_id", "root")
+    rows = fps.join(F.broadcast(hot), "fp", "left").select("id", "fp", F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")), F.lit(0)).cast("int").alias("salt"))
+    return rows.join(salted, ["fp", "salt"]).select(F.col("id").alias(id_col), _hex("fp").alias("fingerprint"), "n_near", "component_id", _hex("root").alias("group"))

@@ -50,3 +50,29 @@ def test_stages_on_odd_rows(spark):
 def test_documents_of_no_known_language_are_kept(spark):
     docs = spark.createDataFrame([(1, "some text", None), (2, "12", None), (3, None, None), (4, "", None)], "doc_id long, text string, lang string")
     assert [tuple(r) for r in corpus_pipeline.identify_language(spark, docs, SF).collect()] == [(1, "some text", None)]
+
+
+def test_stages_give_every_other_column_back(spark, docs, rows):
+    """Clashing, dotted, repeated: extra columns come through each stage bit for bit, with the row they came with."""
+    extra = {"score": "double", "group": "string", "fp": "long", "n_words": "long", "a.b": "string", "lang_pred": "string", "__id": "int", "__rank": "int", "contaminated": "boolean", "text.x": "string", "map": "map<string,int>", "salt": "int", "component_id": "string"}
+    made = [(i, t, lang, "s", -1, k / 7, f"g{k}", k, -k, f"dot{k}", "xx", k, -k, k % 2 == 0, f"t{k}", {"k": k}, k, f"c{k}") for k, (i, t, lang) in enumerate(rows)]
+    names = [f"`{n}` {t}" for n, t in extra.items()]
+    given = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(names))
+    whole = {r["fp"]: r for r in given.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, given, SF)
+        assert out.columns == given.columns and [f.dataType for f in out.schema] == [f.dataType for f in given.schema], name
+        got = out.collect()
+        assert got, name
+        decided = {"language_id": {"lang"}, "pii": {"text", "n_chars"}}.get(name, set())
+        for r in got:
+            before = whole[r["fp"]].asDict()
+            assert {k: v for k, v in r.asDict().items() if k not in decided} == {k: v for k, v in before.items() if k not in decided}, name
+    assert corpus_pipeline.encode(spark, given, SF).count() == len(rows)
+
+
+def test_the_row_kept_of_equal_ones_does_not_depend_on_order(spark):
+    made = [(1, "the same words as ever", "en", "s", 0, x) for x in ("b", "a", "c")]
+    for order in (made, made[::-1]):
+        docs = spark.createDataFrame(order, SCHEMA + ", mark string").repartition(2)
+        assert [r["mark"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()] == ["a"]

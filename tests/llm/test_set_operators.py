@@ -80,6 +80,12 @@ def test_near_duplicate_query(spark):
     assert order(got) == order(naive_groups([naive_fingerprint(r["text"]) for r in t], [r["doc_id"] for r in t]))
 
 
+def test_hot_fingerprints_and_chains_change_nothing(docs, rows):
+    want = order(tuple(r) for r in simhash.near_duplicates(docs).collect())
+    assert want == order(tuple(r) for r in simhash.near_duplicates(docs, chain=3, hot_rows=1).collect())
+    assert [simhash.best_chain(n) for n in (0, 10**6, 10**9)] == [2, 2, 3]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p > b {}</style></head><body class="home">
 <header class="site-header"><a href="/">Home</a> Big Site</header><nav><ul><li><a href=x>One</a><li><a href=y>Two</a></ul></nav>
 <div class="cookie-notice">We use cookies. Accept them all, please, now.</div><aside class=sidebar><p>Popular: a long enough sentence about other things.</p></aside>
