@@ -165,7 +165,7 @@ def _within_bounds(low: float | None, high: float | None):
 
 
 def summary(docs: DataFrame, wanted: list[Aggregation], index: Index) -> dict[str, DataFrame]:
-    """All range and metric aggregations of a request, from one row of conditional sums."""
+    """All range and metric aggregations of a request, from one row of conditional sums, which is computed here and now."""
     sums: list[Column] = []
     shapes: dict[str, list[Column]] = {}
     for i, a in enumerate(wanted):
@@ -198,7 +198,9 @@ def summary(docs: DataFrame, wanted: list[Aggregation], index: Index) -> dict[st
         shapes[a.name] = [F.struct(F.lit(a.type).alias("type"), F.lit(name).alias("field"), value.cast("double").alias("value"), count.alias("count"), *extra)]
     if not sums:
         return {}
-    row = docs.agg(*sums)
+    found = docs.agg(*sums)
+    values = found.first()
+    row = docs.sparkSession.range(1).select(*[F.lit(values[f.name]).cast(f.dataType).alias(f.name) for f in found.schema])
     return {k: row.select(F.inline(F.array(*v))) for k, v in shapes.items()}
 
 

@@ -27,6 +27,7 @@ class Found:
     aggregations: dict[str, DataFrame]
     size: int
     shards: int = 1
+    by: tuple[sorting.Key, ...] = ()
 
     def response(self) -> dict:
         """hits and aggregations collected: size rows at most, and buckets."""
@@ -36,7 +37,7 @@ class Found:
         return {
             "took": round((time.time() - began) * 1000),
             "_shards": {"total": self.shards, "successful": self.shards, "failed": 0},
-            "hits": [{"_index": r["_index"], "_id": r["_id"], "_score": r["_score"], "_source": json.loads(r["_source"]), "sort": list(r["sort_values"])} for r in rows],
+            "hits": [{"_index": r["_index"], "_id": r["_id"], "_score": r["_score"], "_source": json.loads(r["_source"]), "sort": [k.shown(v) for k, v in zip(self.by, r["sort_values"])]} for r in rows],
             "aggregations": {k: v[0] if v and "key" not in v[0] else {"buckets": v} for k, v in aggs.items()},
         }
 
@@ -61,7 +62,10 @@ def matching(index: Index, query: object) -> tuple[DataFrame, Query]:
 
 
 def search(index: Index, body: Mapping) -> Found:
-    """Run a search body: query, knn, sort, search_after, from, size, min_score, aggs, routing."""
+    """Run a search body: query, knn, sort, search_after, from, size, min_score, aggs, routing, stats.
+
+    Scores count terms over the whole index; with stats "shard", over a document's own shard.
+    """
     index = routed(index, body.get("routing"))
     vector_body = next((body[k] for k in ("vector", "knn") if isinstance(body.get(k), Mapping)), None)
     by = sorting.keys(body["sort"], index) if body.get("sort") else []
@@ -82,12 +86,15 @@ def search(index: Index, body: Mapping) -> Found:
         size = _whole(body, "size", 10)
         docs, q = matching(index, body.get("query"))
         scores = any(n == "_score" for n, _ in sorting.parse(body.get("sort") or [])) or not by or V.number(least)
-        stats = relevance.statistics(index, q) if scores and size else relevance.EMPTY
-        hits = sorting.page(docs.withColumn("_score", q.score(stats).cast("double") if scores else F.lit(0.0)), by, start, size, after)
+        if scores and size and body.get("stats") == "shard" and index.shards > 1:
+            score = relevance.by_shard(index, q)
+        else:
+            score = q.score(relevance.statistics(index, q) if scores and size else relevance.EMPTY)
+        hits = sorting.page(docs.withColumn("_score", score.cast("double") if scores else F.lit(0.0)), by, start, size, after)
         aggregated = docs
     if V.number(least):
         hits = hits.where(F.col("_score") >= float(least))
-    return Found(hits, aggregations.aggregate(aggregated, body.get("aggs"), index), size, 1 if body.get("routing") is not None else index.shards)
+    return Found(hits, aggregations.aggregate(aggregated, body.get("aggs"), index), size, 1 if body.get("routing") is not None else index.shards, tuple(by))
 
 
 def knn_search(index: Index, body: Mapping) -> Found:

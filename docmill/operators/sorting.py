@@ -30,6 +30,10 @@ class Key:
             return self.value.desc_nulls_first() if self.nulls_first else self.value.desc_nulls_last()
         return self.value.asc_nulls_first() if self.nulls_first else self.value.asc_nulls_last()
 
+    def shown(self, v: str | None) -> object:
+        """A sort value, given as text, as a response has it."""
+        return v if v is None or self.kind == "string" else float(v) if self.kind == "double" else int(v)
+
     def read(self, v: object):
         """A cursor value, coerced to the key's kind."""
         if v is None:

@@ -24,17 +24,21 @@ def items(rows: DataFrame, default_index: str | None = None) -> DataFrame:
     """file, item (order of the action line), op, index, id, routing, source, error of each bulk item of lines.
 
     After an index or create action comes its document, after a delete the next action. Whatever a line that reads as a
-    delete is, an action comes after it; so a line's role follows from how far back the last such line is.
+    delete is, an action comes after it; so a line's role follows from how far back the last such line is. Blank lines
+    between items count for nothing; one in place of a document makes the file's whole request an error.
     """
-    by_line = Window.partitionBy("file").orderBy("line")
+    by_line = Window.partitionBy("file").orderBy("at")
     v = F.try_parse_json("value")
-    parsed = rows.withColumn("v", v)
+    raw = Window.partitionBy("file").orderBy("line")
+    dense = rows.where(F.trim("value") != "").withColumns({"at": F.row_number().over(raw) - 1, "gap": F.coalesce(F.col("line") - F.lag("line").over(raw) > 1, F.lit(False))})
+    parsed = dense.withColumn("v", v)
     names = ("index", "create", "delete")
     spec = {n: C.field(F.col("v"), n) for n in names}
     looks_delete = C.present(spec["delete"]) & ~C.present(spec["index"]) & ~C.present(spec["create"])
-    last = F.max(F.when(looks_delete, F.col("line"))).over(by_line.rowsBetween(Window.unboundedPreceding, -1))
-    expects = F.pmod(F.col("line") - F.coalesce(last, F.lit(-1)) - 1, F.lit(2)) == 1
+    last = F.max(F.when(looks_delete, F.col("at"))).over(by_line.rowsBetween(Window.unboundedPreceding, -1))
+    expects = F.pmod(F.col("at") - F.coalesce(last, F.lit(-1)) - 1, F.lit(2)) == 1
     marked = parsed.withColumn("is_document", expects).withColumn("next", F.lead("value").over(by_line))
+    marked = marked.withColumn("torn", F.max(F.col("is_document") & F.col("gap")).over(Window.partitionBy("file")))
     action = marked.where("NOT is_document")
     op = F.coalesce(*[F.when(C.present(spec[n]), F.lit(n)) for n in names])
     inner = F.coalesce(*[spec[n] for n in names])
@@ -43,7 +47,8 @@ def items(rows: DataFrame, default_index: str | None = None) -> DataFrame:
     index = F.coalesce(text("_index"), F.lit(default_index).cast("string"))
     n_keys = F.size(F.try_variant_get("v", "$", "map<string,variant>"))
     error = (
-        F.when(F.col("op").isNull(), "no action is known by this name")
+        F.when(F.col("torn"), "a blank line stands where a document belongs")
+        .when(F.col("op").isNull(), "no action is known by this name")
         .when(n_keys != 1, "an action line holds one action")
         .when((F.col("op") == "delete") & text("_id").isNull(), "delete needs an _id")
         .when((F.col("op") != "delete") & F.col("next").isNull(), "the document is missing")

@@ -2,8 +2,9 @@
 
 A generation is a manifest: a JSON file that lists immutable folders of Parquet files, some of the base and some of
 deltas. Writers put their files down first and then create the next manifest, which fails if it exists: so readers see
-whole commits, and of two writers one has to try again. Files of a task that failed or of a writer that lost are in no
-manifest and are collected as garbage.
+whole commits, and of two writers one has to try again. A manifest that doesn't parse is still being written and counts
+for nothing; its writer having died, another removes it after a while. Files of a task that failed or of a writer that
+lost are in no manifest and are collected as garbage, once they are old enough that no writer can still publish them.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import time
 import uuid
 import zlib
 from collections.abc import Mapping
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ from docmill.sources import bulk as bulk_source
 from docmill.sources.files import Files
 
 PHASES = ("hot", "warm", "cold", "frozen", "delete")
+#: Seconds after which a manifest that doesn't parse is taken for a dead writer's.
+TORN = 60
 
 
 @dataclass(frozen=True)
@@ -36,11 +39,17 @@ class Manifest:
     base: tuple[str, ...] = ()
     deltas: tuple[str, ...] = ()
     seq: int = 0
+    #: The last batch of each stream that is in it.
+    batches: Mapping[str, int] = field(default_factory=dict)
 
     @staticmethod
-    def of(text: str) -> Manifest:
-        m = json.loads(text)
-        return Manifest(m["generation"], tuple(m["base"]), tuple(m["deltas"]), m["seq"])
+    def of(text: str | None) -> Manifest | None:
+        """The manifest of a file's text; None of what isn't written to its end."""
+        try:
+            m = json.loads(text or "")
+        except ValueError:
+            return None
+        return Manifest(m["generation"], tuple(m["base"]), tuple(m["deltas"]), m["seq"], m.get("batches", {}))
 
 
 class Store:
@@ -63,7 +72,7 @@ class Store:
         n = shards if shards is not None else pick("number_of_shards", "numberOfShards", "shards") or 1
         if n <= 0:
             raise RequestError("an index has one shard at least")
-        made = {"name": name, "shards": int(n), "created_at": round(time.time() * 1000), "lifecycle": body.get("lifecycle") or body.get("lifecyclePolicy") or {}, "mappings": {k: asdict(m) for k, m in M.parse(body).items()}}
+        made = {"name": name, "shards": int(n), "created_at": round(time.time() * 1000), "lifecycle": body.get("lifecycle") or body.get("lifecyclePolicy") or pick("lifecycle_policy", "lifecyclePolicy") or {}, "mappings": {k: asdict(m) for k, m in M.parse(body).items()}}
         self.files.create(f"{self.root}/{name}/index.json", json.dumps(made))
         return made
 
@@ -100,18 +109,30 @@ class Store:
     def manifest(self, name: str, generation: int | None = None) -> Manifest:
         """A generation's manifest, the latest one by default; of an index without any, or of one that is gone, an empty one."""
         found = self.generations(name)
-        if not found or generation is not None and generation not in found:
-            return Manifest(generation or 0)
-        g = max(found) if generation is None else generation
-        return Manifest.of(self.files.read(f"{self.root}/{name}/generations/gen-{g:010d}.json"))
-
-    def _publish(self, name: str, before: Manifest, base: tuple[str, ...], deltas: tuple[str, ...], seq: int) -> Manifest:
-        made = Manifest(before.generation + 1, base, deltas, seq)
-        self.files.create(f"{self.root}/{name}/generations/gen-{made.generation:010d}.json", json.dumps(asdict(made)))
+        if generation is not None:
+            found = [g for g in found if g == generation]
+        for g in sorted(found, reverse=True):
+            if m := Manifest.of(self.files.read(f"{self.root}/{name}/generations/gen-{g:010d}.json")):
+                return m
+        return Manifest(generation or 0)
+
+    def _publish(self, name: str, before: Manifest, base: tuple[str, ...], deltas: tuple[str, ...], seq: int, batch: tuple[str, int] | None = None) -> Manifest:
+        made = Manifest(before.generation + 1, base, deltas, seq, {**before.batches, **({batch[0]: batch[1]} if batch else {})})
+        path = f"{self.root}/{name}/generations/gen-{made.generation:010d}.json"
+        try:
+            self.files.create(path, json.dumps(asdict(made)))
+        except Conflict:
+            if Manifest.of(self.files.read(path)) is None and self.files.age(path) > TORN:
+                self.files.remove(path)
+            raise
         return made
 
+    def _folder(self, name: str) -> str:
+        """A new folder of data; its name begins with the time in milliseconds, by which garbage is told from work."""
+        return f"{self.root}/{name}/data/{round(time.time() * 1000):013d}-{uuid.uuid4().hex}"
+
     def _put(self, name: str, df: DataFrame) -> str:
-        path = f"{self.root}/{name}/data/{uuid.uuid4().hex}"
+        path = self._folder(name)
         # files of about the advised size, those of a large shard split, those of small ones not scattered
         df.hint("rebalance", F.col("_shard")).write.partitionBy("_shard").parquet(path)
         return path
@@ -138,23 +159,29 @@ class Store:
 
     # -- writes
 
-    def apply(self, name: str, ops: DataFrame) -> DataFrame:
-        """Write operations (op, id, routing, source, _seq, _error) as one commit; returns each one's outcome, written out.
+    def apply(self, name: str, ops: DataFrame, batch: tuple[str, int] | None = None) -> DataFrame | None:
+        """Write operations (op, id, routing, source, _seq, _error) as one commit; returns each one's outcome, written out
+        and kept for as long as garbage is spared.
 
-        A blank id gets a random one. Tries again if another writer commits first.
+        A blank id gets a random one. Tries again if another writer commits first. batch names a stream and numbers its
+        batches: one that is committed already is not written again, and None comes back.
         """
         settings, mappings = self.settings(name), self.mappings(name)
+        if batch and self.manifest(name).batches.get(batch[0], -1) >= batch[1]:
+            return None
         named = ops.withColumn("_id", F.coalesce("id", F.concat(F.lit("auto-"), F.expr("uuid()"))))
         key = F.coalesce(F.when(F.trim("routing") != "", F.col("routing")), F.col("_id"))
         placed = named.withColumns({"_index": F.lit(name), "_shard": shard(key, settings["shards"], name), "_source": F.col("source"), "_op": F.col("op")})
         # random ids must be the same in every pass over them
-        staged = f"{self.root}/{name}/data/{uuid.uuid4().hex}"
+        staged = self._folder(name)
         placed.select("_id", "_index", "_shard", "_seq", "_source", "_op", "_error").write.parquet(staged)
         rows = self.spark.read.schema("_id string, _index string, _shard int, _seq long, _source string, _op string, _error string").parquet(staged)
         typed = of_sources(rows.withColumn("__given", F.col("_error")).drop("_error"), mappings)
         checked = typed.withColumn("_error", F.coalesce("__given", F.when(F.col("_op") != "delete", F.col("_error")))).drop("__given")
         for attempt in range(5):
             before = self.manifest(name)
+            if batch and before.batches.get(batch[0], -1) >= batch[1]:
+                return None
             shifted = checked.withColumn("_seq", F.col("_seq") + before.seq)
             judged = outcomes(shifted, self._existing(name, before, shifted))
             written = self._put(name, judged)
@@ -163,7 +190,7 @@ class Store:
             delta = self._put(name, last)
             top = rows.agg(F.max("_seq")).first()[0]
             try:
-                self._publish(name, before, before.base, (*before.deltas, delta), before.seq + (top if top is not None else -1) + 1)
+                self._publish(name, before, before.base, (*before.deltas, delta), before.seq + (top if top is not None else -1) + 1, batch)
             except Conflict:
                 if attempt == 4:
                     raise
@@ -179,15 +206,25 @@ class Store:
         return self.index(name, at.generation).docs.select(*KEY).join(keys, list(KEY), "left_semi")
 
     def bulk(self, bodies: list[str] | str, index: str | None = None) -> dict[str, DataFrame]:
-        """Apply bulk requests, given as strings or as a path of files; outcomes by index, items in order of file and line."""
+        """Apply bulk requests, given as strings or as a path of files; outcomes by index, items in order of file and line.
+
+        An item that names no index, or one that isn't there, refuses the call before anything is written. Each index
+        is one commit.
+        """
         lines = bulk_source.lines(self.spark, bodies) if isinstance(bodies, str) else bulk_source.of_strings(self.spark, bodies)
-        found = bulk_source.items(lines, index)
-        out = {}
-        names = [r[0] for r in found.select("index").distinct().collect()]  # as many as indices named
-        for name in sorted(n for n in names if n is not None):
-            mine = found.where(F.col("index") == name)
-            out[name] = self.apply(name, numbered(mine))
-        return out
+        parsed = f"{self.root}/_bulk/{uuid.uuid4().hex}"
+        try:
+            bulk_source.items(lines, index).write.parquet(parsed)
+            found = self.spark.read.parquet(parsed)
+            names = [r[0] for r in found.select("index").distinct().collect()]  # as many as indices named
+            if None in names:
+                first = found.where("index IS NULL").orderBy("file", "item").first()
+                raise RequestError(f"bulk: the item at line {first['item'] + 1} names no index")
+            for name in names:
+                self.settings(name)
+            return {name: self.apply(name, numbered(found.where(F.col("index") == name))) for name in sorted(names)}
+        finally:
+            self.files.remove(parsed)
 
     def put(self, name: str, source: Mapping | str, id: str | None = None, routing: str | None = None, create: bool = False) -> dict:
         """Write one document."""
@@ -247,12 +284,14 @@ class Store:
 
     def open_pit(self, name: str, keep_alive: object = "1m") -> str:
         """Pin the latest generation for a time; the id that reads it."""
-        pit = uuid.uuid4().hex
+        pit = f"{zlib.crc32(name.encode()):08x}{uuid.uuid4().hex}"
         self.files.create(f"{self.root}/{name}/pins/{pit}.json", json.dumps({"generation": self.manifest(name).generation, "until": round(time.time() * 1000) + to_millis(keep_alive)}))
         return pit
 
     def _pinned(self, name: str, pit: str) -> int:
         text = self.files.read(f"{self.root}/{name}/pins/{pit}.json")
+        if text is None and len(pit) == 40 and pit[:8] != f"{zlib.crc32(name.encode()):08x}":
+            raise RequestError(f"point in time {pit} is not one of index {name}")
         if text is None:
             raise NotFound(f"no point in time {pit} of index {name}")
         pin = json.loads(text)
@@ -273,8 +312,10 @@ class Store:
         path = self._put(name, whole.docs)
         return self._publish(name, before, (path,), (), before.seq)
 
-    def collect_garbage(self, name: str, keep: int = 1) -> list[str]:
-        """Drop all but the last keep generations and those pinned, and folders that none left names; what was dropped."""
+    def collect_garbage(self, name: str, keep: int = 1, spared: object = "1h") -> list[str]:
+        """Drop all but the last keep generations and those pinned, folders that only dropped ones name, and folders that
+        no generation ever named and that are older than spared: until then they may be a writer's, or outcomes that
+        someone reads. Returns what was dropped."""
         now, root = time.time() * 1000, f"{self.root}/{name}"
         pins = {}
         for f in self.files.names(f"{root}/pins"):
@@ -285,14 +326,16 @@ class Store:
                 pins[pin["generation"]] = True
         found = self.generations(name)
         kept = set(sorted(found)[-max(1, keep) :]) | {g for g in found if g in pins}
-        used = {p.rsplit("/", 1)[1] for g in kept for m in [self.manifest(name, g)] for p in (*m.base, *m.deltas)}
+        folders = lambda gs: {p.rsplit("/", 1)[1] for g in gs for m in [self.manifest(name, g)] for p in (*m.base, *m.deltas)}
+        used, named, limit = folders(kept), folders(found), now - to_millis(spared)
         gone = []
         for g in found:
             if g not in kept:
                 self.files.remove(f"{root}/generations/gen-{g:010d}.json")
                 gone.append(f"gen-{g:010d}")
         for part in self.files.names(f"{root}/data"):
-            if part not in used:
+            began = part.partition("-")[0]
+            if part not in used and (part in named or not began.isdigit() or int(began) < limit):
                 self.files.remove(f"{root}/data/{part}")
                 gone.append(part)
         return gone
@@ -301,7 +344,10 @@ class Store:
         """Do what the index's lifecycle asks at its age: warm compacts, delete drops the index, the other phases do nothing."""
         settings = self.settings(name)
         age = (now or time.time()) * 1000 - settings["created_at"]
-        phases = settings["lifecycle"].get("phases", settings["lifecycle"]) if isinstance(settings["lifecycle"], Mapping) else {}
+        policy = settings["lifecycle"]
+        if isinstance(policy, str):
+            policy = self.lifecycle_policy(policy)
+        phases = policy.get("phases", policy) if isinstance(policy, Mapping) else {}
         due = None
         for phase in PHASES:
             spec = phases.get(phase)
@@ -314,6 +360,35 @@ class Store:
             self.delete_index(name)
         return due
 
+    def put_lifecycle_policy(self, name: str, body: Mapping) -> dict:
+        """A policy by name, made or replaced; indices that it is attached to follow it from then on."""
+        if not name or "/" in name:
+            raise RequestError(f"no policy can be called {name!r}")
+        phases = body.get("phases", body)
+        if unknown := set(phases) - set(PHASES):
+            raise RequestError(f"policy {name}: no phase is called {sorted(unknown)[0]}")
+        for spec in phases.values():
+            to_millis(spec.get("min_age", spec.get("minAge", 0)) if isinstance(spec, Mapping) else spec)
+        self.files.replace(f"{self.root}/_policies/{name}.json", json.dumps({"phases": phases}))
+        return {"name": name, "phases": dict(phases)}
+
+    def lifecycle_policy(self, name: str) -> dict:
+        text = self.files.read(f"{self.root}/_policies/{name}.json")
+        if text is None:
+            raise NotFound(f"no lifecycle policy is called {name}")
+        return json.loads(text)
+
+    def delete_lifecycle_policy(self, name: str) -> None:
+        """An index that it is attached to then has none to follow, which maintain reports."""
+        self.lifecycle_policy(name)
+        self.files.remove(f"{self.root}/_policies/{name}.json")
+
+    def attach_lifecycle_policy(self, index: str, policy: str) -> dict:
+        self.lifecycle_policy(policy)
+        made = {**self.settings(index), "lifecycle": policy}
+        self.files.replace(f"{self.root}/{index}/index.json", json.dumps(made))
+        return made
+
     def status(self) -> DataFrame:
         """A row for each index: shards, fields, generations, folders of the base and of deltas."""
         rows = []

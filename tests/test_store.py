@@ -2,10 +2,13 @@ from __future__ import annotations
 
 import json
 import zlib
+from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
 from docmill.errors import Conflict, NotFound, RequestError
+from docmill.operators.search import search
 from docmill.sources.store import Store
 from docmill.streaming.ingest import upserts
 
@@ -122,9 +125,118 @@ def test_stream(store, spark, tmp_path):
 
 def test_point_in_time_query_asks_for_every_order(spark, monkeypatch):
     from docmill import queries
-    from tests.llm.conftest import SF
 
+    SF = "/root/testdata/sf0.001"
     sizes, search = [], Store.search
     monkeypatch.setattr(Store, "search", lambda self, name, body, *more: sizes.append(body["size"]) or search(self, name, body, *more))
     n = spark.read.parquet(f"{SF}/orders.parquet").count()
     assert queries.q_point_in_time(spark, SF).count() == n and sizes == [n]
+
+
+def test_bulk_refuses_before_it_writes(store):
+    good = lines({"index": {"_index": "books", "_id": "1"}}, {"pages": 1})
+    with pytest.raises(RequestError):
+        store.bulk([good, lines({"index": {"_id": "2"}}, {"pages": 2})])
+    with pytest.raises(NotFound):
+        store.bulk([good + lines({"index": {"_index": "nowhere", "_id": "2"}}, {"pages": 2})])
+    assert store.manifest("books").generation == 0
+
+
+def test_bulk_blank_lines(store):
+    one, two = lines({"index": {"_id": "1"}}, {"pages": 1}), lines({"delete": {"_id": "9"}}, {"index": {"_id": "2"}}, {"pages": 2})
+    out = store.bulk([f"\n{one}\n  \n{two}\n\n"], "books")["books"].collect()
+    assert [(r["op"], r["_id"], r["status"]) for r in out] == [("index", "1", 200), ("delete", "9", 200), ("index", "2", 200)]
+    torn = store.bulk([lines({"index": {"_id": "3"}}) + "\n" + lines({"pages": 3}), one], "books")["books"].collect()
+    assert {r["status"] for r in torn} == {400, 200} and ids(store) == ["1", "2"]
+
+
+def test_garbage_spares_outcomes_and_writers(store, spark):
+    out = store.apply("books", spark.createDataFrame([("index", "1", None, '{"pages": 1}', 0, None)], "op string, id string, routing string, source string, _seq long, _error string"))
+    delta = store._put("books", store.index("books").docs.withColumn("_op", F.lit("index")))  # a writer that has not published yet
+    store.collect_garbage("books")
+    assert out.count() == 1
+    before = store.manifest("books")
+    store._publish("books", before, before.base, (*before.deltas, delta), before.seq + 1)
+    assert ids(store) == ["1"]
+    left = store.files.names(f"{store.root}/books/data")
+    store.collect_garbage("books", spared=0)
+    assert len(store.files.names(f"{store.root}/books/data")) < len(left) and ids(store) == ["1"]
+
+
+def test_two_writers(store, spark, monkeypatch):
+    """A commit that comes between another's reading and its publishing makes that one try again; both are kept."""
+    publish, raced = Store._publish, []
+
+    def between(self, name, before, *more):
+        if not raced:
+            raced.append(True)
+            Store(spark, store.root).put("books", {"pages": 2}, "other")
+        return publish(self, name, before, *more)
+
+    monkeypatch.setattr(Store, "_publish", between)
+    store.put("books", {"pages": 1}, "mine")
+    assert ids(store) == ["mine", "other"] and store.generations("books") == [1, 2]
+
+
+def test_a_manifest_in_writing_is_not_read(store, monkeypatch):
+    store.put("books", {"pages": 1}, "1")
+    store.files.create(f"{store.root}/books/generations/gen-{2:010d}.json", '{"generation": 2, "ba')
+    assert store.manifest("books").generation == 1 and ids(store) == ["1"]
+    with pytest.raises(Conflict):
+        store.put("books", {"pages": 1}, "2")
+    monkeypatch.setattr("docmill.sources.store.TORN", -1)  # its writer is dead
+    store.put("books", {"pages": 1}, "2")
+    assert ids(store) == ["1", "2"]
+
+
+def test_a_replayed_batch_is_written_once(store, spark):
+    ops = spark.createDataFrame([("index", None, None, '{"pages": 1}', 0, None)], "op string, id string, routing string, source string, _seq long, _error string")
+    assert store.apply("books", ops, ("s", 0)).count() == 1 and store.apply("books", ops, ("s", 0)) is None
+    store.compact("books")
+    assert store.apply("books", ops, ("s", 0)) is None and store.apply("books", ops, ("s", 1)).count() == 1 and store.apply("books", ops, ("t", 0)).count() == 1
+    assert len(ids(store)) == 3
+
+
+def test_lifecycle_policies_by_name(store):
+    with pytest.raises(NotFound):
+        store.attach_lifecycle_policy("books", "month")
+    with pytest.raises(RequestError):
+        store.put_lifecycle_policy("month", {"phases": {"tepid": {}}})
+    store.put_lifecycle_policy("month", {"phases": {"warm": {"min_age": "1d"}, "delete": {"min_age": "30d"}}})
+    store.attach_lifecycle_policy("books", "month")
+    made = store.settings("books")["created_at"] / 1000
+    assert store.maintain("books", made + 2 * 86400) == "warm" and store.indices() == ["books"]
+    assert store.maintain("books", made + 31 * 86400) == "delete" and store.indices() == []
+    store.delete_lifecycle_policy("month")
+    with pytest.raises(NotFound):
+        store.lifecycle_policy("month")
+
+
+def test_a_point_in_time_belongs_to_its_index(store):
+    store.create_index("other", BODY)
+    pit = store.open_pit("books")
+    with pytest.raises(RequestError):
+        store.search("other", {}, pit)
+
+
+def test_scores_by_shard(store):
+    docs = {f"d{i}": {"title": "red " * (1 + i % 3) + "blue"} for i in range(12)}
+    store.bulk([lines(*[x for k, v in docs.items() for x in ({"index": {"_id": k}}, v)])], "books")
+    body = {"query": {"match": {"title": "red"}}, "size": 20}
+    whole = {h["_id"]: h["_score"] for h in store.search("books", body).response()["hits"]}
+    own = {h["_id"]: h["_score"] for h in store.search("books", {**body, "stats": "shard"}).response()["hits"]}
+    assert whole.keys() == own.keys() == docs.keys() and whole != own
+    index = store.index("books")
+    for shard in range(3):
+        alone = replace(index, docs=index.docs.where(F.col("_shard") == shard), shards=1)
+        for h in search(alone, body).response()["hits"]:
+            assert own[h["_id"]] == pytest.approx(h["_score"])
+
+
+def test_metrics_are_one_pass(store):
+    store.bulk([lines(*[x for i in range(5) for x in ({"index": {"_id": f"d{i}"}}, {"pages": i, "title": "t"})])], "books")
+    found = store.search("books", {"aggs": {"a": {"min": {"field": "pages"}}, "b": {"max": {"field": "pages"}}, "c": {"range": {"field": "pages", "ranges": [{"to": 2}]}}}, "sort": [{"pages": "desc"}]})
+    assert all("parquet" not in d._jdf.queryExecution().toString().lower() for d in found.aggregations.values())
+    out = found.response()
+    assert (out["aggregations"]["a"]["value"], out["aggregations"]["b"]["value"], out["aggregations"]["c"]["buckets"][0]["doc_count"]) == (0, 4, 2)
+    assert [h["sort"] for h in out["hits"]] == [[4], [3], [2], [1], [0]]
