@@ -5,13 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.mapping import FieldMapping as M
 from docmill.operators import search as S
-from docmill.plans.index import Index, of_columns
+from docmill.plans.dsl import combined
+from docmill.plans.index import Index, of_columns, of_sources
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -226,6 +228,62 @@ def q_min_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits(documents(spark, sf_dir), {"query": {"match": {"text": "Released under license"}}, "size": 1000000, "min_score": 3}, F.round("_score", 6).alias("score"))
 
 
+_BM25_SHARD = """
+WITH known AS (SELECT *, len(t) AS dl FROM (SELECT doc_id, doc_id % 3 AS shard, regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+') AS t FROM documents) WHERE len(t) > 0),
+stats AS (SELECT shard, count(*) AS n, avg(dl) AS mean FROM known GROUP BY shard),
+words AS (SELECT unnest(['license', 'released']) AS w),
+df AS (SELECT shard, w, count(*) AS df FROM words JOIN known ON list_contains(t, w) GROUP BY ALL),
+parts AS (SELECT doc_id, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / mean)) AS s
+  FROM (SELECT doc_id, shard, w, dl, CAST(len(list_filter(t, lambda x: x = w)) AS DOUBLE) AS tf FROM known, words WHERE list_contains(t, w)) JOIN df USING (shard, w) JOIN stats USING (shard))
+SELECT CAST(doc_id AS VARCHAR) AS id, round(sum(s), 6) AS score FROM parts GROUP BY doc_id ORDER BY sum(s) DESC, CAST(doc_id AS VARCHAR) LIMIT 25
+"""
+
+
+@registered(_BM25_SHARD)
+def q_match_bm25_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores by the counts of each document's own shard."""
+    index = documents(spark, sf_dir)
+    index = replace(index, docs=index.docs.withColumn("_shard", (F.col("_id").cast("long") % 3).cast("int")), shards=3)
+    return hits(index, {"query": {"match": {"text": "Released license"}}, "size": 25, "stats": "shard"}, F.round("_score", 6).alias("score"))
+
+
+_predicate("q_list_as_filter", orders, combined([{"term": {"o_orderstatus": "O"}}, {"range": {"o_totalprice": {"gte": 150000}}}], {}), "SELECT CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE o_orderstatus = 'O' AND o_totalprice >= 150000")
+
+# -- analyzers: a term is found if the analyzer makes it of the text, a query if it makes one of its terms
+
+_DOC = "SELECT CAST(doc_id AS VARCHAR) AS id FROM documents WHERE "
+for _analyzer, _query, _sql in (
+    ("whitespace", "License, released", "list_has_any(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), ['License,', 'released'])"),
+    ("simple", "MIT-license2", "list_has_any(regexp_extract_all(lower(text), '\\p{L}+'), ['mit', 'license'])"),
+    ("stop", "the license", "list_contains(regexp_extract_all(lower(text), '\\p{L}+'), 'license')"),
+    ("english", "The licenses", "len(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+'), lambda x: regexp_full_match(x, 'licens(e|es|ed|ing)?'))) > 0"),
+    ("standard", "Under_score LICENSE", "list_has_any(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+'), ['under_score', 'license'])"),
+):
+    _predicate(f"q_analyzer_{_analyzer}", lambda spark, sf_dir, a=_analyzer: documents(spark, sf_dir, a), {"match": {"text": _query}}, _DOC + _sql)
+
+
+@registered("SELECT CAST(doc_id AS VARCHAR) AS id FROM documents WHERE source = 'src3'")
+def q_analyzer_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text that is one token, as it is."""
+    index = of_columns(_table(spark, sf_dir, "documents"), "doc_id", {"source": M("text", analyzer="keyword")}, "documents")
+    return ids(index, {"match": {"source": "src3"}})
+
+
+@registered("""
+SELECT CAST(event_id AS VARCHAR) AS id, CASE WHEN event_id % 6 < 3 THEN event_id END AS n, CASE event_id % 3 WHEN 0 THEN event_id + 0.5 WHEN 1 THEN event_id + 0.25 END::DOUBLE AS x,
+CASE event_id % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true END AS flag FROM events
+""")
+def q_lenient_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose values are numbers or texts that read as numbers; of null and of others a field has no value."""
+    i, text = F.col("event_id"), lambda c: F.concat(F.lit('"'), c.cast("string"), F.lit('"'))
+    n = F.when(i % 6 == 0, i.cast("string")).when(i % 6 == 1, text(i)).when(i % 6 == 2, F.concat(i.cast("string"), F.lit(".75"))).when(i % 6 == 3, "null").when(i % 6 == 4, '"none"').otherwise('{"a": 1}')
+    x = F.when(i % 3 == 0, F.concat(i.cast("string"), F.lit(".5"))).when(i % 3 == 1, text(F.concat(i.cast("string"), F.lit(".25")))).otherwise("null")
+    flag = F.when(i % 4 == 0, "true").when(i % 4 == 1, '"false"').when(i % 4 == 2, '"true"').otherwise("null")
+    source = F.concat(F.lit('{"n": '), n, F.lit(', "x": '), x, F.lit(', "flag": '), flag, F.lit("}"))
+    rows = _table(spark, sf_dir, "events").select(i.cast("string").alias("_id"), F.lit("e").alias("_index"), F.lit(0).alias("_shard"), i.cast("long").alias("_seq"), source.alias("_source"))
+    return of_sources(rows, {"n": M("long"), "x": M("double"), "flag": M("boolean")}).where("_error IS NULL").select(F.col("_id").alias("id"), "n", "x", "flag")
+
+
 # -- vectors
 
 _VECTOR = [round(((i * 37) % 19 - 9) / 10, 1) for i in range(64)]
@@ -449,6 +507,29 @@ def q_bulk_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _state(store)
 
 
+@registered("""
+SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 4 = 0 THEN 'again' ELSE o_orderstatus END AS status, round(o_totalprice, 2) AS price FROM orders WHERE o_orderkey % 7 <> 0
+UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'back', 2.0 FROM orders WHERE o_orderkey % 7 = 0 AND o_orderkey % 3 = 0
+""")
+def q_bulk_ndjson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request bodies of action and document lines, blank lines between some: writes, creates that fail, deletes, creates of what was deleted, in the order of their lines."""
+    store = _store(spark)
+    store.create_index("orders", _ORDER, 4)
+    key, line = F.col("o_orderkey"), lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    doc = lambda status, price: line('{"status": "', status, '", "price": ', price, "}\n")
+    action = lambda kind: line(f'{{"{kind}": {{"_id": "', key, '"}}\n')
+    some = lambda test, text: F.when(test, text).otherwise("")
+    body = F.concat(
+        action("index"), doc(F.col("o_orderstatus"), F.col("o_totalprice")), some(key % 5 == 0, F.lit("\n \r\n")),
+        some(key % 4 == 0, F.concat(action("index"), doc(F.lit("again"), F.col("o_totalprice")))), action("create"), doc(F.lit("clash"), F.lit(1.0)),
+        some(key % 7 == 0, action("delete")), some((key % 7 == 0) & (key % 3 == 0), F.concat(F.lit("\n"), action("create"), doc(F.lit("back"), F.lit(2.0)))),
+    )
+    requests = f"{store.root}/_requests"
+    _table(spark, sf_dir, "orders").select(body.alias("value")).write.text(requests)
+    store.bulk(requests, "orders")
+    return _state(store)
+
+
 @registered("SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus AS status, round(o_totalprice, 2) AS price FROM orders WHERE NOT (o_totalprice >= 100000 AND o_orderstatus = 'O')")
 def q_delete_by_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     store, _ = _loaded(spark, sf_dir)
