@@ -1,8 +1,10 @@
-"""Benchmark passages in documents, by one Aho-Corasick automaton over the benchmark's windows.
+"""Benchmark passages in documents, by one Aho-Corasick automaton over the benchmark's words.
 
-Texts are normalised to lower-case words with one space between. A window, ten consecutive words of an item or all words
-of a shorter one, is a pattern with a space at either end; a document is scanned once, whatever the number of patterns.
-Positions in the normalised text are mapped to word numbers and from these to offsets in the original.
+Texts are normalised to lower-case words, and these to numbers. A window, ten consecutive words of an item, holds five
+that begin at a place of the item divisible by six. Of each item of ten words or more only such fives are patterns, a
+twelfth of the states that all its windows would take; of shorter items all words are. A document is scanned once,
+whatever the number of patterns. A five that is found is extended on both sides along the item: ten equal words in a row
+or more are windows, all of them. Word numbers are mapped to offsets in the original.
 """
 
 from __future__ import annotations
@@ -10,17 +12,22 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import ahocorasick
+import numpy as np
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docmill.llm._util import annotate, written
+from docmill.llm._util import annotate, released, written
 
-WINDOW = 10
+WINDOW, ANCHOR = 10, 5
+#: An anchor begins at every so many words: then each window holds a whole one.
+STEP = WINDOW - ANCHOR + 1
 #: Bytes of item text of which one automaton is made; a larger benchmark is scanned in blocks of items, one automaton each.
 BLOCK_BYTES = 16 << 20
 # bytes: A-Z to a-z; a-z, 0-9 and all of 0x80 and up stay; every other becomes a space
@@ -32,47 +39,101 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
-def line(text: str | None) -> str:
-    """The words with a space before each and one after the last: a space more than words, for no words too."""
-    w = words(text)
-    return f" {b' '.join(w).decode('utf-8', 'surrogatepass')} " if w else " "
-
-
-def windows(text: str | None) -> set[str]:
-    w = [x.decode("utf-8", "surrogatepass") for x in words(text)]
-    return {" ".join(w[i : i + WINDOW]) for i in range(max(1, len(w) - WINDOW + 1))} if w else set()
-
-
 class Automaton:
-    """The windows of items, each with the numbers of the items that hold it."""
+    """The items' words and the patterns that lead to them. Items of equal words are one text."""
 
     def __init__(self, items: list[tuple[object, str | None]]):
-        self.items = [str(i) for i, _ in items]
-        holders: dict[str, list[int]] = {}
-        for k, (_, text) in enumerate(items):
-            for w in windows(text):
-                holders.setdefault(w, []).append(k)
-        self.machine = ahocorasick.Automaton()
-        for w, held in holders.items():
-            self.machine.add_word(f" {w} ", (w.count(" ") + 1, tuple(held)))
-        self.machine.make_automaton()
-        self.empty = not holders
-
-    def scan(self, normal: str) -> tuple[list[tuple[int, int]], set[str]]:
-        """The word ranges that windows cover in a line, joined, and the items."""
-        if self.empty:
+        self.number: dict[bytes, int] = {}
+        texts: dict[bytes, tuple[int, set[str]]] = {}  # by words as int32
+        for i, text in items:
+            known = self.number
+            found = np.array([known.setdefault(w, len(known)) for w in words(text)], dtype=np.int32)
+            if len(found):
+                texts.setdefault(found.tobytes(), (len(found), set()))[1].add(str(i))
+        self.holders: list[list[str]] = [sorted(ids) for _, ids in texts.values()]
+        # all texts of ten words or more in a row, -1 around each; and where they begin
+        self.row, self.starts, self.texts = array("i", [-1]), array("q"), array("q")
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        places: dict[bytes, list[int]] = {}
+        width = 4 * ANCHOR
+        for k, (data, (n, _)) in enumerate(texts.items()):
+            if n < WINDOW:
+                self.machine.add_word(tuple(np.frombuffer(data, dtype=np.int32).tolist()), (n, k))
+                continue
+            at = len(self.row)
+            self.starts.append(at)
+            self.texts.append(k)
+            self.row.frombytes(data)
+            self.row.append(-1)
+            for a in range(0, n - ANCHOR + 1, STEP):
+                places.setdefault(data[4 * a : 4 * a + width], []).append(at + a)
+        for data, where in places.items():
+            key = tuple(np.frombuffer(data, dtype=np.int32).tolist())
+            whole = self.machine.get(key, None)
+            # a five-word item may be an anchor of others
+            self.machine.add_word(key, (0, np.array(where, dtype=np.int64), None if whole is None else whole[1]))
+        self.empty = not texts
+        if not self.empty:
+            self.machine.make_automaton()
+        self.np_row, self.np_starts = np.frombuffer(self.row, dtype=np.int32), np.frombuffer(self.starts, dtype=np.int64)
+
+    def scan(self, found: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+        """The word ranges that windows cover, joined, and the items."""
+        if self.empty or not found:
             return [], set()
+        doc = tuple(map(self.number.get, found, repeat(UNKNOWN)))
         spans: list[tuple[int, int]] = []
         held: set[int] = set()
-        done, at = 0, 0
-        for end, (n, items) in self.machine.iter(normal):
-            done += normal.count(" ", at, end)  # words that end before this match's last space
-            at = end
-            held.update(items)
-            spans.append((done - n, done))
-        return _union(spans), {self.items[k] for k in held}
-
-
+        done: dict[int, int] = {}  # by place in the row less place in the document: to where that overlap is known
+        for end, value in self.machine.iter(doc):
+            if value[0]:
+                spans.append((end + 1 - value[0], end + 1))
+                held.add(value[1])
+                continue
+            if value[2] is not None:
+                spans.append((end + 1 - ANCHOR, end + 1))
+                held.add(value[2])
+            at = end + 1 - ANCHOR
+            for q in self._promising(doc, at, value[1]):
+                shift = q - at
+                if done.get(shift, -1) > end:
+                    continue
+                a, b = self._extended(doc, at, q)
+                done[shift] = b
+                if b - a >= WINDOW:
+                    spans.append((a, b))
+                    held.add(self.texts[int(np.searchsorted(self.np_starts, q, "right")) - 1])
+        return _union(spans), {i for k in held for i in self.holders[k]}
+
+    def _promising(self, doc: tuple, at: int, where: np.ndarray) -> list[int]:
+        """The places of an anchor where enough words around it are equal, too."""
+        if len(where) <= 8:
+            return where.tolist()
+        room = WINDOW - ANCHOR
+        equal = np.zeros((2, len(where)), dtype=np.int64)
+        for side, (here, there, step) in enumerate(((at - 1, where - 1, -1), (at + ANCHOR, where + ANCHOR, 1))):
+            alive = np.arange(len(where))
+            for k in range(room):
+                i = here + step * k
+                if not 0 <= i < len(doc) or not len(alive):
+                    break
+                alive = alive[self.np_row[there[alive] + step * k] == doc[i]]
+                equal[side, alive] += 1
+        return where[equal.sum(0) >= room].tolist()
+
+    def _extended(self, doc: tuple, at: int, q: int) -> tuple[int, int]:
+        row, n = self.row, len(doc)
+        a, b = at, at + ANCHOR
+        shift = q - at
+        while a and doc[a - 1] == row[a - 1 + shift]:
+            a -= 1
+        while b < n and doc[b] == row[b + shift]:
+            b += 1
+        return a, b
+
+
+#: The number of a word that no item holds; unlike the mark between texts.
+UNKNOWN = (1 << 31) - 1
 _MADE: dict[str, Automaton] = {}  # a worker's one automaton, by its stamp
 
 
@@ -101,58 +162,67 @@ def offsets(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(spans[a][0], spans[b - 1][1]) for a, b in ranges]
 
 
-def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> list[list[tuple[object, str | None]]]:
-    """The items in blocks of at most block_bytes of text, or of one longer item. They pass through the driver one after another."""
-    out: list[list[tuple[object, str | None]]] = [[]]
-    size = 0
-    for r in benchmark.select(F.col(f"`{item_id}`"), F.col(f"`{text}`")).toLocalIterator():
-        n = len((r[1] or "").encode("utf-8", "surrogatepass"))
-        if out[-1] and size + n > block_bytes:
-            out.append([])
-            size = 0
-        out[-1].append((r[0], r[1]))
-        size += n
-    return out
+def n_blocks(benchmark: DataFrame, text: str, block_bytes: int) -> int:
+    size = benchmark.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
+    return max(1, -(-size // block_bytes))
+
+
+def _block(benchmark: DataFrame, item_id: str, text: str, k: int, n: int) -> list[tuple[object, str | None]]:
+    """The items of one block of n, some block_bytes of text: by a hash of their text, so that equal ones meet."""
+    at: Column = F.pmod(F.xxhash64(F.col(f"`{text}`")), F.lit(n))
+    return [tuple(r) for r in benchmark.where(at == k).select(F.col(f"`{item_id}`"), F.col(f"`{text}`")).distinct().collect()]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text", text: str = "text", spans: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with n_words, n_hit, n_items, items_sha256 and contaminated (and hit_spans, code points in the text, if spans).
 
     A null or wordless text has no words and no hits; null or wordless items occur nowhere; items with equal texts all
-    count, rows with an equal item id once. An empty benchmark hits nothing. Columns of docs named like these give way.
+    count, rows with an equal item id once. An empty benchmark hits nothing. Texts and items of any length are read
+    whole. Columns of docs named like these give way. A benchmark of more than block_bytes is scanned in blocks of
+    about that size: one is on the driver and in a worker at a time, and a pass writes what it finds by row, which few
+    rows have, and no text.
     """
-    every = blocks(benchmark, item_id, item_text, block_bytes)
-    context = docs.sparkSession.sparkContext
-    *early, last = [(uuid.uuid4().hex, context.broadcast(b)) for b in every]
-    range_type = T.ArrayType(T.ArrayType(T.IntegerType()))
-    for stamp, block in early:  # a pass for each further block, with what the earlier ones found beside the text
-
-        def found(texts: list, *before: list, stamp: str = stamp, block: Broadcast = block) -> Iterator[tuple]:
-            machine = _automaton(stamp, block)
-            for i, t in enumerate(texts):
-                hits, held = machine.scan(line(t))
-                yield ([*(before[0][i] if before else []), *map(list, hits)], sorted({*(before[1][i] if before else []), *held}))
-
-        known = [c for c in ("__hits", "__items") if c in docs.columns]
-        docs = written(annotate(docs, [T.StructField("__hits", range_type), T.StructField("__items", T.ArrayType(T.StringType()))], found, text, *known), "hits")
-
-    stamp, block = last
+    n, context = n_blocks(benchmark, item_text, block_bytes), docs.sparkSession.sparkContext
+    range_type = T.ArrayType(T.ArrayType(T.LongType()))
+    known: list[str] = []
+    if n > 1:
+        docs = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+        passes = []
+        for k in range(n - 1):
+            stamp, block = uuid.uuid4().hex, context.broadcast(_block(benchmark, item_id, item_text, k, n))
+
+            def found(texts: list, stamp: str = stamp, block: Broadcast = block) -> Iterator[tuple]:
+                machine = _automaton(stamp, block)
+                for t in texts:
+                    hits, held = machine.scan(words(t))
+                    yield [list(r) for r in hits], sorted(held)
+
+            made = annotate(docs.select("__row", F.col(f"`{text}`").alias("t")), [T.StructField("hits", range_type), T.StructField("items", T.ArrayType(T.StringType()))], found, "t")
+            passes.append(written(made.where("size(items) > 0").select("__row", "hits", "items"), "hits"))
+            block.destroy()
+            released(docs.sparkSession)
+        every = passes[0]
+        for p in passes[1:]:
+            every = every.unionAll(p)
+        by_row = every.groupBy("__row").agg(F.flatten(F.collect_list("hits")).alias("__hits"), F.flatten(F.collect_list("items")).alias("__items"))  # a row for each block at most
+        docs = docs.join(by_row, "__row", "left").drop("__row")
+        known = ["__hits", "__items"]
+    stamp, block = uuid.uuid4().hex, context.broadcast(_block(benchmark, item_id, item_text, n - 1, n))
 
     def rows(texts: list, *before: list) -> Iterator[tuple]:
         machine = _automaton(stamp, block)
         for i, t in enumerate(texts):
-            normal = line(t)
-            ranges, held = machine.scan(normal)
-            if before:
+            w = words(t)
+            ranges, held = machine.scan(w)
+            if before and before[0][i] is not None:
                 ranges, held = _union(ranges + [tuple(r) for r in before[0][i]]), held.union(before[1][i])
             n_hit = sum(b - a for a, b in ranges)
-            out = (normal.count(" ") - 1, n_hit, len(held), hashlib.sha256(",".join(sorted(held)).encode()).hexdigest(), n_hit > 0)
+            out = (len(w), n_hit, len(held), hashlib.sha256(",".join(sorted(held)).encode()).hexdigest(), n_hit > 0)
             yield (*out, [{"start": a, "end": b} for a, b in offsets(t, ranges)]) if spans else out
 
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType())]
     if spans:
         fields.append(T.StructField("hit_spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))))
-    known = ["__hits", "__items"] if early else []
     return annotate(docs, fields, rows, text, *known).drop(*known)
 
 

@@ -120,6 +120,30 @@ def test_decontamination_without_items(spark, docs, rows):
     assert {r["n_hit"] for r in got.collect()} == {0} and got.count() == len(rows)
 
 
+def test_windows_of_a_few_words_met_everywhere():
+    """Many items of few different words, repeats within and among them: each range and item as by all windows."""
+    r = random.Random(8)
+    say = lambda n: " ".join(r.choices("abc", k=n))
+    for _ in range(150):
+        items = [(i, say(r.choice([0, 1, 4, 5, 9, 10, 11, 16, 40]))) for i in range(r.choice([3, 60]))]
+        pieces = [t for _, t in items] + [say(7), "z", say(30)]
+        texts = {" ".join(r.choices(pieces, k=r.randint(0, 5))) for _ in range(6)}
+        machine, want = decontaminate.Automaton(items), naive_hits(texts, items)
+        for t in texts:
+            ranges, held = machine.scan(decontaminate.words(t))
+            assert (sum(b - a for a, b in ranges), len(held), sha(",".join(sorted(held)))) == want[t][1:4], (items, t)
+
+
+def test_automaton_memory():
+    """A block of the production size takes some 20 bytes a byte of text at most."""
+    import subprocess
+    import sys
+
+    code = "import random,resource;from docmill.llm import decontaminate as d;r=random.Random(1);v=[''.join(r.choices('abcdefghij',k=r.randint(2,8))) for _ in range(40000)];items=[(i,' '.join(r.choices(v,k=60))) for i in range(6000)];size=sum(len(t) for _,t in items);a=resource.getrusage(resource.RUSAGE_SELF).ru_maxrss;m=d.Automaton(items);print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss-a)*1024/size)"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, check=True).stdout
+    assert float(out) < 40
+
+
 def naive_base(t):
     found = []
     luhn = lambda d: sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(d[::-1])) % 10 == 0
