@@ -168,6 +168,51 @@ def test_base_spans_on_noise():
     assert pii.base("9" * 20000 + " " + "9999." * 5000) == []  # linear on long runs
 
 
+def test_context_moves_every_score():
+    spans = {"email": "a.b@c.org", "ip": "10.0.0.7", "card": "4111 1111 1111 1111", "phone": "+1 017 555 7713", "iban": "GB82 WEST 1234 5698 7654 32", "national": "555-123-4567", "ssn": "123-45-6789"}
+    near = {"email": "mail", "ip": "server", "card": "visa", "phone": "call", "iban": "bank", "national": "phone", "ssn": "SSN"}
+    for kind, span in spans.items():
+        for word, extra in ((near[kind], pii.GAIN[kind]), ("order", -0.2), ("nothing", 0.0), (near[kind] + " order", pii.GAIN[kind] - 0.2)):
+            t = f"{word} {span} {'x ' * 30}"
+            a = t.index(span)
+            found = {s[:3]: s[3] for s in [(*b, pii.score(t, *b)) for b in pii.base(t)] + pii.more(t, pii.base(t))}
+            want = round(min(1.0, pii.START[kind] + extra + 0.6 * (kind == "iban")), 2)
+            if kind in pii.KINDS[:4] or want >= pii.KEEP:
+                assert found[kind, a, a + len(span)] == want, (kind, word)
+            else:
+                assert not found, (kind, word)
+    far = "mail " + "x" * pii.NEAR + " a.b@c.org"
+    assert pii.score(far, "email", len(far) - 9, len(far)) == pii.START["email"]
+
+
+def test_own_spans_are_those_of_brute_force():
+    r = random.Random(12)
+    parts = ["SSN 123-45-6789", "call 555-123-4567", "+1 555 123 4567", "4111 1111 1111 1111", "GB82 WEST 1234 5698 7654 32", "order", "x", "123-45-6789", "10.0.0.1", "(555) 123-4567"]
+    for _ in range(300):
+        t = r.choice([" ", "", ", "]).join(r.choices(parts, k=r.randint(1, 8)))
+        taken = pii.base(t)
+        busy, want = [s[1:] for s in taken], []
+        for kind, expression in (("iban", pii._IBAN), ("national", pii._NATIONAL), ("ssn", pii._SSN)):
+            for m in expression.finditer(t):
+                s = pii.score(t, kind, *m.span(), 0.6 * (kind == "iban" and pii.mod97(m.group())))
+                if s >= pii.KEEP and all(m.end() <= x or m.start() >= y for x, y in busy):
+                    want.append((kind, *m.span(), s))
+                    busy.append(m.span())
+        assert pii.more(t, taken) == want, t
+
+
+def test_personal_data_time_is_linear():
+    import time
+
+    for make in (lambda k: "SSN 123-45-6789 " * k, lambda k: "call 555-123-4567, " * k, lambda k: "a@b.c " * k, lambda k: "4111 1111 1111 1111, " * k, lambda k: "@" * k, lambda k: "1." * k, lambda k: "+1" * k):
+        took = []
+        for k in (4_000, 32_000):
+            began = time.process_time()
+            pii.masked(make(k))
+            took.append(time.process_time() - began)
+        assert took[1] < 30 * max(took[0], 0.02), make(2)
+
+
 def test_personal_data(docs, rows):
     got = pii.find(docs)
     line = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
