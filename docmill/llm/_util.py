@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -44,16 +45,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables of written() that nothing reads any more, and lets the session delete shuffles that nothing refers to."""
     for df in tables:
-        spark = df.sparkSession
-        at = spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    released(spark)
+        deleted(df.sparkSession, df._scratch)
+    released(tables[0].sparkSession)
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Deletes a path of scratch_path()."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def released(spark: SparkSession) -> None:
-    """Lets the session delete shuffles and broadcasts that nothing refers to."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Lets the session delete shuffles and broadcasts that nothing refers to. What ended last is found the second time only."""
+    for pause in (0.3, 0):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(pause)
 
 
 def remainder(id_col: str, n: int) -> Column:

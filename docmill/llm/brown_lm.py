@@ -1,23 +1,23 @@
 """Scores of texts by a class-based bigram model whose classes come from exchange clustering.
 
 log P(text) is the sum over tokens of log P(class | class before) + log P(word | class); a text starts after an end and
-ends with one. Every training word is assigned by exchange. The ``CLUSTERED`` most frequent words start it, moved one at
-a time. Then rounds over all texts count each word's neighbouring classes in a shuffle and move every word, frequent or
-rare, to the class that raises the training likelihood most, the others held fixed; the likeliest round is kept. Classes
-are as many as the cube root of the distinct training words, ``CLASSES`` at least.
+ends with one. Every training word is assigned by exchange. The ``SEEDS`` most frequent words start it, moved one at a
+time. Then rounds over all texts count the neighbouring classes of each of the ``CLUSTERED`` most frequent words and
+move it to the class that raises the training likelihood most, the others held fixed; the likeliest round is kept. All
+other training words, counted with their neighbours among these in a shuffle, are inserted where exchange would put
+them. Classes are as many as the cube root of the distinct training words, ``CLASSES`` at least.
 
 A word not seen in training is in one of ``TAILS`` classes by its last three bytes, whose transitions are those of the
 words that occur once: of the count of such a word its class keeps a share only and its tail class, for what is new, gets
 the discount.
 
-Counts and classes of the ``HOT`` words at most that are the most frequent are sent to every worker; for the rest, which
-grow with the corpus, texts' words meet them in a join on the word.
+Counts and classes of the hot words are sent to every worker; the rest, which grow with the corpus, meet the texts in a
+join on the word, once for each slice of texts that holds it.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -27,14 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm._util import dropped, remainder, written
+from docmill.llm._util import dropped, released, remainder, written
 
-CLUSTERED, CLASSES, TAILS, HOT = 1000, 48, 64, 200_000
-#: Rounds that move all words; after the first, each moves a half of them, so that neighbours don't change places for ever.
+SEEDS, CLUSTERED, CLASSES, TAILS, HOT = 1000, 200_000, 48, 64, 200_000
+#: Rounds that move the clustered words; after the first, each moves a half of them, so that neighbours don't change places for ever.
 ROUNDS = 3
 #: A word longer than this is never hot: so HOT bounds the bytes sent, too.
 HOT_BYTES = 64
 _BLOCK = 512  # hot words whose neighbours' counts travel in a row
+#: Tokens at which a slice of encoded texts ends; a longer text is a slice of its own.
+SLICE_TOKENS = 1 << 17
 _END = b"\x00"  # stands for the end in counts; no word can be it, see _words
 
 
@@ -176,37 +178,244 @@ def likelihood(table: np.ndarray) -> float:
     return f(table) - f(table.sum(0)) - f(table.sum(1))
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """int32 numbers, the first bytes of all, then the second, and so on: small ones compress to a byte."""
-    return np.ascontiguousarray(x, dtype="<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """Integers of width bytes, the first bytes of all, then the second, and so on: small ones compress to a byte."""
+    return np.ascontiguousarray(x, dtype=f"<i{width}").view(np.uint8).reshape(-1, width).T.tobytes()
 
 
-def _numbers(x: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(x, dtype=np.uint8).reshape(4, -1).T).view("<i4").ravel()
+def _numbers(x: bytes, width: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, dtype=np.uint8).reshape(width, -1).T).view(f"<i{width}").ravel()
 
 
-_HOT: dict[str, dict[bytes, int]] = {}
+def encoded_slices(given: DataFrame, words: list[bytes], slice_tokens: int = SLICE_TOKENS) -> DataFrame:
+    """Rows of some slice_tokens tokens each, of whole texts that are all held out or all not: slice, held_out, ids, sizes
+    (tokens of each text), codes (by _planes; an end before the first text and after each), tails.
 
+    A hot word's code is its rank, the end's their number, another word's n_hot + 1 and its place in tails, where every
+    such word of the slice is once: what is joined to tails later grows with slices, not with a word's frequency.
+    """
+    spark = given.sparkSession
+    sent = spark.sparkContext.broadcast(words)
+    id_type = given.schema["id"].dataType
 
-def _ranks(stamp: str, words: list[bytes]) -> dict[bytes, int]:
-    if stamp not in _HOT:
-        _HOT.clear()
-        _HOT[stamp] = {w: i for i, w in enumerate(words)}
-    return _HOT[stamp]
-
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        ranks = {w: i for i, w in enumerate(sent.value)}
+        end = len(ranks)
+        open_slices: dict[bool, tuple[list, list, list, dict[bytes, int]]] = {}
+        made, kind = 0, to_arrow_type(id_type)
+
+        def out(held: bool) -> pa.RecordBatch:
+            nonlocal made
+            ids, sizes, codes, tails = open_slices.pop(held)
+            whole = np.concatenate([np.array([end], dtype=np.int32), *codes])
+            made += 1
+            values = [[made - 1], [held], [ids], [sizes], [_planes(whole, 4)], [list(tails)]]
+            kinds = [pa.int64(), pa.bool_(), pa.list_(kind), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary())]
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names=["slice", "held_out", "ids", "sizes", "codes", "tails"])
+
+        size = {False: 0, True: 0}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                held = batch.column(1)[i].as_py()
+                w = _words(batch.column(2)[i].as_py())
+                codes = list(map(ranks.get, w))
+                ids, sizes, kept, tails = open_slices.setdefault(held, ([], [], [], {}))
+                if None in codes:
+                    codes = [end + 1 + tails.setdefault(x, len(tails)) if c is None else c for x, c in zip(w, codes)]
+                codes.append(end)
+                ids.append(batch.column(0)[i].as_py())
+                sizes.append(len(codes))
+                kept.append(np.array(codes, dtype=np.int32))
+                size[held] += len(codes)
+                if size[held] >= slice_tokens:
+                    size[held] = 0
+                    yield out(held)
+        for held in list(open_slices):
+            yield out(held)
+
+    shape = f"slice long, held_out boolean, ids array<{id_type.simpleString()}>, sizes array<long>, codes binary, tails array<binary>"
+    return given.mapInArrow(encode, shape).withColumn("slice", F.shiftleft(F.spark_partition_id().cast("long"), 36) + F.col("slice"))
+
+
+def _arrays(batches: Iterator[pa.RecordBatch], n_hot: int, of: np.ndarray, end_class: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each slice of (codes, rare, ...): its row, codes, their classes and the rare words' classes; without any yet, rare is empty and they are -1."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            seq = _numbers(batch.column(0)[i].as_buffer(), 4)
+            rare = batch.column(1)[i].values.to_numpy(zero_copy_only=False).astype(np.int64)
+            if not len(rare):
+                rare = np.full(max(0, int(seq.max()) - n_hot), -1, dtype=np.int64)
+            yield batch.slice(i, 1), seq, np.concatenate([of, [end_class], rare])[seq], rare
+
+
+def _cells(n: np.ndarray) -> pa.RecordBatch:
+    at = np.flatnonzero(n)
+    return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["cell", "n"])
+
+
+def _collected(cells: DataFrame, size: int) -> np.ndarray:
+    """Sums by cell, of a number of cells that the classes bound."""
+    got = cells.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    n = np.zeros(size)
+    n[got["cell"].to_numpy(dtype=np.int64)] = got["n"].to_numpy()
+    return n
+
+
+def transitions(state: DataFrame, of: np.ndarray, once: np.ndarray, tail: np.ndarray, size: int) -> np.ndarray:
+    """Counts of class bigrams in training, apart by whether the second word occurs once; such words count again in and out of their tail class."""
+    total, n_hot = size + TAILS, len(of)
+    sent = state.sparkSession.sparkContext.broadcast((of, once, tail))
 
-def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held_out: str | None = None, clustered: int = CLUSTERED, classes: int | None = None, hot: int = HOT, rounds: int = ROUNDS) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, once, tail = sent.value
+        n = np.zeros(2 * total * total, dtype=np.int64)
+        for row, seq, cls, rare in _arrays(batches, n_hot, of, size - 1):
+            times = row.column(2)[0].values.to_numpy(zero_copy_only=False)
+            single = times == 1 if len(times) else np.zeros(len(rare), dtype=bool)
+            new = np.concatenate([once, [False], single])[seq]
+            x, y = cls[:-1], cls[1:]
+            seen = (x >= 0) & (y >= 0)
+            n += np.bincount(((new[1:] * total + x) * total + y)[seen], minlength=len(n))
+            if new.any():
+                tails = np.array([_tail(w) for w in row.column(3)[0].as_py()], dtype=np.int64)
+                apart = size + np.concatenate([tail, [0], tails])[seq]
+                for a, b, here in ((apart[:-1], y, new[:-1]), (x, apart[1:], new[1:]), (apart[:-1], apart[1:], new[:-1] & new[1:])):
+                    at = np.flatnonzero(here & seen)
+                    n += np.bincount((new[1:][at] * total + a[at]) * total + b[at], minlength=len(n))
+        yield _cells(n)
+
+    cells = state.where("NOT held_out").select("codes", "rare", "times", "tails").mapInArrow(run, "cell int, n long")
+    return _collected(cells, 2 * total * total).reshape(2, total, total)
+
+
+def move_hot(state: DataFrame, of: np.ndarray, table: np.ndarray, marks: np.ndarray, turn: int, ranks: range) -> np.ndarray:
+    """The classes of the hot words after those of these ranks have moved. Neighbours' counts are summed in workers, then by block of words and salt, then by block."""
+    spark = state.sparkSession
+    size, n_hot = len(table), len(of)
+    width = 2 * size
+    sent = spark.sparkContext.broadcast((of, table, marks))
+
+    def packed(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        blocks, first = np.unique(keys // (width * _BLOCK), return_index=True)
+        cuts = [*first, len(keys)]
+        cells, n = (keys % (width * _BLOCK)).astype(np.int32), n.astype(np.int64)
+        made = [[_planes(np.diff(cells[a:b], prepend=np.int32(0)), 4) for a, b in zip(cuts, cuts[1:])], [_planes(n[a:b], 8) for a, b in zip(cuts, cuts[1:])]]
+        return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(made[0], pa.binary()), pa.array(made[1], pa.binary())], names=["block", "cells", "n"])
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, kept, held = sent.value[0], [], 0
+        for _, seq, cls, _ in _arrays(batches, n_hot, of, size - 1):
+            seq = seq.astype(np.int64)
+            for w, x, side in ((seq[:-1], cls[1:], 0), (seq[1:], cls[:-1], size)):
+                keep = (w >= ranks.start) & (w < ranks.stop) & (x >= 0)
+                kept.append(w[keep] * width + side + x[keep])
+                held += len(kept[-1])
+            if held > 2_000_000:
+                yield packed(*np.unique(np.concatenate(kept), return_counts=True))
+                kept, held = [], 0
+        if held:
+            yield packed(*np.unique(np.concatenate(kept), return_counts=True))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> tuple[int, np.ndarray]:
+        n, block = np.zeros(_BLOCK * width, dtype=np.int64), -1
+        for part in batches:
+            for block, cells, k in zip(*[part.column(x).to_pylist() for x in ("block", "cells", "n")]):
+                n[np.cumsum(_numbers(cells, 4))] += _numbers(k, 8)
+        return block, n
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, n = summed(batches)
+        at = np.flatnonzero(n)
+        yield packed(block * _BLOCK * width + at, n[at])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, table, marks = sent.value
+        block, n = summed(batches)
+        cells = np.flatnonzero(n)
+        inner, starts = np.unique(cells // width, return_index=True)
+        code = block * _BLOCK + inner
+        to = moves(table, starts, cells % width, n[cells], of[code], marks[code], turn)
+        yield pa.RecordBatch.from_arrays([pa.array(code, pa.int32()), pa.array(to, pa.int32())], names=["code", "cls"])
+
+    source = state.where("NOT held_out").select("codes", "rare")
+    cells = source.mapInArrow(tally, "block int, cells binary, n binary")
+    salts = source.rdd.getNumPartitions() // 64
+    if salts > 1:  # a block's sums come from every partition: no task reads more than some 64 partitions' of them
+        salted = cells.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+        cells = salted.groupBy("block", "salt").applyInArrow(merge, "block int, cells binary, n binary")
+    got = cells.groupBy("block").applyInArrow(best, "code int, cls int").toPandas()
+    to = of.copy()
+    to[ranks] = np.where(of[ranks] < 0, marks[ranks] % (size - 1), of[ranks])  # without a neighbour that has a class
+    to[got["code"].to_numpy()] = got["cls"].to_numpy()
+    return to
+
+
+def place_rare(state: DataFrame, of: np.ndarray, table: np.ndarray) -> DataFrame:
+    """word, c, cls of each training word that isn't hot: the class at which exchange inserts it, given those of its neighbours.
+
+    A worker sums a word's neighbours within a slice, Spark by word and neighbour's class, so a word's group has as many
+    rows as there are classes on both sides, however frequent it is.
+    """
+    size, n_hot = len(table), len(of)
+    classes, none = size - 1, 2 * size  # none: the key of a neighbour without a class
+    sent = state.sparkSession.sparkContext.broadcast((of, table))
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = sent.value[0]
+        for row, seq, cls, _ in _arrays(batches, n_hot, of, classes):
+            here = np.flatnonzero(seq > n_hot)
+            if not len(here):
+                continue
+            after, before, word = cls[here + 1], cls[here - 1], (seq[here] - n_hot - 1).astype(np.int64) * (none + 1)
+            keys, n = np.unique(np.concatenate([word + np.where(after < 0, none, after), word + np.where(before < 0, none, size + before)]), return_counts=True)
+            words = row.column(2)[0].values.take(pa.array(keys // (none + 1)))
+            yield pa.RecordBatch.from_arrays([words, pa.array((keys % (none + 1)).astype(np.int32)), pa.array(n)], names=["word", "key", "n"])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, table = sent.value
+        for batch in batches:
+            found = batch.column(1)
+            each = np.asarray(found.value_lengths())
+            word = np.repeat(np.arange(len(each)), each)
+            entries = found.flatten()
+            keys, n = entries.field("key").to_numpy(zero_copy_only=False), entries.field("n").to_numpy(zero_copy_only=False)
+            c = np.bincount(word, weights=n, minlength=len(each)).astype(np.int64) // 2
+            marks = np.array([zlib.crc32(w) for w in batch.column(0).to_pylist()], dtype=np.int64)
+            to = marks % classes
+            keep = keys < none
+            inner, starts = np.unique(word[keep], return_index=True)
+            to[inner] = moves(table, starts, keys[keep], n[keep], np.full(len(inner), -1), marks[inner], 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c), pa.array(to, pa.int32())], names=["word", "c", "cls"])
+
+    seen = state.where("NOT held_out AND size(tails) > 0").select("codes", "rare", "tails").mapInArrow(tally, "word binary, key int, n long")
+    sums = seen.groupBy("word", "key").agg(F.sum("n").alias("n")).groupBy("word").agg(F.sort_array(F.collect_list(F.struct("key", "n"))).alias("found"))
+    return sums.mapInArrow(best, "word binary, c long, cls int")
+
+
+def annotated(encoded: DataFrame, classes_of: DataFrame) -> DataFrame:
+    """encoded with rare and times, the classes and counts of tails: -2 and 0 for a word that is not in training."""
+    words = encoded.where("size(tails) > 0").select("slice", F.posexplode("tails").alias("k", "word"))
+    met = words.join(classes_of, "word", "left").select("slice", F.struct("k", F.coalesce("cls", F.lit(-2)).alias("cls"), F.coalesce("c", F.lit(0).cast("long")).alias("c")).alias("x"))
+    by_slice = met.groupBy("slice").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    empty = lambda x, t: F.coalesce(F.col(x), F.array().cast(t))
+    return encoded.join(by_slice, "slice", "left").select(*encoded.columns, empty("x.cls", "array<int>").alias("rare"), empty("x.c", "array<bigint>").alias("times"))
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held_out: str | None = None, clustered: int = CLUSTERED, classes: int | None = None, hot: int = HOT, rounds: int = ROUNDS, slice_tokens: int = SLICE_TOKENS) -> DataFrame:
     """One row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), perplexity.
 
     Training texts are those not held out: by column held_out (null: not), else by crc32 of the id mod 7 = 2. A null
-    text is an empty one: its one token is the end. With no training text every count is zero and either model
-    gives all words the same; then the score is the base score. Rows that repeat count each; no rows give no rows.
+    text is an empty one: its one token is the end; texts of any length are read whole. With no training text every
+    count is zero and either model gives all words the same; then the score is the base score. Rows that repeat count
+    each; no rows give no rows. Words of equal frequency rank by their bytes, a word that several classes suit equally
+    goes by its crc32. Columns other than the three named are ignored.
     """
     spark = docs.sparkSession
     out = remainder(id_col, 7) == 2 if held_out is None else F.coalesce(F.col(f"`{held_out}`"), F.lit(False))
     given = docs.select(F.col(f"`{id_col}`").alias("id"), out.alias("held_out"), F.col(f"`{text}`").cast("string").alias("text"))
-    train = given.where("NOT held_out")
-    c = written(counts(train), "counts")
+    c = written(counts(given.where("NOT held_out")), "counts")
 
     whole = c.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), *(F.count(F.when(F.col("c") == k, 1)) for k in (1, 2))).first()
     total, distinct = int(whole[0]), int(whole[1])
@@ -222,222 +431,61 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held_out:
     else:
         rows = sorted(c.where((F.length("word") <= HOT_BYTES) & (F.col("c") >= least) & (F.col("word") != F.lit(bytearray(_END)))).collect(), key=lambda r: (-r["c"], bytes(r["word"])))
         words, freq = [bytes(r["word"]) for r in rows], np.array([r["c"] for r in rows], dtype=float)
+    ends = float(total and c.where(F.col("word") == F.lit(bytearray(_END))).first()["c"])
+    dropped(c)
     classes = max(CLASSES, math.ceil(distinct ** (1 / 3))) if classes is None else classes
     clustered, n_hot = min(clustered, len(words)), len(words)
-    hot_rest = np.array([_tail(w) for w in words[clustered:]], dtype=np.int64)
-    # to start with, unit of a token: a clustered word's rank; clustered + its tail class for any other word; the last for the end
-    units = clustered + TAILS + 1
-    unit_of = np.concatenate([np.arange(clustered), clustered + hot_rest]).astype(np.int32)
-    sent, stamp = spark.sparkContext.broadcast(words), uuid.uuid4().hex
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = _ranks(stamp, sent.value)
-        n_hot = len(ranks)
-        row = 0
-        for whole_batch in batches:
-            for at in range(0, whole_batch.num_rows, 512):
-                batch = whole_batch.slice(at, 512)
-                codes, tails, sizes = [], [], []
-                for t in batch.column(2).to_pylist():
-                    w = _words(t)
-                    ids = list(map(ranks.get, w))
-                    if None in ids:
-                        rare = [x for x, i in zip(w, ids) if i is None]
-                        kinds = iter([n_hot + _tail(x) for x in rare])
-                        ids = [next(kinds) if i is None else i for i in ids]
-                    else:
-                        rare = []
-                    codes.append(np.array(ids, dtype=np.int32).tobytes())
-                    tails.append(rare)
-                    sizes.append(len(w) + 1)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(range(row, row + batch.num_rows), pa.int64()), pa.array(sizes, pa.int64()), pa.array(codes, pa.binary()), pa.array(tails, pa.list_(pa.binary()))],
-                    names=["id", "held_out", "row", "n_tokens", "codes", "tails"],
-                )
-                row += batch.num_rows
-
-    id_type = given.schema["id"].dataType.simpleString()
-    made = given.mapInArrow(encode, f"id {id_type}, held_out boolean, row long, n_tokens long, codes binary, tails array<binary>")
-    encoded = written(made.withColumn("row", F.shiftleft(F.spark_partition_id().cast("long"), 36) + F.col("row")), "encoded")
+    hot_tail = np.array([_tail(w) for w in words], dtype=np.int64)
+    hot_mark = np.array([zlib.crc32(w) for w in words], dtype=np.int64)
+    encoded = written(encoded_slices(given, words, slice_tokens), "encoded")
 
-    unit_all = np.concatenate([unit_of, clustered + np.arange(TAILS)]).astype(np.int64)  # by code
+    # to start with, unit of a token: a seed's rank; seeds + its tail class for any other word; the last for the end
+    seeds = min(SEEDS, clustered)
+    units = seeds + TAILS + 1
+    unit_of = np.concatenate([np.arange(seeds), seeds + hot_tail[seeds:], [units - 1]]).astype(np.int64)
 
     def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(units * units, dtype=np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                parts = [np.array([units - 1])]
-                for b in batch.column(0).slice(at, 512).to_pylist():
-                    parts += [unit_all[np.frombuffer(b, dtype=np.int32)], np.array([units - 1])]
-                seq = np.concatenate(parts)
+            for codes, tails in zip(batch.column(0), batch.column(1)):
+                kinds = np.array([seeds + _tail(w) for w in tails.as_py()], dtype=np.int64)
+                seq = np.concatenate([unit_of, kinds])[_numbers(codes.as_buffer(), 4)]
                 n += np.bincount(seq[:-1] * units + seq[1:], minlength=units * units)
-        cells = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(n[cells])], names=["cell", "n"])
-
-    # units x units cells at most come to the driver
-    cells = encoded.where("NOT held_out").select("codes").mapInArrow(bigrams, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    n = np.zeros(units * units)
-    n[cells["cell"].to_numpy(dtype=np.int64)] = cells["n"].to_numpy()
-    n = n.reshape(units, units)
-    of = exchange(n, clustered, classes)
+        yield _cells(n)
+
+    n = _collected(encoded.where("NOT held_out").select("codes", "tails").mapInArrow(bigrams, "cell int, n long"), units * units).reshape(units, units)
+    of, size = exchange(n, seeds, classes), classes + 1
     # classes of hot words are on the driver, of all others in column rare, in the order of tails; -1: none yet, -2: not in training
-    end, size = n_hot + TAILS, classes + 1
     hot_class = np.full(n_hot, -1, dtype=np.int64)
-    hot_class[:clustered] = of[:clustered]
-    hot_tail = np.array([_tail(w) for w in words], dtype=np.int64)
-    hot_mark = np.array([zlib.crc32(w) for w in words], dtype=np.int64)
-    state = encoded.withColumn("rare", F.transform("tails", lambda x: F.lit(-1))).withColumn("times", F.transform("tails", lambda x: F.lit(0).cast("long")))
-
-    def sequence(codes: pa.Array, rare: pa.Array, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of texts with the end around each, and their classes."""
-        parts = [np.array([end])]
-        for b in codes.to_pylist():
-            parts += [np.frombuffer(b, dtype=np.int32), np.array([end])]
-        seq = np.concatenate(parts)
-        cls = np.concatenate([of, np.zeros(TAILS, dtype=np.int64), [classes]])[seq]
-        cls[(seq >= n_hot) & (seq < end)] = rare.flatten().to_numpy(zero_copy_only=False)
-        return seq, cls
-
-    def transitions(state: DataFrame, of: np.ndarray) -> np.ndarray:
-        """Counts of class bigrams in training, apart by whether the second word occurs once; such words count again in and out of their tail class."""
-        total = size + TAILS
-        sent = spark.sparkContext.broadcast((of, freq == 1, hot_tail))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            of, once, tail = sent.value
-            n = np.zeros(2 * total * total, dtype=np.int64)
-            tail = np.concatenate([tail, np.arange(TAILS), [0]])
-            once = np.concatenate([once, np.zeros(TAILS + 1, dtype=bool)])
-            for whole_batch in batches:
-                for at in range(0, whole_batch.num_rows, 512):
-                    batch = whole_batch.slice(at, 512)
-                    seq, cls = sequence(batch.column(0), batch.column(1), of)
-                    new = once[seq]
-                    new[(seq >= n_hot) & (seq < end)] = batch.column(2).flatten().to_numpy(zero_copy_only=False) == 1
-                    old, apart = np.ones(len(seq), dtype=bool), size + tail[seq]
-                    for x, y in ((cls, cls), (apart, cls), (cls, apart), (apart, apart)):
-                        keep = (old if x is cls else new)[:-1] & (old if y is cls else new)[1:] & (x[:-1] >= 0) & (y[1:] >= 0)
-                        n += np.bincount(((new[1:] * total + x[:-1]) * total + y[1:])[keep], minlength=2 * total * total)
-            cells = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(n[cells])], names=["cell", "n"])
-
-        got = state.where("NOT held_out").select("codes", "rare", "times").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-        table = np.zeros(2 * total * total)
-        table[got["cell"].to_numpy(dtype=np.int64)] = got["n"].to_numpy()
-        return table.reshape(2, total, total)
-
-    def move_hot(state: DataFrame, of: np.ndarray, table: np.ndarray, turn: int) -> np.ndarray:
-        width = 2 * size
-        sent = spark.sparkContext.broadcast((of, table, hot_mark))
-
-        def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            of, kept, held = sent.value[0], [], 0
-
-            def out() -> pa.RecordBatch:
-                keys, n = np.unique(np.concatenate(kept), return_counts=True)
-                blocks, first = np.unique(keys // (width * _BLOCK), return_index=True)
-                cuts = [*first, len(keys)]
-                cells, n = (keys % (width * _BLOCK)).astype(np.int32), n.astype(np.int32)
-                made = [[_planes(np.diff(cells[a:b], prepend=np.int32(0))) for a, b in zip(cuts, cuts[1:])], [_planes(n[a:b]) for a, b in zip(cuts, cuts[1:])]]
-                return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(made[0], pa.binary()), pa.array(made[1], pa.binary())], names=["block", "cells", "n"])
-
-            for whole_batch in batches:
-                for at in range(0, whole_batch.num_rows, 512):
-                    batch = whole_batch.slice(at, 512)
-                    seq, cls = sequence(batch.column(0), batch.column(1), of)
-                    seq = seq.astype(np.int64)
-                    for w, x, side in ((seq[:-1], cls[1:], 0), (seq[1:], cls[:-1], size)):
-                        keep = (w < n_hot) & (x >= 0)
-                        kept.append(w[keep] * width + side + x[keep])
-                        held += len(kept[-1])
-                    if held > 4_000_000:
-                        yield out()
-                        kept, held = [], 0
-            if held:
-                yield out()
-
-        def best(part: pa.Table) -> pa.Table:
-            of, table, mark = sent.value
-            n = np.zeros(_BLOCK * width, dtype=np.int64)
-            for cells, k in zip(part["cells"].to_pylist(), part["n"].to_pylist()):
-                n[np.cumsum(_numbers(cells))] += _numbers(k)
-            cells = np.flatnonzero(n)
-            inner, starts = np.unique(cells // width, return_index=True)
-            code = part["block"][0].as_py() * _BLOCK + inner
-            to = moves(table, starts, cells % width, n[cells], of[code], mark[code], turn)
-            return pa.table({"code": pa.array(code, pa.int32()), "cls": pa.array(to, pa.int32())})
-
-        cells = state.where("NOT held_out").select("codes", "rare").mapInArrow(tally, "block int, cells binary, n binary")
-        got = cells.groupBy("block").applyInArrow(best, "code int, cls int").toPandas()
-        to = np.where(of < 0, hot_mark % classes, of)  # without a neighbour that has a class
-        to[got["code"].to_numpy()] = got["cls"].to_numpy()
-        return to
-
-    def move_rare(state: DataFrame, of: np.ndarray, table: np.ndarray, turn: int) -> DataFrame:
-        """word, c, cls of each training word that isn't hot."""
-        none = 2 * size  # the key of a neighbour without a class
-        sent = spark.sparkContext.broadcast((of, table))
-
-        def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            of = sent.value[0]
-            for whole_batch in batches:
-                for at in range(0, whole_batch.num_rows, 512):
-                    batch = whole_batch.slice(at, 512)
-                    seq, cls = sequence(batch.column(0), batch.column(1), of)
-                    here = np.flatnonzero((seq >= n_hot) & (seq < end))
-                    word, after, before = batch.column(2).flatten(), cls[here + 1], cls[here - 1]
-                    for keys in (np.where(after < 0, none, after), np.where(before < 0, none, size + before)):
-                        yield pa.RecordBatch.from_arrays([word, pa.array(cls[here], pa.int32()), pa.array(keys, pa.int32())], names=["word", "own", "key"])
-
-        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            of, table = sent.value
-            for batch in batches:
-                found = batch.column(2)
-                each = np.asarray(found.value_lengths())
-                word = np.repeat(np.arange(len(each)), each)
-                entries = found.flatten()
-                keys, n = entries.field("key").to_numpy(zero_copy_only=False), entries.field("n").to_numpy(zero_copy_only=False)
-                c = np.bincount(word, weights=n, minlength=len(each)).astype(np.int64) // 2
-                marks = np.array([zlib.crc32(w) for w in batch.column(0).to_pylist()], dtype=np.int64)
-                own = batch.column(1).to_numpy().astype(np.int64)
-                to = np.where(own < 0, marks % classes, own)
-                keep = keys < none
-                inner, starts = np.unique(word[keep], return_index=True)
-                to[inner] = moves(table, starts, keys[keep], n[keep], own[inner], marks[inner], turn)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c), pa.array(to, pa.int32())], names=["word", "c", "cls"])
-
-        seen = state.where("NOT held_out AND size(tails) > 0").select("codes", "rare", "tails").mapInArrow(tally, "word binary, own int, key int")
-        sums = seen.groupBy("word", "own", "key").agg(F.count("*").alias("n")).groupBy("word", "own").agg(F.sort_array(F.collect_list(F.struct("key", "n"))).alias("found"))
-        return sums.mapInArrow(best, "word binary, c long, cls int")
-
-    def annotated(encoded: DataFrame, classes_of: DataFrame) -> DataFrame:
-        encoded = encoded.drop("rare", "times")
-        tokens = encoded.where("size(tails) > 0").select("row", F.posexplode("tails").alias("k", "word"))
-        met = tokens.join(classes_of, "word", "left").select("row", F.struct("k", F.coalesce("cls", F.lit(-2)).alias("cls"), F.coalesce("c", F.lit(0).cast("long")).alias("c")).alias("x"))
-        by_row = met.groupBy("row").agg(F.sort_array(F.collect_list("x")).alias("x"))
-        joined = encoded.join(by_row, "row", "left")
-        empty = lambda x, t: F.coalesce(F.col(x), F.array().cast(t))
-        return joined.select(*encoded.columns, empty("x.cls", "array<int>").alias("rare"), empty("x.c", "array<bigint>").alias("times"))
-
-    kept = None
+    hot_class[:seeds] = of[:seeds]
+    state = encoded.withColumn("rare", F.array().cast("array<int>")).withColumn("times", F.array().cast("array<bigint>"))
+
     if total:
-        counted = transitions(state, hot_class)
+        kept = None
         for turn in range(max(1, rounds)):
-            table = counted.sum(0)[:size, :size]
-            rare_class = move_rare(state, hot_class, table, turn)
-            hot_class = move_hot(state, hot_class, table, turn)
-            state = written(annotated(state, rare_class), "classes")
-            counted = transitions(state, hot_class)
-            value = likelihood(counted.sum(0)[:size, :size])
-            if kept is not None and value <= kept[0] + 1e-6:
+            table = transitions(state, hot_class, freq == 1, hot_tail, size).sum(0)[:size, :size]
+            value = likelihood(table)
+            if turn > 1 and value <= kept[0] + 1e-6:  # in the first round words without a class come in
                 break
-            dropped(encoded if kept is None else kept[1])
-            kept = (value, state, hot_class, counted)
-        _, state, hot_class, counted = kept
+            kept = (value, hot_class, table)
+            hot_class = move_hot(state, hot_class, table, hot_mark, turn, range(clustered))
+            released(spark)
+        else:
+            table = transitions(state, hot_class, freq == 1, hot_tail, size).sum(0)[:size, :size]
+            if rounds <= 1 or likelihood(table) > kept[0]:
+                kept = (None, hot_class, table)
+        _, hot_class, table = kept
+        rare_class = written(place_rare(state, hot_class, table), "rare")
+        if clustered < n_hot:
+            hot_class = move_hot(state, hot_class, table, hot_mark, 0, range(clustered, n_hot))
+        released(spark)
+        state = written(annotated(encoded, rare_class), "classes")
+        dropped(encoded, rare_class)
+        counted = transitions(state, hot_class, freq == 1, hot_tail, size)
     else:
         counted = np.zeros((2, size + TAILS, size + TAILS))
         hot_class = np.zeros(n_hot, dtype=np.int64)
-        state = state.withColumn("rare", F.transform("tails", lambda x: F.lit(-2)))
+        state = encoded.withColumn("rare", F.transform("tails", lambda x: F.lit(-2))).withColumn("times", F.transform("tails", lambda x: F.lit(0).cast("long")))
     discount = whole[2] / (whole[2] + 2 * whole[3] + 1)
     shares = counted[0] + counted[1] * np.where(np.arange(size + TAILS) < size, 1 - discount, discount)
     model = _probabilities(shares, np.arange(size + TAILS), classes)
@@ -446,32 +494,31 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held_out:
     class_size = np.log10(np.maximum((counted[0] + (1 - discount) * counted[1])[:size, :classes].sum(0), 1e-9))
     new_size = np.log10(counted[1][:size, size:].sum(0) + 1)
     base_norm = math.log10(total + distinct + 1)
-    ends = float(total and c.where(F.col("word") == F.lit(bytearray(_END))).first()["c"])
     numbers = spark.sparkContext.broadcast((hot_class, freq, class_size, new_size, model))
     end_flat, end_known = math.log10(ends + 1) - base_norm, int(ends > 0)
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, freq, class_size, new_size, model = numbers.value
-        for whole_batch in batches:
-            for at in range(0, whole_batch.num_rows, 512):
-                batch = whole_batch.slice(at, 512)
-                seq, cls = sequence(batch.column(3), batch.column(4), of)
-                is_rare, word = (seq >= n_hot) & (seq < end), seq != end
-                times = np.concatenate([freq, np.zeros(TAILS + 1)])[seq]
-                times[is_rare] = batch.column(5).flatten().to_numpy(zero_copy_only=False)
-                new = cls == -2
-                cls[new] = size + seq[new] - n_hot
-                flat = np.where(word, np.log10(times + 1) - base_norm, end_flat)
-                emit = np.zeros(len(seq))
-                emit[new] = -new_size[cls[new] - size]
-                old = word & ~new
-                emit[old] = np.log10(np.maximum(times[old] - discount * (times[old] == 1), 1e-9)) - class_size[cls[old]]
-                emit[1:] += model[cls[:-1], cls[1:]]
-                stop = np.flatnonzero(~word)
-                flat, emit, known = (np.add.reduceat(x[1:], stop[:-1]) for x in (flat, emit, np.where(word, times > 0, end_known).astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(flat), pa.array(emit), pa.array(known)], names=["id", "held_out", "n_tokens", "base_score", "score", "known"])
-
-    scored = state.select("id", "held_out", "n_tokens", "codes", "rare", "times").mapInArrow(scores, f"id {id_type}, held_out boolean, n_tokens long, base_score double, score double, known long")
+        for row, seq, cls, rare in _arrays(batches, n_hot, of, classes):
+            tails = row.column(3)[0].as_py()
+            times = np.concatenate([freq, [0.0], row.column(2)[0].values.to_numpy(zero_copy_only=False)])[seq]
+            word, new = seq != n_hot, cls == -2
+            if new.any():
+                cls = np.where(new, size + np.concatenate([np.zeros(n_hot + 1, dtype=np.int64), [_tail(w) for w in tails]]).astype(np.int64)[seq], cls)
+            flat = np.where(word, np.log10(times + 1) - base_norm, end_flat)
+            emit = np.zeros(len(seq))
+            emit[new] = -new_size[cls[new] - size]
+            old = word & ~new
+            emit[old] = np.log10(np.maximum(times[old] - discount * (times[old] == 1), 1e-9)) - class_size[cls[old]]
+            emit[1:] += model[cls[:-1], cls[1:]]
+            sizes = row.column(6)[0].values.to_numpy()
+            starts = np.cumsum(sizes) - sizes
+            flat, emit, known = (np.add.reduceat(x[1:], starts) for x in (flat, emit, np.where(word, times > 0, end_known).astype(np.int64)))
+            held = pa.array(np.full(len(sizes), row.column(4)[0].as_py()))
+            yield pa.RecordBatch.from_arrays([row.column(5)[0].values, held, pa.array(sizes), pa.array(flat), pa.array(emit), pa.array(known)], names=["id", "held_out", "n_tokens", "base_score", "score", "known"])
+
+    id_type = given.schema["id"].dataType.simpleString()
+    scored = state.select("codes", "rare", "times", "tails", "held_out", "ids", "sizes").mapInArrow(scores, f"id {id_type}, held_out boolean, n_tokens long, base_score double, score double, known long")
     final = F.col("score") if total else F.col("base_score")
     return scored.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
