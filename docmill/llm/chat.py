@@ -17,8 +17,8 @@ def turns(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn"
         F.col(f"`{conv_id}`").alias("conv"), F.col(f"`{turn}`").alias("turn"), F.coalesce(F.col(f"`{role}`"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")
     ).where("conv IS NOT NULL")
     t = t.withColumns({"h": F.xxhash64(F.lit(1), "role", "text"), "g": F.xxhash64(F.lit(2), "role", "text")})
-    order = Window.partitionBy("conv").orderBy(F.col("turn").asc_nulls_first(), "role", "h", "g")
-    same = F.lag(F.struct("turn", "role", "h", "g")).over(order).eqNullSafe(F.struct("turn", "role", "h", "g"))
+    order = Window.partitionBy("conv").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    same = F.lag(F.struct("turn", "role", "text")).over(order).eqNullSafe(F.struct("turn", "role", "text"))
     return t.withColumn("same", F.coalesce(same, F.lit(False))).where("NOT same").withColumn("at", F.row_number().over(order)).drop("same")
 
 
@@ -44,7 +44,7 @@ def maximal(t: DataFrame) -> DataFrame:
 def render(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row per maximal conversation: conv_id, n_turns, n_same, rendered.
 
-    Turns are ordered by turn, null first, then role and a hash of role and text. Each is rendered
+    Turns are ordered by turn, null first, then role, then text, both by their bytes. Each is rendered
     ``<|im_start|>role\\ntext<|im_end|>\\n`` with null as empty. No rows give no rows; columns other than the four named
     are ignored.
     """
