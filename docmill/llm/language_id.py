@@ -29,6 +29,8 @@ LEAST_TEXTS = 20
 MARGIN = 1.0
 #: A mean weight of 1/SCALE is a log odds of 1, in texts of FULL trigrams or more.
 SCALE, FULL = 3.0, 60
+#: Languages whose sums a worker holds at a time.
+OPEN = 64
 _LETTER = r"\p{L}"
 
 
@@ -88,11 +90,16 @@ def _counts(sample: DataFrame) -> DataFrame:
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if lang not in sums:
+                    if len(sums) >= OPEN:
+                        yield from map(out, sums.items())
+                        sums.clear()
                     sums[lang] = np.zeros(BUCKETS, dtype=np.int64)
                 sums[lang] += np.bincount(trigrams(text), minlength=BUCKETS)
-        for lang, n in sums.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["lang", "bucket", "n"])
+        yield from map(out, sums.items())
+
+    def out(found: tuple[str, np.ndarray]) -> pa.RecordBatch:
+        at = np.flatnonzero(found[1])
+        return pa.RecordBatch.from_arrays([pa.array([found[0]] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(found[1][at])], names=["lang", "bucket", "n"])
 
     return sample.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
@@ -101,31 +108,35 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", rows_per_lang
     """A model of the languages in docs' labelled rows with a letter, from about rows_per_language distinct texts of each.
 
     Only rows with a letter count for it, copies count once; of every language with such a row some text is read.
-    What comes to the driver is languages x 65536 sums at most, whatever the number of rows.
+    What comes to the driver is at most languages x 65536 sums, and of a language no more than its sample's trigrams.
+    Languages of equal loss rank by name.
     """
     seen = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(_LETTER)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     seen = seen.withColumn("h", F.xxhash64(F.lit("sample"), "text"))
-    sizes = {r["lang"]: (r["n"], r["h"]) for r in seen.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("h")).collect()}
+    sizes = seen.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("always")).collect()
     if not sizes:
         return Model([], codewords(0), np.zeros((BUCKETS, 1), np.float32), codewords(0))
+    by_language = F.broadcast(docs.sparkSession.createDataFrame(sizes, "lang string, n long, always long"))  # the model that every worker gets is larger
     # a language is rarer than the cut or is thinned to it
-    share: Column = F.create_map(*[x for k, (n, _) in sizes.items() for x in (F.lit(k), F.lit(min(1.0, max(rows_per_language, LEAST_TEXTS) / n)))])
-    always: Column = F.create_map(*[x for k, (_, h) in sizes.items() for x in (F.lit(k), F.lit(h))])
-    chosen = seen.where((F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)) | (F.col("h") == always[F.col("lang")]))
+    share: Column = F.least(F.lit(1.0), F.lit(float(max(rows_per_language, LEAST_TEXTS))) / F.col("n"))
+    chosen = seen.join(by_language, "lang").where((F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)) | (F.col("h") == F.col("always")))
     sample = chosen.groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
     rows = _counts(sample).toPandas()
     languages = sorted(rows["lang"].unique())
     place = {x: i for i, x in enumerate(languages)}
-    n = np.zeros((len(languages), BUCKETS))
-    n[rows["lang"].map(place).to_numpy(dtype=np.int64), rows["bucket"].to_numpy(dtype=np.int64)] = rows["n"]
-    p = n + 0.5
-    p /= p.sum(1, keepdims=True)
+    at, bucket, n = rows["lang"].map(place).to_numpy(dtype=np.int64), rows["bucket"].to_numpy(dtype=np.int64), rows["n"].to_numpy(dtype=np.float64)
+    # a trigram's share of its language, half a count more for each; the mean of these on either side of each bit
+    total = np.bincount(at, weights=n, minlength=len(languages)) + 0.5 * BUCKETS
     codes = codewords(len(languages))
     bits = codes.shape[1]
     weights = np.zeros((BUCKETS, bits), dtype=np.float32)
     for b in range(bits if len(languages) > 1 else 0):
-        w = np.log(p[codes[:, b] > 0].mean(0)) - np.log(p[codes[:, b] < 0].mean(0))
-        weights[:, b] = np.clip(w, -8, 8)
+        mean = []
+        for side in (1, -1):
+            mine = codes[:, b] == side
+            found = mine[at]
+            mean.append((np.bincount(bucket[found], weights=n[found] / total[at[found]], minlength=BUCKETS) + (0.5 / total[mine]).sum()) / mine.sum())
+        weights[:, b] = np.clip(np.log(mean[0]) - np.log(mean[1]), -8, 8)
     model = Model(languages, codes, weights, np.full(codes.shape, 1 / bits, dtype=np.float32))
     model.trust = _trust(sample, model, place)
     return model
