@@ -11,9 +11,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
+from operator import itemgetter
 
 import ahocorasick
 import regex
@@ -23,8 +24,11 @@ from pyspark.sql import types as T
 
 from docmill.llm._util import annotate
 
-#: Pieces whose ids a worker remembers at most; it starts afresh when they are full. No result depends on it.
-REMEMBERED = 400_000
+#: Bytes, about, of pieces and their ids that a worker remembers at most; it starts afresh when they are full. A piece of
+#: more than LONG characters is not remembered. No result depends on either.
+REMEMBERED, LONG = 160 << 20, 200
+#: Pairs of tokens whose fit a worker remembers at most.
+PAIRS = 1_000_000
 
 
 def merge(ranks: dict[bytes, int], data: bytes) -> list[int]:
@@ -39,6 +43,11 @@ def merge(ranks: dict[bytes, int], data: bytes) -> list[int]:
     return [ranks[p] for p in parts]
 
 
+#: A piece's ids, these as decimals, and the bytes decoded from them.
+Piece = tuple[tuple[int, ...], str, bytes]
+_IDS, _LINE, _BYTES = map(itemgetter, range(3))
+
+
 class Vocabulary:
     """The tokens of a rank file, and which may follow which."""
 
@@ -54,7 +63,8 @@ class Vocabulary:
         self.ends.make_automaton()
         self.follows: dict[tuple[int, int], bool] = {}
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.pieces: dict[str, Piece] = {}
+        self.held = 0  # bytes of pieces, about
 
     def split(self, t: int) -> tuple[int, int] | None:
         """The two tokens whose merge gives t, t twice for a single byte, None if merging t's bytes gives no single token."""
@@ -82,7 +92,7 @@ class Vocabulary:
     def fits(self, a: int, b: int) -> bool:
         """Whether b may directly follow a in an encoding: no merge across their border comes before the merges that made them."""
         if (ok := self.follows.get((a, b))) is None:
-            if len(self.follows) > 2_000_000:
+            if len(self.follows) > PAIRS:
                 self.follows.clear()
             ok = self.follows[a, b] = self._fits(a, b)
         return ok
@@ -146,21 +156,33 @@ class Vocabulary:
         self.extend(last, data)
         return self.walk(last)
 
-    def encode(self, text: str) -> list[int]:
-        """The ids of each match of the pattern in text, encoded on its own."""
+    def each(self, text: str) -> list[Piece]:
+        """The matches of the pattern in text, each encoded on its own."""
         known = self.pieces
         found = pieces(text)
         try:
-            return list(chain.from_iterable(map(known.__getitem__, found)))
+            return list(map(known.__getitem__, found))
         except KeyError:
             pass
-        if len(known) > REMEMBERED:
+        if self.held > REMEMBERED:
             known.clear()
+            self.held = 0
+        long = {}
         for p in set(found).difference(known):
-            known[p] = tuple(self.piece(p.encode("utf-8", "replace")))
-        return list(chain.from_iterable(map(known.__getitem__, found)))
+            ids = tuple(self.piece(p.encode("utf-8", "replace")))
+            made = ids, " ".join(map(self.text.__getitem__, ids)), self.decode(ids)
+            if len(p) > LONG:
+                long[p] = made
+            else:
+                known[p] = made
+                self.held += 400 + 8 * len(p) + 40 * len(ids)
+        return [known.get(p) or long[p] for p in found] if long else list(map(known.__getitem__, found))
+
+    def encode(self, text: str) -> list[int]:
+        """The ids of each match of the pattern in text, encoded on its own."""
+        return list(chain.from_iterable(map(_IDS, self.each(text))))
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: Iterable[int]) -> bytes:
         """The bytes of ids; an id without a token is an error."""
         return b"".join(map(self.bytes.__getitem__, ids))
 
@@ -217,17 +239,17 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", ids: bool = Fa
     """docs with n_tokens, ids_sha256 and decoded_sha256 (and token_ids, if ids), the texts encoded whole and decoded again.
 
     A null text is an empty one: no tokens, the hashes of no bytes. Columns of docs named like these give way. Equal
-    texts get equal results; no rows give no rows. A lone surrogate, which no valid table holds, counts as "?".
+    texts get equal results; no rows give no rows; a text of any length is encoded whole. A lone surrogate, which no valid
+    table holds, counts as "?".
     """
 
     def rows(texts: list) -> Iterator[tuple]:
         v = vocabulary(path)
         for t in texts:
-            found = v.encode(t or "")
-            line = " ".join(map(v.text.__getitem__, found))
-            decoded = hashlib.sha256(v.decode(found)).hexdigest()
-            out = (len(found), hashlib.sha256(line.encode()).hexdigest(), decoded)
-            yield (*out, found) if ids else out
+            found = v.each(t or "")
+            line = " ".join(map(_LINE, found))
+            out = (sum(map(len, map(_IDS, found))), hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(b"".join(map(_BYTES, found))).hexdigest())
+            yield (*out, list(chain.from_iterable(map(_IDS, found)))) if ids else out
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     return annotate(docs, fields + [T.StructField("token_ids", T.ArrayType(T.IntegerType()))] * ids, rows, text)
