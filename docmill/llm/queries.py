@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.llm import ann, bpe, brown_lm, chat, decontaminate, html_extract, language_id, pii, simhash, token_counts
-from docmill.llm._util import remainder, scratch_path, table
+from docmill.llm._util import deleted, remainder, scratch_path, table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +28,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return token_counts.document_counts(docs, scratch_path(spark, "tokens"), path("byte_bpe_50k.tiktoken"), eod=50256).select("doc_id", "n_tokens")
+    folder = scratch_path(spark, "tokens")
+    counts = token_counts.document_counts(docs, folder, path("byte_bpe_50k.tiktoken"), eod=50256).select("doc_id", "n_tokens")
+    deleted(spark, folder)
+    return counts
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

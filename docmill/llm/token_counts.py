@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,12 @@ from docmill.llm._util import written
 BLOCK_IDS = 1 << 20
 
 
+def files_of(folder: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system for a folder that Hadoop names, and the folder's path in it."""
+    scheme, colon, rest = folder.partition("://")
+    return fs.FileSystem.from_uri(f"s3://{rest}" if colon and scheme in ("s3a", "s3n") else folder)
+
+
 def write_files(docs: DataFrame, folder: str, vocabulary: str, eod: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Write each partition's texts as one file of little-endian 16-bit ids (32-bit if eod needs it); a row for each text: file (its name), at (the text's place in it, from 0), id.
 
@@ -32,10 +39,8 @@ def write_files(docs: DataFrame, folder: str, vocabulary: str, eod: int, id_col:
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         v, task = bpe.vocabulary(vocabulary), TaskContext.get()
-        system, root = fs.FileSystem.from_uri(folder)
+        system, root = files_of(folder)
         system.create_dir(root, recursive=True)
         name, at = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.bin", 0
         out = None
@@ -71,9 +76,7 @@ def count(files: DataFrame, folder: str, eod: int, block_ids: int = BLOCK_IDS) -
     blocks = blocks.repartition(F.col("file"), F.col("block"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        system, root = fs.FileSystem.from_uri(folder)
+        system, root = files_of(folder)
         for batch in batches:
             for name, length, block in zip(*[c.to_pylist() for c in batch.columns]):
                 if length % width:
@@ -100,11 +103,15 @@ def count(files: DataFrame, folder: str, eod: int, block_ids: int = BLOCK_IDS) -
 
 
 def document_counts(docs: DataFrame, folder: str, vocabulary: str, eod: int, id_col: str = "doc_id", text: str = "text", block_ids: int = BLOCK_IDS) -> DataFrame:
-    """id, n_tokens, start for each row of docs: its texts go to flat files in folder, which are then scanned. No rows give no rows."""
+    """id, n_tokens, start for each row of docs: its texts go to flat files in folder, which are then scanned.
+
+    The counts are written out, so that nothing reads folder any more. A null or empty text counts 0; equal texts and
+    repeated rows count each, texts of any length whole; other columns are ignored; no rows give no rows.
+    """
     index = write_files(docs, folder, vocabulary, eod, id_col, text)
     spark = docs.sparkSession
     if index.isEmpty():
         return index.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("start"))
-    found = count(sizes(spark, folder, index), folder, eod, block_ids)
+    found = written(count(sizes(spark, folder, index), folder, eod, block_ids), "token-counts")
     # both sides have a row for each text; what their files' size suggests must not make Spark broadcast one
     return index.join(found.hint("merge"), ["file", "at"], "left").select(F.col("id").alias(id_col), "n_tokens", "start")
