@@ -245,6 +245,68 @@ def test_conversations(spark):
     assert chat.render(df.limit(0)).count() == 0
 
 
+def test_turns_of_one_place_go_by_text(spark):
+    import duckdb
+
+    rows = [(1, 0, "user", t) for t in ("b", "a", "é", "Z", "", "ab", "z" * 40)] + [(2, 0, "user", t) for t in ("", "Z", "a")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    conversations = df.toPandas()  # noqa: F841
+    want = sorted(duckdb.sql(chat.SQL).select("conv_id", "n_turns", "n_same", "rendered").fetchall())
+    assert sorted(tuple(r) for r in chat.render(df).select("conv_id", "n_turns", "n_same", "rendered").collect()) == want and len(want) == 1
+
+
+def naive_scores(train, texts):
+    """log10 probabilities where all words are of one class: the model by its definition."""
+    words = lambda t: (t or "").lower().split()
+    c = Counter(w for t in train for w in words(t))
+    ones, twos = (sum(n == k for n in [*c.values(), len(train)]) for k in (1, 2))
+    discount = ones / (ones + 2 * twos + 1)
+    tail = lambda w: 2 + zlib.crc32(w.encode()[-3:]) % brown_lm.TAILS
+    table = np.zeros((2 + brown_lm.TAILS, 2 + brown_lm.TAILS))
+    size, new = 0.0, Counter()
+    for t in train:
+        seq = [None, *words(t), None]
+        for a, b in zip(seq, seq[1:]):
+            kinds = lambda w: [(1, True)] if w is None else [(0, True)] + [(tail(w), False)] * (c[w] == 1)
+            share = 1.0
+            for x, old_x in kinds(a):
+                for y, old_y in kinds(b):
+                    share = (1 - discount if old_y else discount) if b is not None and c[b] == 1 else 1.0
+                    table[x, y] += share
+                    if old_x and old_y and b is not None:
+                        size += share
+                    if old_x and not old_y:
+                        new[y] += 1
+    own = table.sum(0) + 0.5
+    p = np.log10((table + 20 * own / own.sum()) / (table.sum(1, keepdims=True) + 20))
+    out = []
+    for t in texts:
+        total, before = 0.0, 1
+        for w in [*words(t), None]:
+            if w is None:
+                total, before = total + p[before, 1], 1
+            elif w in c:
+                total += p[before, 0] + math.log10((c[w] - discount * (c[w] == 1)) / size)
+                before = 0
+            else:
+                total += p[before, tail(w)] - math.log10(new[tail(w)] + 1)
+                before = tail(w)
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize("hot", [0, 2, 100])
+def test_lm_scores_are_those_of_brute_force(spark, hot):
+    r = random.Random(hot)
+    vocabulary = ["the", "a", "of", "once", "river", "bridge", "Bridge", "ö"] + [f"rare{i}" for i in range(30)]
+    texts = [" ".join(r.choices(vocabulary, weights=[8, 6, 5, 1, 3, 2, 1, 1] + [0.3] * 30, k=r.randint(0, 25))) for _ in range(40)] + ["unseen words here once", "rare1 brandnew rare2", None]
+    held = [i % 4 == 3 or i >= 40 for i in range(len(texts))]
+    docs = spark.createDataFrame([(i, t, h) for i, (t, h) in enumerate(zip(texts, held))], "doc_id long, text string, h boolean").repartition(3)
+    got = {x["doc_id"]: x["score"] for x in brown_lm.score(docs, held_out="h", classes=1, hot=hot, slice_tokens=50).collect()}
+    want = naive_scores([t for t, h in zip(texts, held) if not h], texts)
+    assert all(math.isclose(got[i], w, rel_tol=1e-9, abs_tol=1e-9) for i, w in enumerate(want)), [(got[i], w) for i, w in enumerate(want)][:5]
+
+
 def naive_lm(rows, train):
     words = [[*((t or "").encode().lower().split()), None] for t in rows]
     c = Counter(x for w, keep in zip(words, train) if keep for x in w)

@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 import tiktoken
 from public_tokenizers import PATTERN, path
@@ -320,3 +321,65 @@ def test_empty_tables(spark, none):
     assert token_counts.document_counts(none, scratch_path(spark, "t"), VOCABULARY, 50256).count() == 0
     assert language_id.predict(none, language_id.train(none)).count() == 0
     assert pii.mask(none).select(F.col("doc_id")).count() == 0
+
+
+def test_many_languages(spark):
+    """More languages than a worker holds sums of, each with texts of its own letters."""
+    r = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    kinds = {f"l{k:03d}": r.sample(letters, 4) for k in range(90)}
+    say = lambda k: " ".join("".join(r.choices(kinds[k], k=5)) for _ in range(30))
+    df = spark.createDataFrame([(say(k), k) for k in kinds for _ in range(12)], "text string, lang string")
+    model = language_id.train(df)
+    assert model.languages == sorted(kinds)
+    assert sum(model.predict(say(k))[0] == k for k in kinds for _ in range(4)) > 0.8 * 4 * len(kinds)
+
+
+def naive_model(rows):
+    """Weights and trust by the definition, over every text given."""
+    languages = sorted({k for _, k in rows})
+    codes = language_id.codewords(len(languages))
+    share = []
+    for k in languages:
+        n = np.full(language_id.BUCKETS, 0.5)
+        for t, lang in set(rows):
+            if lang == k:
+                np.add.at(n, language_id.trigrams(t), 1)
+        share.append(n / n.sum())
+    share = np.array(share)
+    weights = np.stack([np.clip(np.log(share[c > 0].mean(0) / share[c < 0].mean(0)), -8, 8) for c in codes.T], axis=1)
+    m = language_id.Model(languages, codes, weights.astype(np.float32), np.zeros(codes.shape))
+    trust = np.array([[(sum(m.margins(t)[b] * codes[i, b] > 0 for t, lang in set(rows) if lang == k) + 1) / (sum(lang == k for _, lang in set(rows)) + 2) for b in range(codes.shape[1])] for i, k in enumerate(languages)])
+    return weights, trust / trust.sum(1, keepdims=True)
+
+
+def test_language_model_is_that_of_brute_force(spark):
+    t = spark.read.parquet(f"{SF}/documents.parquet").where("lang IS NOT NULL AND text RLIKE '\\\\p{L}' AND n_chars < 3000").select("text", "lang").limit(60)
+    rows = [tuple(r) for r in t.collect()]
+    model = language_id.train(spark.createDataFrame(rows, "text string, lang string"))
+    weights, trust = naive_model(rows)
+    assert np.allclose(model.weights, weights, atol=1e-5) and np.allclose(model.trust, trust, atol=1e-6)
+    for text, _ in rows:
+        loss = (trust * np.logaddexp(0, -model.codes * model.margins(text))).sum(1)
+        assert model.predict(text)[0] == model.languages[int(loss.argmin())]
+
+
+def test_piece_cache_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 5_000)
+    v, library = bpe.Vocabulary(VOCABULARY), bpe.vocabulary(VOCABULARY)
+    r = random.Random(1)
+    for _ in range(60):
+        text = " ".join("".join(r.choices("abcdefgh", k=r.choice([3, 8, 300]))) for _ in range(12))
+        assert v.encode(text) == library.encode(text) and v.held < 5_000 + 12 * 3_000 and all(len(p) <= bpe.LONG for p in v.pieces)
+
+
+def test_folders_of_object_stores(monkeypatch):
+    asked = []
+
+    class Known:
+        FileSystem = type("FileSystem", (), {"from_uri": staticmethod(lambda uri: asked.append(uri) or (None, uri))})
+
+    monkeypatch.setattr(token_counts, "fs", Known)
+    for folder in ("s3a://bucket/a/b", "s3n://bucket/a", "file:///tmp/x", "gs://bucket/x", "hdfs://host:9000/x"):
+        token_counts.files_of(folder)
+    assert asked == ["s3://bucket/a/b", "s3://bucket/a", "file:///tmp/x", "gs://bucket/x", "hdfs://host:9000/x"]
