@@ -413,6 +413,35 @@ def test_neighbours(spark, dim, block):
     assert ann.search(few, few, 10).count() == 12 and ann.search(df.limit(0), df.limit(0)).count() == 0 and ann.search(df, df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("cells, gather", [(2, 0.0), (9, 0.2), (40, 0.02)])
+def test_cells_change_no_result(spark, cells, gather):
+    """Vectors around some points, one with a third of all, many equal: the neighbours are those of brute force."""
+    r = np.random.default_rng(cells)
+    heads = r.standard_normal((12, 24))
+    rows = [(int(i), [float(x) for x in np.float32(heads[0 if i % 3 == 0 else i % 12] + (gather or 1.0) * r.standard_normal(24) * (i % 7 > 0))]) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    asked = set(range(0, 600, 20))
+    got = ann.search(df, df.where("vec_id % 20 = 0"), 10, block_numbers=240, cells=cells)
+    assert sorted((g["query_id"], g["rank"], g["vec_id"], round(g["score"], 9)) for g in got.collect()) == naive_nearest(rows, asked, 10)
+
+
+def test_least_distances_hold_and_spare_cells():
+    r = np.random.default_rng(2)
+    heads = r.standard_normal((10, 16)) * 4
+    x = heads[r.integers(0, 10, 3000)] + 0.3 * r.standard_normal((3000, 16))
+    found = ann.centres(x[:500], 10)
+    of, far = ann.nearest_centre(x, found)
+    shells = [np.array([f(far[of == c]) if (of == c).any() else np.nan for c in range(len(found))]) for f in (np.min, np.max)]
+    qs = x[:50]
+    least = ann.least_distances(qs, found, *shells)
+    d = np.sqrt(((qs[:, None] - x[None]) ** 2).sum(2))
+    for c in range(len(found)):
+        if (of == c).any():
+            assert (d[:, of == c].min(1) >= least[:, c]).all()
+    tenth = np.sort(d, axis=1)[:, 10]
+    assert (least <= tenth[:, None]).sum(1).mean() < 3  # of ten cells
+
+
 def test_neighbours_of_repeated_ids(spark):
     df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(8)], "vec_id long, embedding array<float>")
     asked = spark.createDataFrame([(99, [0.0, 1.5]), (99, [7.0, 1.5])], "vec_id long, embedding array<float>")
