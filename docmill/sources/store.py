@@ -53,10 +53,11 @@ class Manifest:
 
 
 class Store:
-    """Indices under one root folder."""
+    """Indices under one root folder. A writer that brings an index to compact_after deltas merges them, so that a read
+    never has more to put together."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark)
+    def __init__(self, spark: SparkSession, root: str, compact_after: int = 16):
+        self.spark, self.root, self.files, self.compact_after = spark, root.rstrip("/"), Files(spark), compact_after
 
     # -- catalog
 
@@ -195,9 +196,18 @@ class Store:
                 if attempt == 4:
                     raise
                 continue
+            self._tidy(name)
             return done.select("_seq", F.col("_op").alias("op"), "_id", "_shard", F.col("_status").alias("status"), F.col("_result").alias("result")).orderBy("_seq")
         raise Conflict(f"index {name}: other writers kept committing first")
 
+    def _tidy(self, name: str) -> None:
+        """Compact an index of many deltas; a writer that commits meanwhile leaves that to the next."""
+        if len(self.manifest(name).deltas) >= self.compact_after:
+            try:
+                self.compact(name)
+            except Conflict:
+                pass
+
     def _existing(self, name: str, at: Manifest, ops: DataFrame) -> DataFrame:
         """Keys of documents that a create of ops may meet. Without creates the table is not read; else its keys are cut to theirs, shard by shard."""
         keys = ops.where("_op = 'create' AND _error IS NULL").select(*KEY).distinct()
@@ -247,6 +257,7 @@ class Store:
         n = self.spark.read.schema(delta.schema).parquet(path).count()
         if n:
             self._publish(name, before, before.base, (*before.deltas, path), before.seq + 1)
+            self._tidy(name)
         return n
 
     def delete_by_query(self, name: str, body: Mapping | None = None) -> str:
@@ -278,6 +289,9 @@ class Store:
 
     def _view(self, name: str, body: Mapping, pit: str | None) -> Index:
         """What a body reads. A write returns when its commit is published, so weak and strong reads see the same."""
+        preference = body.get("read_preference", body.get("readPreference", "strong"))
+        if str(preference).lower() not in ("weak", "strong"):
+            raise RequestError(f"read_preference is weak or strong, not {preference!r}")
         inner = body.get("pit")
         pit = pit or (inner.get("id") if isinstance(inner, Mapping) else None) or body.get("pit_id")
         return self.index(name, self._pinned(name, pit) if pit else None)
@@ -397,6 +411,13 @@ class Store:
             rows.append((n, s["shards"], len(s["mappings"]), m.generation, len(m.base), len(m.deltas), s["created_at"]))
         return self.spark.createDataFrame(rows, "index string, shards int, fields int, generation long, base int, deltas int, created_at long")
 
+    def snapshot_status(self, name: str) -> DataFrame:
+        """A row for each generation that is kept: its folders, the writes it counts, and how many points in time pin it."""
+        pins = [json.loads(self.files.read(f"{self.root}/{name}/pins/{f}") or "{}").get("generation") for f in self.files.names(f"{self.root}/{name}/pins")]
+        made = [self.manifest(name, g) for g in self.generations(name)]
+        rows = [(m.generation, list(m.base), list(m.deltas), m.seq, pins.count(m.generation)) for m in made]
+        return self.spark.createDataFrame(rows, "generation long, base array<string>, deltas array<string>, seq long, pins int")
+
     def route(self, name: str, id: str, routing: str | None = None) -> int:
         """The shard that a document of this id and routing key goes to."""
         key = routing if routing and routing.strip() else id

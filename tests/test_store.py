@@ -240,3 +240,19 @@ def test_metrics_are_one_pass(store):
     out = found.response()
     assert (out["aggregations"]["a"]["value"], out["aggregations"]["b"]["value"], out["aggregations"]["c"]["buckets"][0]["doc_count"]) == (0, 4, 2)
     assert [h["sort"] for h in out["hits"]] == [[4], [3], [2], [1], [0]]
+
+
+def test_writers_merge_many_deltas(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "small"), compact_after=3)
+    store.create_index("books", BODY)
+    pit = None
+    for i in range(5):
+        store.put("books", {"pages": i}, f"d{i % 4}")
+        pit = pit or store.open_pit("books")
+    m = store.manifest("books")
+    assert len(m.base) == 1 and len(m.deltas) < 3 and ids(store) == ["d0", "d1", "d2", "d3"] and ids(store, pit=pit) == ["d0"]
+    assert {h["_id"]: h["_source"]["pages"] for h in store.search("books", {"read_preference": "weak"}).response()["hits"]}["d0"] == 4
+    rows = {r["generation"]: r for r in store.snapshot_status("books").collect()}
+    assert rows[1]["pins"] == 1 and sum(r["pins"] for r in rows.values()) == 1 and rows[m.generation]["base"] == list(m.base)
+    with pytest.raises(RequestError):
+        store.search("books", {"read_preference": "none"})
