@@ -30,14 +30,14 @@ class Found:
     by: tuple[sorting.Key, ...] = ()
 
     def response(self) -> dict:
-        """hits and aggregations collected: size rows at most, and buckets."""
+        """hits and aggregations collected: size rows at most, and buckets. Sort values are there as text in sort, of their fields' kinds in sort_values."""
         began = time.time()
         rows = self.hits.select(*HIT).collect() if self.size else []
         aggs = {k: [r.asDict() for r in d.collect()] for k, d in self.aggregations.items()}
         return {
             "took": round((time.time() - began) * 1000),
             "_shards": {"total": self.shards, "successful": self.shards, "failed": 0},
-            "hits": [{"_index": r["_index"], "_id": r["_id"], "_score": r["_score"], "_source": json.loads(r["_source"]), "sort": [k.shown(v) for k, v in zip(self.by, r["sort_values"])]} for r in rows],
+            "hits": [{"_index": r["_index"], "_id": r["_id"], "_score": r["_score"], "_source": json.loads(r["_source"]), "sort": list(r["sort_values"]), "sort_values": [k.shown(v) for k, v in zip(self.by, r["sort_values"])]} for r in rows],
             "aggregations": {k: v[0] if v and "key" not in v[0] else {"buckets": v} for k, v in aggs.items()},
         }
 

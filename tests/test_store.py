@@ -239,7 +239,7 @@ def test_metrics_are_one_pass(store):
     assert all("parquet" not in d._jdf.queryExecution().toString().lower() for d in found.aggregations.values())
     out = found.response()
     assert (out["aggregations"]["a"]["value"], out["aggregations"]["b"]["value"], out["aggregations"]["c"]["buckets"][0]["doc_count"]) == (0, 4, 2)
-    assert [h["sort"] for h in out["hits"]] == [[4], [3], [2], [1], [0]]
+    assert [h["sort_values"] for h in out["hits"]] == [[4], [3], [2], [1], [0]]
 
 
 def test_writers_merge_many_deltas(spark, tmp_path):
