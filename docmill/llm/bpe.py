@@ -13,10 +13,9 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
-from operator import itemgetter
 
 import ahocorasick
+import numpy as np
 import regex
 from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame
@@ -26,7 +25,7 @@ from docmill.llm._util import annotate
 
 #: Bytes, about, of pieces and their ids that a worker remembers at most; it starts afresh when they are full. A piece of
 #: more than LONG characters is not remembered. No result depends on either.
-REMEMBERED, LONG = 160 << 20, 200
+REMEMBERED, LONG = 96 << 20, 200
 #: Pairs of tokens whose fit a worker remembers at most.
 PAIRS = 1_000_000
 
@@ -43,11 +42,6 @@ def merge(ranks: dict[bytes, int], data: bytes) -> list[int]:
     return [ranks[p] for p in parts]
 
 
-#: A piece's ids, these as decimals, and the bytes decoded from them.
-Piece = tuple[tuple[int, ...], str, bytes]
-_IDS, _LINE, _BYTES = map(itemgetter, range(3))
-
-
 class Vocabulary:
     """The tokens of a rank file, and which may follow which."""
 
@@ -63,7 +57,7 @@ class Vocabulary:
         self.ends.make_automaton()
         self.follows: dict[tuple[int, int], bool] = {}
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.pieces: dict[str, Piece] = {}
+        self.pieces: dict[str, str] = {}  # a piece's ids as decimals, joined by spaces
         self.held = 0  # bytes of pieces, about
 
     def split(self, t: int) -> tuple[int, int] | None:
@@ -156,10 +150,9 @@ class Vocabulary:
         self.extend(last, data)
         return self.walk(last)
 
-    def each(self, text: str) -> list[Piece]:
-        """The matches of the pattern in text, each encoded on its own."""
+    def lines(self, found: list[str]) -> list[str]:
+        """The ids of each piece as decimals, each piece encoded on its own; every new one is decoded again and compared."""
         known = self.pieces
-        found = pieces(text)
         try:
             return list(map(known.__getitem__, found))
         except KeyError:
@@ -169,18 +162,24 @@ class Vocabulary:
             self.held = 0
         long = {}
         for p in set(found).difference(known):
-            ids = tuple(self.piece(p.encode("utf-8", "replace")))
-            made = ids, " ".join(map(self.text.__getitem__, ids)), self.decode(ids)
+            data = p.encode("utf-8", "replace")
+            ids = self.piece(data)
+            if self.decode(ids) != data:
+                raise ValueError(f"the vocabulary cannot encode {data!r}")
+            line = " ".join(map(self.text.__getitem__, ids))
             if len(p) > LONG:
-                long[p] = made
+                long[p] = line
             else:
-                known[p] = made
-                self.held += 400 + 8 * len(p) + 40 * len(ids)
+                known[p] = line
+                self.held += 240 + 2 * len(p) + len(line)
         return [known.get(p) or long[p] for p in found] if long else list(map(known.__getitem__, found))
 
-    def encode(self, text: str) -> list[int]:
+    def array(self, text: str) -> np.ndarray:
         """The ids of each match of the pattern in text, encoded on its own."""
-        return list(chain.from_iterable(map(_IDS, self.each(text))))
+        return numbers(" ".join(self.lines(pieces(text))))
+
+    def encode(self, text: str) -> list[int]:
+        return self.array(text).tolist()
 
     def decode(self, ids: Iterable[int]) -> bytes:
         """The bytes of ids; an id without a token is an error."""
@@ -200,6 +199,10 @@ def pieces(text: str) -> list[str]:
     return _COMMON_PIECES(text) if _COMMON(text) else _PIECES(text)
 
 
+def numbers(line: str) -> np.ndarray:
+    return np.fromstring(line, dtype=np.int32, sep=" ")
+
+
 class Prefixes:
     """A piece whose encoding is kept while it is edited."""
 
@@ -246,10 +249,12 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", ids: bool = Fa
     def rows(texts: list) -> Iterator[tuple]:
         v = vocabulary(path)
         for t in texts:
-            found = v.each(t or "")
-            line = " ".join(map(_LINE, found))
-            out = (sum(map(len, map(_IDS, found))), hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(b"".join(map(_BYTES, found))).hexdigest())
-            yield (*out, list(chain.from_iterable(map(_IDS, found)))) if ids else out
+            found = pieces(t or "")
+            line = " ".join(v.lines(found))
+            # each piece's ids were decoded to the piece, so all ids decode to all pieces
+            decoded = "".join(found).encode("utf-8", "replace")
+            out = (line.count(" ") + 1 if line else 0, hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest())
+            yield (*out, numbers(line)) if ids else out
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     return annotate(docs, fields + [T.StructField("token_ids", T.ArrayType(T.IntegerType()))] * ids, rows, text)

@@ -47,7 +47,7 @@ def write_files(docs: DataFrame, folder: str, vocabulary: str, eod: int, id_col:
         for batch in batches:
             out = out or system.open_output_stream(f"{root}/{name}")
             for text in batch.column(1):
-                out.write(np.array(v.encode(text.as_py() or "") + [eod], dtype=kind).tobytes())
+                out.write(np.append(v.array(text.as_py() or ""), eod).astype(kind).tobytes())
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(range(at, at + n), pa.int64()), batch.column(0)], names=["file", "at", "id"])
             at += n
