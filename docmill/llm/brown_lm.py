@@ -143,7 +143,7 @@ def moves(table: np.ndarray, starts: np.ndarray, keys: np.ndarray, n: np.ndarray
     out = np.empty(len(starts), dtype=np.int64)
     at = 0
     while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + 16_384, "right")))
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + 8_192, "right")))
         a, b = int(starts[at]), int(ends[to - 1])
         k, m, mine = keys[a:b], n[a:b], own[at:to]
         gain = one[k]
@@ -187,6 +187,13 @@ def _numbers(x: bytes, width: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(x, dtype=np.uint8).reshape(width, -1).T).view(f"<i{width}").ravel()
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of batches, as Python values of a few at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            yield from zip(*[c.to_pylist() for c in batch.slice(at, 256).columns])
+
+
 def encoded_slices(given: DataFrame, words: list[bytes], slice_tokens: int = SLICE_TOKENS) -> DataFrame:
     """Rows of some slice_tokens tokens each, of whole texts that are all held out or all not: slice, held_out, ids, sizes
     (tokens of each text), codes (by _planes; an end before the first text and after each), tails.
@@ -216,22 +223,20 @@ def encoded_slices(given: DataFrame, words: list[bytes], slice_tokens: int = SLI
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names=["slice", "held_out", "ids", "sizes", "codes", "tails"])
 
         size = {False: 0, True: 0}
-        for batch in batches:
-            for i in range(batch.num_rows):
-                held = batch.column(1)[i].as_py()
-                w = _words(batch.column(2)[i].as_py())
-                codes = list(map(ranks.get, w))
-                ids, sizes, kept, tails = open_slices.setdefault(held, ([], [], [], {}))
-                if None in codes:
-                    codes = [end + 1 + tails.setdefault(x, len(tails)) if c is None else c for x, c in zip(w, codes)]
-                codes.append(end)
-                ids.append(batch.column(0)[i].as_py())
-                sizes.append(len(codes))
-                kept.append(np.array(codes, dtype=np.int32))
-                size[held] += len(codes)
-                if size[held] >= slice_tokens:
-                    size[held] = 0
-                    yield out(held)
+        for key, held, text in _rows(batches):
+            w = _words(text)
+            codes = list(map(ranks.get, w))
+            ids, sizes, kept, tails = open_slices.setdefault(held, ([], [], [], {}))
+            if None in codes:
+                codes = [end + 1 + tails.setdefault(x, len(tails)) if c is None else c for x, c in zip(w, codes)]
+            codes.append(end)
+            ids.append(key)
+            sizes.append(len(codes))
+            kept.append(np.array(codes, dtype=np.int32))
+            size[held] += len(codes)
+            if size[held] >= slice_tokens:
+                size[held] = 0
+                yield out(held)
         for held in list(open_slices):
             yield out(held)
 
