@@ -42,6 +42,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """df, to be joined by sorting whatever Spark takes its size for: that is the size of files as compressed, however many rows are generated of each, and a table under the threshold by it may be too large for the driver that broadcasts it."""
+    return df.hint("merge")
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables of written() that nothing reads any more, and lets the session delete shuffles that nothing refers to."""
     for df in tables:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from docmill.llm._util import annotate, dropped, written
+from docmill.llm._util import annotate, dropped, merged, written
 
 WIDTHS = (9, 9, 9, 9, 9, 9, 10)
 STARTS = tuple(sum(WIDTHS[:i]) for i in range(7))
@@ -114,7 +114,7 @@ def links(nodes: DataFrame, chain: int = 2) -> DataFrame:
         .where(f"top = 0 OR ({bits} & top) != 0")
         .select(F.expr(f"{tag} | ({bits} ^ mask)").alias("key"), "box", F.expr("mask = 0").alias("same"), F.col("fp").alias("a"), F.col("n").alias("n_a"))
     )
-    found = probe.join(index, "key").where("a != b AND (NOT same OR a < b)")
+    found = probe.join(merged(index), "key").where("a != b AND (NOT same OR a < b)")
     # this row's own chain first, box by box; then only the first box of which the whole chain passes keeps the pair
     own = "CASE box " + " ".join(f"WHEN {b} THEN {_passes(b, chain + 1, '(a ^ b)')}" for b in range(7)) + " END"
     first = "CASE " + " ".join(f"WHEN {_passes(b, 1, '(a ^ b)')} THEN {b}" for b in range(7)) + " END"
@@ -134,9 +134,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         seen = tuple(state)
         both = e.unionAll(e.select("v", "u"))  # large star: a node's larger neighbours join its least neighbour
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(merged(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))  # small star: it and its smaller neighbours join the least
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
+        small = large.join(merged(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
         before, e = e, written(small.where("u != v").distinct(), "edges")
         dropped(before)
     raise RuntimeError("components did not settle")
@@ -148,24 +148,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     Null or wordless texts have fingerprint zero and link to each other; rows that repeat count as rows of their own;
     a null id counts as a row and is never a component's least id unless there is no other; no rows give no rows. Whole
     texts are read, however long; columns other than the two named are ignored. Keys that many nodes share are split by
-    Spark's skew join, rows of a hot fingerprint by salt.
+    Spark's skew join, rows of a hot fingerprint by salt. The driver holds the hot fingerprints only, 10,000 at most.
     """
     fps = written(fingerprints(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text")), "text").select("id", "fp"), "fingerprints")
     nodes = written(fps.groupBy("fp").agg(F.count("*").alias("n"), F.min("id").alias("least")), "nodes")
     pairs = written(links(nodes.select("fp", "n"), chain or best_chain(nodes.count())), "links")
     near = pairs.select(F.col("a").alias("fp"), F.col("n_b").alias("n")).unionAll(pairs.select("b", "n_a")).groupBy("fp").agg(F.sum("n").alias("near"))
     roots = components(pairs)
-    joined = nodes.join(near, "fp", "left").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    joined = nodes.join(merged(near), "fp", "left").join(merged(roots.withColumnRenamed("node", "fp")), "fp", "left")
     joined = written(joined.select("fp", "n", "least", F.coalesce("near", F.lit(0)).alias("near"), "root"), "joined")
     dropped(nodes, pairs, roots)
     linked = joined.where("root IS NOT NULL")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     about = joined.where("root IS NULL").select("fp", "n", F.lit(0).cast("long").alias("near"), F.col("least").alias("component_id"), F.col("fp").alias("root"))
-    about = about.unionAll(linked.join(least, "root").select("fp", "n", "near", "component_id", "root"))
+    about = about.unionAll(linked.join(merged(least), "root").select("fp", "n", "near", "component_id", "root"))
     about = about.select("fp", "n", (F.col("n") - 1 + F.col("near")).alias("n_near"), "component_id", "root")
     limit = max(hot_rows, (joined.agg(F.sum("n")).first()[0] or 0) // 10_000)
     parts = lambda n: F.when(n > limit, F.ceil(n / limit).cast("int")).otherwise(F.lit(1))
     hot = joined.where(F.col("n") > limit).select("fp", parts(F.col("n")).alias("parts"))  # 10,000 rows at most
     salted = about.select(F.explode(F.sequence(F.lit(0), parts(F.col("n")) - 1)).alias("salt"), "fp", "n_near", "component_id", "root")
     rows = fps.join(F.broadcast(hot), "fp", "left").select("id", "fp", F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")), F.lit(0)).cast("int").alias("salt"))
-    return rows.join(salted, ["fp", "salt"]).select(F.col("id").alias(id_col), _hex("fp").alias("fingerprint"), "n_near", "component_id", _hex("root").alias("group"))
+    return rows.join(merged(salted), ["fp", "salt"]).select(F.col("id").alias(id_col), _hex("fp").alias("fingerprint"), "n_near", "component_id", _hex("root").alias("group"))

@@ -86,6 +86,17 @@ def test_hot_fingerprints_and_chains_change_nothing(docs, rows):
     assert [simhash.best_chain(n) for n in (0, 10**6, 10**9)] == [2, 2, 3]
 
 
+def test_tables_of_nodes_and_links_are_not_broadcast(spark, docs, monkeypatch):
+    plans = []
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    keep = simhash.written
+    monkeypatch.setattr(simhash, "written", lambda df, name: plans.append((name, plan(df))) or keep(df, name))
+    last = plan(simhash.near_duplicates(keep(docs.select("doc_id", "text"), "docs")))
+    assert {"links", "edges", "joined"} <= {name for name, _ in plans}
+    assert [name for name, p in plans if "BroadcastExchange" in p] == []
+    assert last.count("BroadcastHashJoin") == 1  # hot fingerprints
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p > b {}</style></head><body class="home">
 <header class="site-header"><a href="/">Home</a> Big Site</header><nav><ul><li><a href=x>One</a><li><a href=y>Two</a></ul></nav>
 <div class="cookie-notice">We use cookies. Accept them all, please, now.</div><aside class=sidebar><p>Popular: a long enough sentence about other things.</p></aside>
