@@ -14,7 +14,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docmill.llm import bpe, decontaminate, language_id, pii, simhash
-from docmill.llm._util import dropped, table, written
+from docmill.llm._util import dropped, merged, table, written
+
+#: Tables of ids of so many rows at most are broadcast, counted and not by what Spark takes for their size; larger ones are joined by sorting.
+FEW = 1000
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -28,6 +31,10 @@ def _named(df: DataFrame, docs: DataFrame) -> DataFrame:
     return df.select(*[f"__{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
 
 
+def _ids(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= FEW else merged(df)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose text is null, empty or without a letter; a missing lang becomes the predicted one, or stays null if no document tells of a language. A lang that is there is kept, equal losses go to the language first by name."""
     d, at = _numbered(docs)
@@ -46,13 +53,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     groups = written(simhash.near_duplicates(d, key, text).withColumnRenamed(key, "__id"), "groups")
     gone = groups.where(~F.col("__id").eqNullSafe(F.col("component_id"))).select("__id")
     many = written(groups.groupBy("__id").agg(F.count("*").alias("n")).where("n > 1").select("__id"), "many")
-    if many.isEmpty():
-        return _named(d.join(gone, d[key].eqNullSafe(gone["__id"]), "left_anti"), docs)
+    n_gone, n_many = gone.count(), many.count()
+    if not n_many:
+        return _named(d.join(_ids(gone, n_gone), d[key].eqNullSafe(gone["__id"]), "left_anti"), docs)
     # an id that several rows share tells nothing of a row: these find their group by fingerprint
-    gone = gone.unionAll(many).distinct()
-    shared = simhash.fingerprints(d.join(many, d[key].eqNullSafe(many["__id"]), "left_semi"), text)
+    gone = _ids(gone.unionAll(many).distinct(), n_gone + n_many)
+    shared = simhash.fingerprints(d.join(_ids(many, n_many), d[key].eqNullSafe(many["__id"]), "left_semi"), text)
     first = groups.where(F.col("__id").eqNullSafe(F.col("component_id"))).select("__id", "fingerprint", "group").distinct()
-    found = shared.join(first, shared[key].eqNullSafe(first["__id"]) & (F.lower(F.lpad(F.hex("fp"), 16, "0")) == first["fingerprint"]))
+    found = shared.join(merged(first), shared[key].eqNullSafe(first["__id"]) & (F.lower(F.lpad(F.hex("fp"), 16, "0")) == first["fingerprint"]))
     order = Window.partitionBy("group").orderBy(F.col(text).asc_nulls_last(), F.to_json(F.struct(*[found[c] for c in d.columns])))
     best = found.withColumn("__rank", F.row_number().over(order)).where("__rank = 1").select(*d.columns)
     return _named(d.join(gone, d[key].eqNullSafe(gone["__id"]), "left_anti").unionByName(best), docs)

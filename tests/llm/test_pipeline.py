@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 
+import pytest
+
 import corpus_pipeline
 from docmill.llm import bpe, pii
 from tests.llm.conftest import SF
@@ -76,3 +78,15 @@ def test_the_row_kept_of_equal_ones_does_not_depend_on_order(spark):
     for order in (made, made[::-1]):
         docs = spark.createDataFrame(order, SCHEMA + ", mark string").repartition(2)
         assert [r["mark"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()] == ["a"]
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_only_a_few_ids_are_broadcast(spark, monkeypatch, few):
+    monkeypatch.setattr(corpus_pipeline, "FEW", few, raising=False)
+    made = [(i // 2, f"text {i // 4} of a few words and {i // 4} again", "en", "s", 0) for i in range(40)]
+    alone = [(100 + i, t, *rest) for i, (_, t, *rest) in enumerate(made)]
+    for rows in (made, alone):  # ids that rows share, and ids of one row
+        got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), SF)
+        assert ("BroadcastExchange" in got._jdf.queryExecution().executedPlan().toString()) == bool(few)
+        want = {least for *_, least in naive_groups([naive_fingerprint(r[1]) for r in rows], [r[0] for r in rows])}
+        assert sorted(r["doc_id"] for r in got.collect()) == sorted(want)
