@@ -11,39 +11,64 @@ A word not seen in training is in one of ``TAILS`` classes by its last three byt
 words that occur once: of the count of such a word its class keeps a share only and its tail class, for what is new, gets
 the discount.
 
-Counts and classes of the hot words are sent to every worker; the rest, which grow with the corpus, meet the texts in a
-join on the word, once for each slice of texts that holds it.
+Counts and classes of the hot words are sent to every worker; the rest, which grow with the corpus, go to a bucket of
+words with their neighbours, once for each slice of texts that holds them, and from there their counts and classes go back.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm._util import dropped, released, remainder, written
+from docmill.llm._util import dropped, merged, released, remainder, written
 
 SEEDS, CLUSTERED, CLASSES, TAILS, HOT = 1000, 200_000, 48, 64, 200_000
 #: Rounds that move the clustered words; after the first, each moves a half of them, so that neighbours don't change places for ever.
 ROUNDS = 3
 #: A word longer than this is never hot: so HOT bounds the bytes sent, too.
 HOT_BYTES = 64
+#: Buckets of words that aren't hot; more of them only if each got over BUCKET_WORDS words of slices.
+BUCKETS, BUCKET_WORDS = 256, 250_000
 _BLOCK = 512  # hot words whose neighbours' counts travel in a row
 #: Tokens at which a slice of encoded texts ends; a longer text is a slice of its own.
 SLICE_TOKENS = 1 << 17
-_END = b"\x00"  # stands for the end in counts; no word can be it, see _words
+_END = b"\x00"  # stands for the end in counts; no word can be it, see _named
+_CHUNK = 1 << 22  # bytes of text that are split at a time
 
 
-def _words(text: str | None) -> list[bytes]:
-    """Words of a text, A-Z lowered. A word that starts with a zero byte gets another, so that none is the end."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    return [b"\x00" + w if w[:1] == b"\x00" else w for w in words] if text and "\x00" in text else words
+def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of some _CHUNK bytes of the text in a column, a row at least."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _CHUNK, "right")))
+            yield batch.slice(at, to - at)
+            pa.default_memory_pool().release_unused()
+            at = to
+
+
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, A-Z lowered, cut at ASCII white space; how many each text has. A null text has none."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, sizes = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    full = pc.greater(pc.binary_length(words), 0)  # before leading and after trailing space there is an empty one
+    if not pc.all(full).as_py():
+        kept = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+        words, sizes = words.filter(full), np.diff(kept[np.concatenate([[0], np.cumsum(sizes)])])
+    return words.cast(pa.binary()), sizes
+
+
+def _named(words: pa.Array) -> list[bytes]:
+    """Words as bytes. A word that starts with a zero byte gets another, so that none is the end."""
+    return [b"\x00" + w if w[:1] == b"\x00" else w for w in words.to_pylist()]
 
 
 def _tail(word: bytes) -> int:
@@ -51,24 +76,16 @@ def _tail(word: bytes) -> int:
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """word (binary), c: how often it occurs in docs' text, the end once a row. Each worker sums before it sends."""
+    """word (binary), c: how often it occurs in docs' text, the end once a row. Each worker sums before it sends: a chunk of text, then Spark its chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(list(sums), pa.binary()), pa.array(list(sums.values()), pa.int64())], names=["word", "c"])
-            sums.clear()
-            return made
-
-        for batch in batches:
-            sums[_END] += batch.num_rows
-            for text in batch.column(0):
-                sums.update(_words(text.as_py()))
-                if len(sums) > 1_000_000:
-                    yield out()
-        if sums:
-            yield out()
+        for part in _chunks(batches, 0):
+            found = _words(part.column(0))[0].value_counts()
+            words = found.field("values")
+            if pc.any(pc.starts_with(words, pattern=_END)).as_py():
+                words = pa.array(_named(words), pa.binary())
+            yield pa.RecordBatch.from_arrays([words, found.field("counts")], names=["word", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array([_END], pa.binary()), pa.array([part.num_rows], pa.int64())], names=["word", "c"])
 
     return docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -158,7 +175,8 @@ def moves(table: np.ndarray, starts: np.ndarray, keys: np.ndarray, n: np.ndarray
         after = np.add.reduceat(np.where(k < size, m, 0.0), first)
         before = np.add.reduceat(np.where(k < size, 0.0, m), first)
         for whole, part in ((rows, after), (cols, before)):
-            loss = f(whole[None, :] + part[:, None]) - f(whole)[None, :]
+            few, which = np.unique(part, return_inverse=True)
+            loss = (f(whole[None, :] + few[:, None]) - f(whole)[None, :])[which]
             has = np.flatnonzero(mine >= 0)
             x = whole[mine[has]]
             loss[has, mine[has]] = f(x) - f(np.maximum(x - part[has], 0))
@@ -187,19 +205,30 @@ def _numbers(x: bytes, width: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(x, dtype=np.uint8).reshape(width, -1).T).view(f"<i{width}").ravel()
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """The rows of batches, as Python values of a few at a time."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            yield from zip(*[c.to_pylist() for c in batch.slice(at, 256).columns])
+def _packed(x: np.ndarray, cuts: np.ndarray, kind: str) -> pa.Array:
+    """Rows of numbers as binary: from each cut to the next."""
+    x = np.ascontiguousarray(x, dtype=kind)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((np.asarray(cuts) * x.itemsize).astype(np.int32)), pa.py_buffer(x)])
+
+
+def _unpacked(rows: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows of _packed(), one after another, and the cuts."""
+    width = np.dtype(kind).itemsize
+    if not len(rows):
+        return np.zeros(0, dtype=kind), np.zeros(1, dtype=np.int64)
+    _, ends, data = (rows := rows.cast(pa.binary())).buffers()
+    at = np.frombuffer(ends, dtype=np.int32)[rows.offset : rows.offset + len(rows) + 1].astype(np.int64)
+    whole = np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]] if data else np.zeros(0, dtype=np.uint8)
+    return whole.view(kind), (at - at[0]) // width
 
 
 def encoded_slices(given: DataFrame, words: list[bytes], slice_tokens: int = SLICE_TOKENS) -> DataFrame:
     """Rows of some slice_tokens tokens each, of whole texts that are all held out or all not: slice, held_out, ids, sizes
-    (tokens of each text), codes (by _planes; an end before the first text and after each), tails.
+    (tokens of each text), codes (by _planes; an end before the first text and after each), kinds (a byte for each of
+    tails: its tail class), tails (with a space between; no word has one).
 
     A hot word's code is its rank, the end's their number, another word's n_hot + 1 and its place in tails, where every
-    such word of the slice is once: what is joined to tails later grows with slices, not with a word's frequency.
+    such word of the slice is once: what meets tails later grows with slices, not with a word's frequency.
     """
     spark = given.sparkSession
     sent = spark.sparkContext.broadcast(words)
@@ -218,41 +247,65 @@ def encoded_slices(given: DataFrame, words: list[bytes], slice_tokens: int = SLI
             ids, sizes, codes, tails = open_slices.pop(held)
             whole = np.concatenate([np.array([end], dtype=np.int32), *codes])
             made += 1
-            values = [[made - 1], [held], [ids], [sizes], [_planes(whole, 4)], [list(tails)]]
-            kinds = [pa.int64(), pa.bool_(), pa.list_(kind), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary())]
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names=["slice", "held_out", "ids", "sizes", "codes", "tails"])
+            ids = pa.concat_arrays(ids)
+            listed = [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), x) for x in (ids, pa.array(np.concatenate(sizes)))]
+            values = [[made - 1], [held], [_planes(whole, 4)], [bytes(map(_tail, tails))], [b" ".join(tails)]]
+            first, held_out, *rest = [pa.array(v, k) for v, k in zip(values, [pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()])]
+            return pa.RecordBatch.from_arrays([first, held_out, *listed, *rest], names=["slice", "held_out", "ids", "sizes", "codes", "kinds", "tails"])
 
         size = {False: 0, True: 0}
-        for key, held, text in _rows(batches):
-            w = _words(text)
-            codes = list(map(ranks.get, w))
-            ids, sizes, kept, tails = open_slices.setdefault(held, ([], [], [], {}))
-            if None in codes:
-                codes = [end + 1 + tails.setdefault(x, len(tails)) if c is None else c for x, c in zip(w, codes)]
-            codes.append(end)
-            ids.append(key)
-            sizes.append(len(codes))
-            kept.append(np.array(codes, dtype=np.int32))
-            size[held] += len(codes)
-            if size[held] >= slice_tokens:
-                size[held] = 0
-                yield out(held)
+        for chunk in _chunks(batches, 2):
+            for held in (False, True):
+                part = chunk.filter(pc.equal(chunk.column(1), held))
+                if not part.num_rows:
+                    continue
+                found, sizes = _words(part.column(2))
+                found = found.dictionary_encode()
+                names = _named(found.dictionary)
+                rank = np.array([ranks.get(w, -1) for w in names], dtype=np.int32)
+                index = found.indices.to_numpy(zero_copy_only=False)
+                ends = np.cumsum(sizes)  # of the texts' words
+                done = ends + np.arange(1, len(ends) + 1)  # with an end after each
+                at = 0
+                while at < part.num_rows:
+                    before = int(done[at - 1]) if at else 0
+                    to = min(part.num_rows, int(np.searchsorted(done, before + slice_tokens - size[held], "left")) + 1)
+                    ids, lengths, kept, tails = open_slices.setdefault(held, ([], [], [], {}))
+                    mine = index[int(ends[at - 1]) if at else 0 : int(ends[to - 1])]
+                    codes = rank[mine]
+                    if len(rare := np.flatnonzero(codes < 0)):
+                        each, of = np.unique(mine[rare], return_inverse=True)
+                        codes[rare] = np.array([end + 1 + tails.setdefault(names[k], len(tails)) for k in each.tolist()], dtype=np.int32)[of]
+                    whole = np.full(int(done[to - 1]) - before, end, dtype=np.int32)
+                    is_word = np.ones(len(whole), dtype=bool)
+                    is_word[done[at:to] - before - 1] = False
+                    whole[is_word] = codes
+                    ids.append(part.column(0).slice(at, to - at).cast(kind))
+                    lengths.append(sizes[at:to] + 1)
+                    kept.append(whole)
+                    size[held] += len(whole)
+                    if size[held] >= slice_tokens:
+                        size[held] = 0
+                        yield out(held)
+                    at = to
         for held in list(open_slices):
             yield out(held)
 
-    shape = f"slice long, held_out boolean, ids array<{id_type.simpleString()}>, sizes array<long>, codes binary, tails array<binary>"
+    shape = f"slice long, held_out boolean, ids array<{id_type.simpleString()}>, sizes array<long>, codes binary, kinds binary, tails binary"
     return given.mapInArrow(encode, shape).withColumn("slice", F.shiftleft(F.spark_partition_id().cast("long"), 36) + F.col("slice"))
 
 
-def _arrays(batches: Iterator[pa.RecordBatch], n_hot: int, of: np.ndarray, end_class: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each slice of (codes, rare, ...): its row, codes, their classes and the rare words' classes; without any yet, rare is empty and they are -1."""
+def _arrays(batches: Iterator[pa.RecordBatch], n_hot: int, of: np.ndarray, end_class: int, unmet: int = -1) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each slice of (codes, kinds, met, ...): its row, codes, their classes, the tail classes and the counts of its rare words. Words that met doesn't hold are of class unmet and count zero."""
     for batch in batches:
         for i in range(batch.num_rows):
             seq = _numbers(batch.column(0)[i].as_buffer(), 4)
-            rare = batch.column(1)[i].values.to_numpy(zero_copy_only=False).astype(np.int64)
-            if not len(rare):
-                rare = np.full(max(0, int(seq.max()) - n_hot), -1, dtype=np.int64)
-            yield batch.slice(i, 1), seq, np.concatenate([of, [end_class], rare])[seq], rare
+            kinds = np.frombuffer(batch.column(1)[i].as_buffer(), dtype=np.uint8).astype(np.int64)
+            rare, times = np.full(len(kinds), unmet, dtype=np.int64), np.zeros(len(kinds), dtype=np.int64)
+            if len(met := batch.column(2)[i].values):
+                k, cls, c = (_unpacked(x, kind)[0] for x, kind in zip(met.flatten(), ("<i4", "<i4", "<i8")))
+                rare[k], times[k] = cls, c
+            yield batch.slice(i, 1), seq, np.concatenate([of, [end_class], rare])[seq], kinds, times
 
 
 def _cells(n: np.ndarray) -> pa.RecordBatch:
@@ -276,22 +329,19 @@ def transitions(state: DataFrame, of: np.ndarray, once: np.ndarray, tail: np.nda
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, once, tail = sent.value
         n = np.zeros(2 * total * total, dtype=np.int64)
-        for row, seq, cls, rare in _arrays(batches, n_hot, of, size - 1):
-            times = row.column(2)[0].values.to_numpy(zero_copy_only=False)
-            single = times == 1 if len(times) else np.zeros(len(rare), dtype=bool)
-            new = np.concatenate([once, [False], single])[seq]
+        for _, seq, cls, kinds, times in _arrays(batches, n_hot, of, size - 1):
+            new = np.concatenate([once, [False], times == 1])[seq]
             x, y = cls[:-1], cls[1:]
             seen = (x >= 0) & (y >= 0)
             n += np.bincount(((new[1:] * total + x) * total + y)[seen], minlength=len(n))
             if new.any():
-                tails = np.array([_tail(w) for w in row.column(3)[0].as_py()], dtype=np.int64)
-                apart = size + np.concatenate([tail, [0], tails])[seq]
+                apart = size + np.concatenate([tail, [0], kinds])[seq]
                 for a, b, here in ((apart[:-1], y, new[:-1]), (x, apart[1:], new[1:]), (apart[:-1], apart[1:], new[:-1] & new[1:])):
                     at = np.flatnonzero(here & seen)
                     n += np.bincount((new[1:][at] * total + a[at]) * total + b[at], minlength=len(n))
         yield _cells(n)
 
-    cells = state.where("NOT held_out").select("codes", "rare", "times", "tails").mapInArrow(run, "cell int, n long")
+    cells = state.where("NOT held_out").select("codes", "kinds", "met").mapInArrow(run, "cell int, n long")
     return _collected(cells, 2 * total * total).reshape(2, total, total)
 
 
@@ -300,7 +350,9 @@ def move_hot(state: DataFrame, of: np.ndarray, table: np.ndarray, marks: np.ndar
     spark = state.sparkSession
     size, n_hot = len(table), len(of)
     width = 2 * size
-    sent = spark.sparkContext.broadcast((of, table, marks))
+    moving = np.zeros(n_hot + 1, dtype=bool)  # of others, moves() would give the class that they have
+    moving[ranks] = (of[ranks] < 0) | (marks[ranks] // 64 % 2 == turn % 2)
+    sent = spark.sparkContext.broadcast((of, table, marks, moving))
 
     def packed(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         blocks, first = np.unique(keys // (width * _BLOCK), return_index=True)
@@ -310,12 +362,12 @@ def move_hot(state: DataFrame, of: np.ndarray, table: np.ndarray, marks: np.ndar
         return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(made[0], pa.binary()), pa.array(made[1], pa.binary())], names=["block", "cells", "n"])
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, kept, held = sent.value[0], [], 0
-        for _, seq, cls, _ in _arrays(batches, n_hot, of, size - 1):
-            seq = seq.astype(np.int64)
-            for w, x, side in ((seq[:-1], cls[1:], 0), (seq[1:], cls[:-1], size)):
-                keep = (w >= ranks.start) & (w < ranks.stop) & (x >= 0)
-                kept.append(w[keep] * width + side + x[keep])
+        (of, _, _, moving), kept, held = sent.value, [], 0
+        for _, seq, cls, _, _ in _arrays(batches, n_hot, of, size - 1):
+            may = moving[np.minimum(seq, n_hot)]
+            for w, m, x, side in ((seq[:-1], may[:-1], cls[1:], 0), (seq[1:], may[1:], cls[:-1], size)):
+                keep = np.flatnonzero(m & (x >= 0))
+                kept.append(w[keep].astype(np.int64) * width + side + x[keep])
                 held += len(kept[-1])
             if held > 2_000_000:
                 yield packed(*np.unique(np.concatenate(kept), return_counts=True))
@@ -336,7 +388,7 @@ def move_hot(state: DataFrame, of: np.ndarray, table: np.ndarray, marks: np.ndar
         yield packed(block * _BLOCK * width + at, n[at])
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, table, marks = sent.value
+        of, table, marks, _ = sent.value
         block, n = summed(batches)
         cells = np.flatnonzero(n)
         inner, starts = np.unique(cells // width, return_index=True)
@@ -344,7 +396,7 @@ def move_hot(state: DataFrame, of: np.ndarray, table: np.ndarray, marks: np.ndar
         to = moves(table, starts, cells % width, n[cells], of[code], marks[code], turn)
         yield pa.RecordBatch.from_arrays([pa.array(code, pa.int32()), pa.array(to, pa.int32())], names=["code", "cls"])
 
-    source = state.where("NOT held_out").select("codes", "rare")
+    source = state.where("NOT held_out").select("codes", "kinds", "met")
     cells = source.mapInArrow(tally, "block int, cells binary, n binary")
     salts = source.rdd.getNumPartitions() // 64
     if salts > 1:  # a block's sums come from every partition: no task reads more than some 64 partitions' of them
@@ -357,55 +409,76 @@ def move_hot(state: DataFrame, of: np.ndarray, table: np.ndarray, marks: np.ndar
     return to
 
 
-def place_rare(state: DataFrame, of: np.ndarray, table: np.ndarray) -> DataFrame:
-    """word, c, cls of each training word that isn't hot: the class at which exchange inserts it, given those of its neighbours.
+def place_rare(state: DataFrame, of: np.ndarray, table: np.ndarray, buckets: int) -> DataFrame:
+    """slice, met: of each word in the slice's tails its place k, cls and count c in training, by _packed(). The class is that at
+    which exchange inserts the word, given those of its neighbours; -2, and the count 0, if it isn't in training.
 
-    A worker sums a word's neighbours within a slice, Spark by word and neighbour's class, so a word's group has as many
-    rows as there are classes on both sides, however frequent it is.
+    A worker sums a word's neighbours within a slice. A word goes to one of the buckets, where these sums are summed again
+    as they come in: a bucket holds each word once, with the classes on both sides, however frequent it is.
     """
     size, n_hot = len(table), len(of)
     classes, none = size - 1, 2 * size  # none: the key of a neighbour without a class
+    width = none + 1
     sent = state.sparkSession.sparkContext.broadcast((of, table))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = sent.value[0]
-        for row, seq, cls, _ in _arrays(batches, n_hot, of, classes):
-            here = np.flatnonzero(seq > n_hot)
-            if not len(here):
-                continue
-            after, before, word = cls[here + 1], cls[here - 1], (seq[here] - n_hot - 1).astype(np.int64) * (none + 1)
+        for row, seq, cls, _, _ in _arrays(batches, n_hot, of, classes):
+            words = row.column(3)[0].as_py().split(b" ")
+            to = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+            order = np.argsort(to, kind="stable")
+            there, first = np.unique(to[order], return_index=True)
+            cuts = np.append(first, len(order))
+            place = np.empty(len(order), dtype=np.int64)
+            place[order] = np.arange(len(order))
+            here = np.flatnonzero(seq > n_hot) if not row.column(5)[0].as_py() else np.zeros(0, dtype=np.int64)
+            after, before, word = cls[here + 1], cls[here - 1], place[seq[here] - n_hot - 1] * width
             keys, n = np.unique(np.concatenate([word + np.where(after < 0, none, after), word + np.where(before < 0, none, size + before)]), return_counts=True)
-            words = row.column(2)[0].values.take(pa.array(keys // (none + 1)))
-            yield pa.RecordBatch.from_arrays([words, pa.array((keys % (none + 1)).astype(np.int32)), pa.array(n)], names=["word", "key", "n"])
+            own = np.searchsorted(keys, cuts * width)
+            each = np.bincount(keys // width, minlength=len(order))
+            names = [words[k] for k in order.tolist()]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(there, pa.int64()), pa.array(np.full(len(there), row.column(4)[0].as_py()), pa.int64()), _packed(order, cuts, "<i4"), pa.array([b" ".join(names[a:b]) for a, b in zip(cuts.tolist(), cuts[1:].tolist())], pa.binary()),
+                    _packed(each, cuts, "<i4"), _packed(keys % width, own, "<i4"), _packed(n, own, "<i4"),
+                ],
+                names=["bucket", "slice", "k", "words", "each", "keys", "n"],
+            )
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, table = sent.value
-        for batch in batches:
-            found = batch.column(1)
-            each = np.asarray(found.value_lengths())
-            word = np.repeat(np.arange(len(each)), each)
-            entries = found.flatten()
-            keys, n = entries.field("key").to_numpy(zero_copy_only=False), entries.field("n").to_numpy(zero_copy_only=False)
-            c = np.bincount(word, weights=n, minlength=len(each)).astype(np.int64) // 2
-            marks = np.array([zlib.crc32(w) for w in batch.column(0).to_pylist()], dtype=np.int64)
-            to = marks % classes
-            keep = keys < none
-            inner, starts = np.unique(word[keep], return_index=True)
-            to[inner] = moves(table, starts, keys[keep], n[keep], np.full(len(inner), -1), marks[inner], 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c), pa.array(to, pa.int32())], names=["word", "c", "cls"])
-
-    seen = state.where("NOT held_out AND size(tails) > 0").select("codes", "rare", "tails").mapInArrow(tally, "word binary, key int, n long")
-    sums = seen.groupBy("word", "key").agg(F.sum("n").alias("n")).groupBy("word").agg(F.sort_array(F.collect_list(F.struct("key", "n"))).alias("found"))
-    return sums.mapInArrow(best, "word binary, c long, cls int")
-
-
-def annotated(encoded: DataFrame, classes_of: DataFrame) -> DataFrame:
-    """encoded with rare and times, the classes and counts of tails: -2 and 0 for a word that is not in training."""
-    words = encoded.where("size(tails) > 0").select("slice", F.posexplode("tails").alias("k", "word"))
-    met = words.join(classes_of, "word", "left").select("slice", F.struct("k", F.coalesce("cls", F.lit(-2)).alias("cls"), F.coalesce("c", F.lit(0).cast("long")).alias("c")).alias("x"))
-    by_slice = met.groupBy("slice").agg(F.sort_array(F.collect_list("x")).alias("x"))
-    empty = lambda x, t: F.coalesce(F.col(x), F.array().cast(t))
-    return encoded.join(by_slice, "slice", "left").select(*encoded.columns, empty("x.cls", "array<int>").alias("rare"), empty("x.c", "array<bigint>").alias("times"))
+        table = sent.value[1]
+        ids: dict[bytes, int] = {}
+        back, cells, n, summed = [], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], 0
+
+        def sums() -> tuple[np.ndarray, np.ndarray]:
+            x, y = np.concatenate(cells), np.concatenate(n)
+            order = np.argsort(x, kind="stable")
+            x, y = x[order], y[order]
+            starts = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else order
+            return x[starts], np.add.reduceat(y, starts) if len(x) else y
+
+        for part in batches:
+            word = np.array([ids.setdefault(w, len(ids)) for w in b" ".join(part.column("words").to_pylist()).split(b" ")], dtype=np.int64)
+            each, cuts = _unpacked(part.column("each"), "<i4")
+            cells.append(np.repeat(word, each) * width + _unpacked(part.column("keys"), "<i4")[0])
+            n.append(_unpacked(part.column("n"), "<i4")[0].astype(np.int64))
+            back.append((part.column("slice"), part.column("k"), word.astype(np.int32), cuts))
+            if sum(map(len, cells)) > 2 * summed + 1_000_000:
+                x, y = sums()
+                cells, n, summed = [x], [y], len(x)
+        found, m = sums()
+        word, key = found // width, found % width
+        c = np.bincount(word, weights=m, minlength=len(ids)).astype(np.int64) // 2
+        marks = np.fromiter(map(zlib.crc32, ids), np.int64, len(ids))
+        to = np.where(c > 0, marks % classes, -2)
+        keep = key < none
+        inner, starts = np.unique(word[keep], return_index=True)
+        to[inner] = moves(table, starts, key[keep], m[keep], np.full(len(inner), -1), marks[inner], 0)
+        for slices, k, word, cuts in back:
+            yield pa.RecordBatch.from_arrays([slices, k, _packed(to[word], cuts, "<i4"), _packed(c[word], cuts, "<i8")], names=["slice", "k", "cls", "c"])
+
+    sums = state.where("length(tails) > 0").select("codes", "kinds", "met", "tails", "slice", "held_out").mapInArrow(tally, "bucket long, slice long, k binary, words binary, each binary, keys binary, n binary")
+    return sums.groupBy("bucket").applyInArrow(best, "slice long, k binary, cls binary, c binary").groupBy("slice").agg(F.collect_list(F.struct("k", "cls", "c")).alias("met"))
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held_out: str | None = None, clustered: int = CLUSTERED, classes: int | None = None, hot: int = HOT, rounds: int = ROUNDS, slice_tokens: int = SLICE_TOKENS) -> DataFrame:
@@ -452,18 +525,19 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held_out:
     def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(units * units, dtype=np.int64)
         for batch in batches:
-            for codes, tails in zip(batch.column(0), batch.column(1)):
-                kinds = np.array([seeds + _tail(w) for w in tails.as_py()], dtype=np.int64)
-                seq = np.concatenate([unit_of, kinds])[_numbers(codes.as_buffer(), 4)]
+            for codes, kinds in zip(batch.column(0), batch.column(1)):
+                tails = seeds + np.frombuffer(kinds.as_buffer(), dtype=np.uint8).astype(np.int64)
+                seq = np.concatenate([unit_of, tails])[_numbers(codes.as_buffer(), 4)]
                 n += np.bincount(seq[:-1] * units + seq[1:], minlength=units * units)
         yield _cells(n)
 
-    n = _collected(encoded.where("NOT held_out").select("codes", "tails").mapInArrow(bigrams, "cell int, n long"), units * units).reshape(units, units)
+    n = _collected(encoded.where("NOT held_out").select("codes", "kinds").mapInArrow(bigrams, "cell int, n long"), units * units).reshape(units, units)
     of, size = exchange(n, seeds, classes), classes + 1
-    # classes of hot words are on the driver, of all others in column rare, in the order of tails; -1: none yet, -2: not in training
+    # classes of hot words are on the driver, of all others in column met; -1: none yet, -2: not in training
     hot_class = np.full(n_hot, -1, dtype=np.int64)
     hot_class[:seeds] = of[:seeds]
-    state = encoded.withColumn("rare", F.array().cast("array<int>")).withColumn("times", F.array().cast("array<bigint>"))
+    unmet = F.array().cast("array<struct<k:binary,cls:binary,c:binary>>")
+    state = encoded.withColumn("met", unmet)
 
     if total:
         kept = None
@@ -480,17 +554,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held_out:
             if rounds <= 1 or likelihood(table) > kept[0]:
                 kept = (None, hot_class, table)
         _, hot_class, table = kept
-        rare_class = written(place_rare(state, hot_class, table), "rare")
+        rare = encoded.agg(F.coalesce(F.sum(F.length("kinds")), F.lit(0))).first()[0]  # held-out texts' words go there, too
+        met = place_rare(state, hot_class, table, 1 + max(min(BUCKETS, rare // 20_000), rare // BUCKET_WORDS))
         if clustered < n_hot:
             hot_class = move_hot(state, hot_class, table, hot_mark, 0, range(clustered, n_hot))
-        released(spark)
-        state = written(annotated(encoded, rare_class), "classes")
-        dropped(encoded, rare_class)
+        state = written(merged(encoded).join(met, "slice", "left").withColumn("met", F.coalesce("met", unmet)).drop("tails"), "classes")
+        dropped(encoded)
         counted = transitions(state, hot_class, freq == 1, hot_tail, size)
     else:
         counted = np.zeros((2, size + TAILS, size + TAILS))
         hot_class = np.zeros(n_hot, dtype=np.int64)
-        state = encoded.withColumn("rare", F.transform("tails", lambda x: F.lit(-2))).withColumn("times", F.transform("tails", lambda x: F.lit(0).cast("long")))
     discount = whole[2] / (whole[2] + 2 * whole[3] + 1)
     shares = counted[0] + counted[1] * np.where(np.arange(size + TAILS) < size, 1 - discount, discount)
     model = _probabilities(shares, np.arange(size + TAILS), classes)
@@ -504,26 +577,25 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held_out:
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, freq, class_size, new_size, model = numbers.value
-        for row, seq, cls, rare in _arrays(batches, n_hot, of, classes):
-            tails = row.column(3)[0].as_py()
-            times = np.concatenate([freq, [0.0], row.column(2)[0].values.to_numpy(zero_copy_only=False)])[seq]
+        for row, seq, cls, kinds, times in _arrays(batches, n_hot, of, classes, -2):
+            times = np.concatenate([freq, [0.0], times])[seq]
             word, new = seq != n_hot, cls == -2
             if new.any():
-                cls = np.where(new, size + np.concatenate([np.zeros(n_hot + 1, dtype=np.int64), [_tail(w) for w in tails]]).astype(np.int64)[seq], cls)
+                cls = np.where(new, size + np.concatenate([np.zeros(n_hot + 1, dtype=np.int64), kinds])[seq], cls)
             flat = np.where(word, np.log10(times + 1) - base_norm, end_flat)
             emit = np.zeros(len(seq))
             emit[new] = -new_size[cls[new] - size]
             old = word & ~new
             emit[old] = np.log10(np.maximum(times[old] - discount * (times[old] == 1), 1e-9)) - class_size[cls[old]]
             emit[1:] += model[cls[:-1], cls[1:]]
-            sizes = row.column(6)[0].values.to_numpy()
+            sizes = row.column(5)[0].values.to_numpy()
             starts = np.cumsum(sizes) - sizes
             flat, emit, known = (np.add.reduceat(x[1:], starts) for x in (flat, emit, np.where(word, times > 0, end_known).astype(np.int64)))
-            held = pa.array(np.full(len(sizes), row.column(4)[0].as_py()))
-            yield pa.RecordBatch.from_arrays([row.column(5)[0].values, held, pa.array(sizes), pa.array(flat), pa.array(emit), pa.array(known)], names=["id", "held_out", "n_tokens", "base_score", "score", "known"])
+            held = pa.array(np.full(len(sizes), row.column(3)[0].as_py()))
+            yield pa.RecordBatch.from_arrays([row.column(4)[0].values, held, pa.array(sizes), pa.array(flat), pa.array(emit), pa.array(known)], names=["id", "held_out", "n_tokens", "base_score", "score", "known"])
 
     id_type = given.schema["id"].dataType.simpleString()
-    scored = state.select("codes", "rare", "times", "tails", "held_out", "ids", "sizes").mapInArrow(scores, f"id {id_type}, held_out boolean, n_tokens long, base_score double, score double, known long")
+    scored = state.select("codes", "kinds", "met", "held_out", "ids", "sizes").mapInArrow(scores, f"id {id_type}, held_out boolean, n_tokens long, base_score double, score double, known long")
     final = F.col("score") if total else F.col("base_score")
     return scored.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),

@@ -342,6 +342,14 @@ def test_lm_score_is_the_same_however_words_travel(docs):
     assert a == b
 
 
+def test_lm_score_is_the_same_whatever_the_buckets(docs, monkeypatch):
+    got = []
+    for most in (250_000, 20):
+        monkeypatch.setattr(brown_lm, "BUCKET_WORDS", most)
+        got.append(sorted(repr(tuple(r)) for r in brown_lm.score(docs, hot=6, clustered=4, classes=2, slice_tokens=300).collect()))
+    assert got[0] == got[1]
+
+
 def test_lm_is_a_distribution():
     """Over a closed vocabulary the model's shares sum to one after any class."""
     n = np.array([[5, 2, 1, 1], [3, 0, 2, 4], [1, 3, 1, 0], [0, 4, 1, 0]], dtype=float)
@@ -382,6 +390,34 @@ def test_lm_clusters_rare_words_too(spark):
         assert got[900]["score"] > got[901]["score"] + 1  # ten times as likely where a word of kind a belongs
 
 
+def test_lm_words_are_those_of_bytes():
+    import pyarrow as pa
+
+    texts = [None, "", " ", "\x00 \x00a", *(f" A{chr(i)}bÉ{chr(i)}" for i in range(128)), "\x85 \xa0 É", "a  B\n\n"]
+    words, sizes = brown_lm._words(pa.array(["left out", *texts])[1:])
+    want = [(t or "").encode().lower().split() for t in texts]
+    assert sizes.tolist() == [len(w) for w in want] and words.to_pylist() == [x for w in want for x in w]
+
+
+def test_lm_rare_words_travel_packed(spark):
+    """Words that aren't hot go to their buckets and back in a row for each slice and bucket, not in one for each word and neighbour."""
+    texts = [" ".join(f"w{(7 * i + j) % 3000}" for j in range(600)) for i in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4).localCheckpoint()
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+
+    def records():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = stages()
+        return sum(found.apply(i).shuffleWriteRecords() for i in range(found.size()))
+
+    before = records()
+    brown_lm.counts(docs).collect()
+    counted = records() - before
+    assert len(brown_lm.score(docs, hot=0, classes=2).collect()) == 40
+    assert records() - before - counted < 2 * counted
+
+
 def test_lm_edges(spark, docs, none):
     assert brown_lm.score(none).count() == 0
     held = docs.selectExpr("doc_id", "text", "true AS h")
