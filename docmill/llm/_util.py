@@ -82,8 +82,11 @@ def annotate(df: DataFrame, fields: Sequence[T.StructField], rows: Callable[...,
 
     names = {f.name.lower() for f in fields}
     kept = [f for f in df.schema.fields if f.name.lower() not in names]
-    source = df.select(*[F.col(f"`{f.name}`") for f in kept], *[F.col(f"`{c}`").alias(f"__input{k}") for k, c in enumerate(inputs)])
-    n = len(kept)
+    n, place = len(kept), {f.name: k for k, f in enumerate(kept)}
+    # a text goes to the worker once: an input that stays is read in its column
+    more = [c for c in dict.fromkeys(inputs) if c not in place]
+    source = df.select(*[F.col(f"`{f.name}`") for f in kept], *[F.col(f"`{c}`").alias(f"__input{k}") for k, c in enumerate(more)])
+    read = [place[c] if c in place else n + more.index(c) for c in inputs]
     kinds = [(f.name, to_arrow_type(f.dataType)) for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +96,7 @@ def annotate(df: DataFrame, fields: Sequence[T.StructField], rows: Callable[...,
             # small slices: Python copies of a few texts at a time, however long they are
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                made = zip(*rows(*[c.to_pylist() for c in part.columns[n:]]))
+                made = zip(*rows(*[part.column(k).to_pylist() for k in read]))
                 arrays = part.columns[:n] + [pa.array(v, type=k) for v, (_, k) in zip(made, kinds)]
                 yield pa.RecordBatch.from_arrays(arrays, names=part.schema.names[:n] + [x for x, _ in kinds])
 

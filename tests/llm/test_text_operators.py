@@ -271,6 +271,26 @@ def test_language_sample_is_of_usable_distinct_texts(spark):
     assert (model.weights == once.weights).all()  # copies don't outweigh other texts
 
 
+def test_texts_go_to_workers_once(spark):
+    rows = [(i, f"{i} " + "some words " * 200) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+
+    def sent(df) -> int:
+        todo = [df._jdf.queryExecution().executedPlan()]
+        while todo:
+            node = todo.pop()
+            if node.metrics().contains("pythonDataSent"):
+                return node.metrics().apply("pythonDataSent").value()
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+        raise AssertionError("no Python in the plan")
+
+    size = sum(len(t) for _, t in rows)
+    model = language_id.train(df.selectExpr("'en' lang", "text"))
+    for made in (language_id.predict(df, model), language_id.predict(df.withColumnRenamed("text", "Lang_Pred"), model, "Lang_Pred")):  # also where the result takes the text's place
+        assert [r["lang_pred"] for r in made.collect()] == ["en"] * 300
+        assert size <= sent(made) < 1.5 * size
+
+
 def test_codewords():
     for n in (2, 3, 4, 7, 12, 60):
         m = language_id.codewords(n)
