@@ -33,10 +33,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read back: later readers neither recompute it nor depend on executors that wrote it."""
+def written(df: DataFrame, name: str, **options: int) -> DataFrame:
+    """df as a table in the shared folder, read back: later readers neither recompute it nor depend on executors that wrote it. options: Parquet's."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._scratch = path
     return back

@@ -20,11 +20,12 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.llm._util import dropped, merged, released, remainder, written
@@ -41,6 +42,35 @@ _BLOCK = 512  # hot words whose neighbours' counts travel in a row
 SLICE_TOKENS = 1 << 17
 _END = b"\x00"  # stands for the end in counts; no word can be it, see _named
 _CHUNK = 1 << 22  # bytes of text that are split at a time
+#: Bytes of a batch that goes to a worker: one of texts is a chunk, if its last text is not too long.
+LOT = _CHUNK * 15 // 16
+#: Slices that are read, or in a page of a file, at a time. One has some MB.
+LOT_SLICES = 8
+
+
+@contextmanager
+def _lots(spark: SparkSession) -> Iterator[None]:
+    """Jobs in here send batches of some LOT bytes, of a row at least. By Spark's limit of 64 MB a batch is most of a
+    partition, which an executor holds outside its heap for each of its tasks."""
+    limits = {"spark.sql.execution.arrow.maxBytesPerBatch": str(LOT), "spark.sql.parquet.columnarReaderBatchSize": str(LOT_SLICES)}
+    before = {k: spark.conf.get(k, None) for k in limits}
+    for k, v in limits.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _stored(df: DataFrame, name: str, **options: int) -> DataFrame:
+    with _lots(df.sparkSession):
+        return written(df, name, **options)
+
+
+def _stored_slices(df: DataFrame, name: str) -> DataFrame:
+    """A page of a column would else be all slices of a file."""
+    return _stored(df, name, **{"parquet.page.row.count.limit": LOT_SLICES})
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
@@ -315,7 +345,8 @@ def _cells(n: np.ndarray) -> pa.RecordBatch:
 
 def _collected(cells: DataFrame, size: int) -> np.ndarray:
     """Sums by cell, of a number of cells that the classes bound."""
-    got = cells.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    with _lots(cells.sparkSession):
+        got = cells.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     n = np.zeros(size)
     n[got["cell"].to_numpy(dtype=np.int64)] = got["n"].to_numpy()
     return n
@@ -402,7 +433,8 @@ def move_hot(state: DataFrame, of: np.ndarray, table: np.ndarray, marks: np.ndar
     if salts > 1:  # a block's sums come from every partition: no task reads more than some 64 partitions' of them
         salted = cells.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
         cells = salted.groupBy("block", "salt").applyInArrow(merge, "block int, cells binary, n binary")
-    got = cells.groupBy("block").applyInArrow(best, "code int, cls int").toPandas()
+    with _lots(spark):
+        got = cells.groupBy("block").applyInArrow(best, "code int, cls int").toPandas()
     to = of.copy()
     to[ranks] = np.where(of[ranks] < 0, marks[ranks] % (size - 1), of[ranks])  # without a neighbour that has a class
     to[got["code"].to_numpy()] = got["cls"].to_numpy()
@@ -493,7 +525,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held_out:
     spark = docs.sparkSession
     out = remainder(id_col, 7) == 2 if held_out is None else F.coalesce(F.col(f"`{held_out}`"), F.lit(False))
     given = docs.select(F.col(f"`{id_col}`").alias("id"), out.alias("held_out"), F.col(f"`{text}`").cast("string").alias("text"))
-    c = written(counts(given.where("NOT held_out")), "counts")
+    c = _stored(counts(given.where("NOT held_out")), "counts")
 
     whole = c.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), *(F.count(F.when(F.col("c") == k, 1)) for k in (1, 2))).first()
     total, distinct = int(whole[0]), int(whole[1])
@@ -515,7 +547,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held_out:
     clustered, n_hot = min(clustered, len(words)), len(words)
     hot_tail = np.array([_tail(w) for w in words], dtype=np.int64)
     hot_mark = np.array([zlib.crc32(w) for w in words], dtype=np.int64)
-    encoded = written(encoded_slices(given, words, slice_tokens), "encoded")
+    encoded = _stored_slices(encoded_slices(given, words, slice_tokens), "encoded")
 
     # to start with, unit of a token: a seed's rank; seeds + its tail class for any other word; the last for the end
     seeds = min(SEEDS, clustered)
@@ -558,7 +590,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held_out:
         met = place_rare(state, hot_class, table, 1 + max(min(BUCKETS, rare // 20_000), rare // BUCKET_WORDS))
         if clustered < n_hot:
             hot_class = move_hot(state, hot_class, table, hot_mark, 0, range(clustered, n_hot))
-        state = written(merged(encoded).join(met, "slice", "left").withColumn("met", F.coalesce("met", unmet)).drop("tails"), "classes")
+        state = _stored_slices(merged(encoded).join(met, "slice", "left").withColumn("met", F.coalesce("met", unmet)).drop("tails"), "classes")
         dropped(encoded)
         counted = transitions(state, hot_class, freq == 1, hot_tail, size)
     else:
@@ -595,7 +627,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held_out:
             yield pa.RecordBatch.from_arrays([row.column(4)[0].values, held, pa.array(sizes), pa.array(flat), pa.array(emit), pa.array(known)], names=["id", "held_out", "n_tokens", "base_score", "score", "known"])
 
     id_type = given.schema["id"].dataType.simpleString()
-    scored = state.select("codes", "kinds", "met", "held_out", "ids", "sizes").mapInArrow(scores, f"id {id_type}, held_out boolean, n_tokens long, base_score double, score double, known long")
+    scored = _stored(state.select("codes", "kinds", "met", "held_out", "ids", "sizes").mapInArrow(scores, f"id {id_type}, held_out boolean, n_tokens long, base_score double, score double, known long"), "scores")
+    dropped(state if total else encoded)
     final = F.col("score") if total else F.col("base_score")
     return scored.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),

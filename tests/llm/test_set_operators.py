@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from docmill.llm import ann, brown_lm, chat, html_extract, queries, simhash
@@ -418,6 +419,28 @@ def test_lm_rare_words_travel_packed(spark):
     assert records() - before - counted < 2 * counted
 
 
+def test_lm_texts_and_slices_travel_in_small_lots(spark, tmp_path, monkeypatch):
+    """Batches of texts are bounded by bytes while score() runs, all of its jobs over slices have the bound, and the session keeps its own."""
+    def watched(batches):
+        for batch in batches:
+            with (tmp_path / "sent").open("a") as f:
+                f.write(f"{batch.nbytes}\n")
+            yield batch
+
+    key, text = "spark.sql.execution.arrow.maxBytesPerBatch", "word other words " * 30_000  # 0.5 MB
+    docs = spark.range(0, 64, 1, 1).select("id", F.concat(F.lit(text), F.col("id").cast("string")).alias("text")).mapInArrow(watched, "id long, text string")
+    bounds = []
+    for at, name in ((brown_lm, "written"), (type(docs), "toPandas")):
+        f = getattr(at, name)
+        monkeypatch.setattr(at, name, lambda df, *a, f=f, **k: (bounds.append(spark.conf.get(key)), f(df, *a, **k))[1])
+    before = spark.conf.get(key)
+    got = brown_lm.score(docs, id_col="id", classes=2).collect()
+    assert sorted(r["id"] for r in got) == [*range(64)] and {r["n_tokens"] for r in got} == {90_002}
+    sent = [int(x) for x in (tmp_path / "sent").read_text().split()]
+    assert sum(sent) >= 2 * 64 * len(text) and max(sent) <= brown_lm.LOT + 1.1 * len(text)
+    assert len(bounds) > 8 and {*bounds} == {str(brown_lm.LOT)} and spark.conf.get(key) == before
+
+
 def test_lm_edges(spark, docs, none):
     assert brown_lm.score(none).count() == 0
     held = docs.selectExpr("doc_id", "text", "true AS h")
