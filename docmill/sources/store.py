@@ -222,19 +222,25 @@ class Store:
         is one commit.
         """
         lines = bulk_source.lines(self.spark, bodies) if isinstance(bodies, str) else bulk_source.of_strings(self.spark, bodies)
-        parsed = f"{self.root}/_bulk/{uuid.uuid4().hex}"
+        scratch = f"{self.root}/_bulk/{uuid.uuid4().hex}"
+
+        def written(df: DataFrame, part: str) -> DataFrame:
+            df.write.parquet(f"{scratch}/{part}")
+            return self.spark.read.schema(df.schema).parquet(f"{scratch}/{part}")
+
         try:
-            bulk_source.items(lines, index).write.parquet(parsed)
-            found = self.spark.read.parquet(parsed)
+            chunks = written(bulk_source.in_chunks(lines), "chunks")
+            found = bulk_source.whole(written(bulk_source.items(chunks, written(bulk_source.carried(chunks), "carry"), index), "items"))
             names = [r[0] for r in found.select("index").distinct().collect()]  # as many as indices named
             if None in names:
                 first = found.where("index IS NULL").orderBy("file", "item").first()
                 raise RequestError(f"bulk: the item at line {first['item'] + 1} names no index")
             for name in names:
                 self.settings(name)
-            return {name: self.apply(name, numbered(found.where(F.col("index") == name))) for name in sorted(names)}
+            parts = {name: found.where(F.col("index") == name) for name in sorted(names)}
+            return {name: self.apply(name, numbered(part, written(files_in_order(part), f"files-{i}"))) for i, (name, part) in enumerate(parts.items())}
         finally:
-            self.files.remove(parsed)
+            self.files.remove(scratch)
 
     def put(self, name: str, source: Mapping | str, id: str | None = None, routing: str | None = None, create: bool = False) -> dict:
         """Write one document."""
@@ -430,11 +436,14 @@ class Store:
 OPS = "op string, id string, routing string, source string, _seq long, _error string"
 
 
-def numbered(items: DataFrame) -> DataFrame:
-    """Bulk items as operations: _seq is the place of a file among the files, then of a line in it."""
-    files = items.select("file").distinct()
+def files_in_order(items: DataFrame) -> DataFrame:
+    """file, __file of each file of items, numbered by name."""
     # as many rows as request bodies
-    order = files.withColumn("__file", F.expr("row_number() OVER (ORDER BY file)") - 1)
+    return items.select("file").distinct().withColumn("__file", F.expr("row_number() OVER (ORDER BY file)") - 1)
+
+
+def numbered(items: DataFrame, order: DataFrame) -> DataFrame:
+    """Bulk items as operations: _seq is the place of a file among the files, then of a line in it."""
     return items.join(order, "file").select("op", "id", "routing", "source", (F.col("__file").cast("long") * (1 << 32) + F.col("item")).alias("_seq"), F.col("error").alias("_error"))
 
 

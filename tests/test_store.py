@@ -256,3 +256,43 @@ def test_writers_merge_many_deltas(spark, tmp_path):
     assert rows[1]["pins"] == 1 and sum(r["pins"] for r in rows.values()) == 1 and rows[m.generation]["base"] == list(m.base)
     with pytest.raises(RequestError):
         store.search("books", {"read_preference": "none"})
+
+
+def test_bulk_lines_over_blocks_and_chunks(spark, tmp_path, monkeypatch):
+    """One file is read by several tasks, and its lines' roles follow from all lines before, wherever chunks end."""
+    import random
+
+    from docmill.sources import bulk
+
+    def naive(body: str) -> list[tuple]:
+        dense, out = [(i, x) for i, x in enumerate(x.removesuffix("\r") for x in body.split("\n")) if x.strip(" ")], []
+        document = False
+        for (i, x), (j, y) in zip(dense, [*dense[1:], (None, None)]):
+            deletes = x.startswith('{"delete"')
+            if not document:
+                op = next((n for n in ("index", "create", "delete") if x.startswith(f'{{"{n}"')), None)
+                out.append((i, op, y if op in ("index", "create") else None, not deletes and j is not None and j - i > 1))
+            document = not document and not deletes
+        return out
+
+    monkeypatch.setattr(bulk, "CHUNK_BITS", 1)
+    for seed, deletes in enumerate((0, 0.05, 0.3)):
+        r, bodies, at = random.Random(seed), {}, tmp_path / f"{seed}"
+        at.mkdir()
+        for f in "abc":
+            kinds = ['{"delete": {"_id": "%d"}}' if r.random() < deletes else r.choice(('{"index": {"_id": "%d"}}', '{"create": {"_id": "%d"}}', '{"n": %d}', '{"n": %d}\r')) for _ in range(150)]
+            bodies[f] = "".join(k % i + "\n" * r.choice((1, 1, 1, 1, 2, 5)) for i, k in enumerate(kinds))
+            (at / f).write_bytes(bodies[f].encode())
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            bulk.lines(spark, str(at)).write.parquet(f"{at}-lines")
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        rows = spark.read.parquet(f"{at}-lines")
+        assert rows.where("file LIKE '%/a'").select("block").distinct().count() > 2
+        chunks = bulk.in_chunks(rows)
+        got = bulk.items(chunks, bulk.carried(chunks), "books").orderBy("file", "item").collect()
+        for f, body in bodies.items():
+            assert [(g["item"], g["op"], g["source"], g["torn"]) for g in got if g["file"].endswith(f"/{f}")] == naive(body)
