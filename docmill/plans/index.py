@@ -60,12 +60,15 @@ def of_sources(df: DataFrame, mappings: Mapping[str, FieldMapping]) -> DataFrame
     _error tells of JSON that is no object and of the first field whose value its type refuses.
     """
     parsed = df.withColumn("__v", F.try_parse_json("_source"))
-    shaped = C.kind(F.col("__v")).startswith("OBJECT")
-    variants = {n: C.field(F.col("__v"), n) for n in mappings}
+    # what parses and begins with a brace is an object: its kind would name every key of it
+    shaped = F.col("__v").isNotNull() & F.coalesce(F.col("_source").rlike(r"^[ \t\r\n]*\{"), F.lit(False))
+    # each value is looked up once, not once for each form that it may have
+    fields = parsed.withColumns({f"__v_{i}": C.field(F.col("__v"), n) for i, n in enumerate(mappings)}) if mappings else parsed
+    variants = {n: F.col(f"__v_{i}") for i, n in enumerate(mappings)}
     values = {n: C.coerced(variants[n], m) for n, m in mappings.items()}
-    typed = parsed.withColumns({n: v for n, v in values.items()}) if values else parsed
+    typed = fields.withColumns({n: v for n, v in values.items()}) if values else fields
     wrong = [F.when(C.invalid(variants[n], F.col(f"`{n}`"), m), F.lit(f"field {n}: no valid {m.type}")) for n, m in mappings.items()]
     names = F.array_compact(F.array(*[F.when(C.present(variants[n]), F.lit(n)) for n in mappings])) if mappings else F.array().cast("array<string>")
     made = typed.withColumns({"_field_names": names, "_error": F.coalesce(F.when(~shaped, F.lit("the document is no JSON object")), *wrong, F.lit(None).cast("string"))})
     tokens = {f"_tok_{n}": analyzer(m.analyzer).column(F.col(f"`{n}`")) for n, m in mappings.items() if m.type == "text" and m.indexed}
-    return (made.withColumns(tokens) if tokens else made).drop("__v")
+    return (made.withColumns(tokens) if tokens else made).drop("__v", *[f"__v_{i}" for i in range(len(mappings))])

@@ -155,7 +155,7 @@ class Store:
         """The documents of a generation (the latest), as an index to search. One that is gone is empty."""
         m = self.manifest(name, generation)
         base = self._read(name, m.base, False)
-        docs = merged(base, self._read(name, m.deltas, True)) if m.deltas else base
+        docs = merged(base, self._read(name, m.deltas, True), len(m.deltas) > 1) if m.deltas else base
         return Index(name, self.mappings(name), docs, self.settings(name)["shards"])
 
     # -- writes
@@ -173,25 +173,32 @@ class Store:
         named = ops.withColumn("_id", F.coalesce("id", F.concat(F.lit("auto-"), F.expr("uuid()"))))
         key = F.coalesce(F.when(F.trim("routing") != "", F.col("routing")), F.col("_id"))
         placed = named.withColumns({"_index": F.lit(name), "_shard": shard(key, settings["shards"], name), "_source": F.col("source"), "_op": F.col("op")})
-        # random ids must be the same in every pass over them
-        staged = self._folder(name)
-        placed.select("_id", "_index", "_shard", "_seq", "_source", "_op", "_error").write.parquet(staged)
-        rows = self.spark.read.schema("_id string, _index string, _shard int, _seq long, _source string, _op string, _error string").parquet(staged)
-        typed = of_sources(rows.withColumn("__given", F.col("_error")).drop("_error"), mappings)
+        typed = of_sources(placed.select("_id", "_index", "_shard", "_seq", "_source", "_op", F.col("_error").alias("__given")), mappings)
         checked = typed.withColumn("_error", F.coalesce("__given", F.when(F.col("_op") != "delete", F.col("_error")))).drop("__given")
+        # random ids must be the same in every pass over them; documents are parsed once
+        staged = self._folder(name)
+        checked.write.parquet(staged)
+        rows = self.spark.read.schema(checked.schema).parquet(staged)
         for attempt in range(5):
             before = self.manifest(name)
             if batch and before.batches.get(batch[0], -1) >= batch[1]:
                 return None
-            shifted = checked.withColumn("_seq", F.col("_seq") + before.seq)
+            shifted = rows.withColumn("_seq", F.col("_seq") + before.seq)
             judged = outcomes(shifted, self._existing(name, before, shifted))
-            written = self._put(name, judged)
-            done = self.spark.read.schema(judged.schema).parquet(written)
-            last = latest(done.where("_effective")).drop("_status", "_result", "_effective", "_error")
-            delta = self._put(name, last)
+            # a document's columns are kept where they count only
+            kept = ("_seq", "_op", *KEY, "_status", "_result", "_last")
+            slim = judged.select(*kept, *[F.when(F.col("_last"), F.col(f"`{c}`")).alias(c) for c in judged.columns if c not in (*kept, "_effective", "_error")])
+            written = self._folder(name)
+            slim.write.parquet(written)
+            done = self.spark.read.schema(slim.schema).parquet(written)
+            empty = not (before.base or before.deltas)
+            # the first commit hides nothing and is the base
+            last = done.where(F.col("_last") & (F.col("_op") != "delete") if empty else F.col("_last")).drop("_status", "_result", "_last", *(["_op"] if empty else []))
+            put = self._put(name, last)
             top = rows.agg(F.max("_seq")).first()[0]
+            base, deltas = ((put,), ()) if empty else (before.base, (*before.deltas, put))
             try:
-                self._publish(name, before, before.base, (*before.deltas, delta), before.seq + (top if top is not None else -1) + 1, batch)
+                self._publish(name, before, base, deltas, before.seq + (top if top is not None else -1) + 1, batch)
             except Conflict:
                 if attempt == 4:
                     raise
@@ -208,11 +215,11 @@ class Store:
             except Conflict:
                 pass
 
-    def _existing(self, name: str, at: Manifest, ops: DataFrame) -> DataFrame:
-        """Keys of documents that a create of ops may meet. Without creates the table is not read; else its keys are cut to theirs, shard by shard."""
+    def _existing(self, name: str, at: Manifest, ops: DataFrame) -> DataFrame | None:
+        """Keys of documents that a create of ops may meet, None if there are none. Without creates the table is not read; else its keys are cut to theirs, shard by shard."""
         keys = ops.where("_op = 'create' AND _error IS NULL").select(*KEY).distinct()
         if not (at.base or at.deltas) or keys.isEmpty():
-            return keys.limit(0)
+            return None
         return self.index(name, at.generation).docs.select(*KEY).join(keys, list(KEY), "left_semi")
 
     def bulk(self, bodies: list[str] | str, index: str | None = None) -> dict[str, DataFrame]:

@@ -296,3 +296,18 @@ def test_bulk_lines_over_blocks_and_chunks(spark, tmp_path, monkeypatch):
         got = bulk.items(chunks, bulk.carried(chunks), "books").orderBy("file", "item").collect()
         for f, body in bodies.items():
             assert [(g["item"], g["op"], g["source"], g["torn"]) for g in got if g["file"].endswith(f"/{f}")] == naive(body)
+
+
+def test_the_first_commit_is_the_base_and_one_delta_is_not_sorted(store, spark):
+    from docmill.operators.write import latest
+
+    store.bulk([lines({"index": {"_id": "1"}}, {"pages": 1}, {"delete": {"_id": "2"}}, {"create": {"_id": "1"}}, {"pages": 2}, {"create": {"_id": "3"}}, {"pages": 3}, {"delete": {"_id": "3"}})], "books")
+    assert ids(store) == ["1"] and len(store.manifest("books").base) == 1 and not store.manifest("books").deltas
+    out = store.bulk([lines({"create": {"_id": "1"}}, {"pages": 4}, {"delete": {"_id": "1"}}, {"create": {"_id": "1"}}, {"pages": 5}, {"index": {"_id": "4"}}, {"pages": 6})], "books")["books"]
+    assert [r["status"] for r in out.collect()] == [409, 200, 201, 200]
+    docs = store.index("books").docs
+    assert {r["_id"]: r["pages"] for r in docs.collect()} == {"1": 5, "4": 6} and len(store.manifest("books").deltas) == 1
+    assert "Window" not in docs._jdf.queryExecution().executedPlan().toString()
+    # of several deltas no piece of a file is sorted as a whole: nothing is before the shuffle
+    plan = latest(spark.read.parquet(*store.manifest("books").deltas))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan[plan.index("Exchange") :]
