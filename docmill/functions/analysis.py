@@ -6,7 +6,8 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,9 +34,22 @@ def _without_stops(c: Column) -> Column:
     return F.filter(c, lambda x: ~x.isin(*STOP_WORDS))
 
 
-@F.pandas_udf(_TOKENS)
-def _stems(tokens: pd.Series) -> pd.Series:
-    return tokens.map(lambda ts: None if ts is None else [stem(t) for t in ts])
+def _lists(lengths: pa.Array, values: list[pa.Array]) -> pa.Array:
+    """Lists of the given lengths (null for a null list) of the values, one after the other."""
+    ends = pc.cumulative_sum(pc.fill_null(lengths, 0).cast(pa.int32()))
+    return pa.ListArray.from_arrays(pa.concat_arrays([pa.array([0], pa.int32()), ends]), pa.concat_arrays([pa.array([], pa.string()), *values]), mask=lengths.is_null())
+
+
+def _stems_of(words: pa.Array) -> pa.Array:
+    """The stem of each word, found once for each different one of 65,536 words: a batch's words are never all objects of Python."""
+    coded = words.dictionary_encode()
+    return pa.array([None if w is None else stem(w) for w in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
+
+
+@F.arrow_udf(_TOKENS)
+def _stems(tokens: pa.Array) -> pa.Array:
+    words = tokens.flatten()
+    return _lists(pc.list_value_length(tokens), [_stems_of(words.slice(at, 1 << 16)) for at in range(0, len(words), 1 << 16)])
 
 
 def _english_words(c: Column) -> Column:
@@ -59,10 +73,15 @@ _REGISTRY: dict[str, Analyzer] = {
 
 
 def register(name: str, column: Callable[[Column], Column] | None, tokens: Callable[[str], list[str]]) -> None:
-    """Add an analyzer. Without a column function its tokens run in a pandas UDF."""
+    """Add an analyzer. Without a column function its tokens run in an Arrow UDF, a text at a time."""
     if column is None:
-        udf = F.pandas_udf(lambda s: s.map(lambda x: None if x is None else list(tokens(x))), _TOKENS)
-        column = udf
+
+        def made(texts: pa.Array) -> pa.Array:
+            found = (None if x is None else pa.array(list(tokens(x)), pa.string()) for x in (y.as_py() for y in texts))
+            lists = [(None if ts is None else len(ts), ts) for ts in found]
+            return _lists(pa.array([n for n, _ in lists], pa.int32()), [ts for _, ts in lists if ts is not None])
+
+        column = F.arrow_udf(made, _TOKENS)
     _REGISTRY[_key(name)] = Analyzer(column, tokens)
 
 

@@ -77,3 +77,14 @@ def test_analyzers(spark):
     assert analyzer("stop").tokens("The fox") == ["fox"] and "run" in analyzer("english").tokens(text)
     with pytest.raises(RequestError):
         analyzer("nobody")
+
+
+def test_stems_of_a_batch_are_never_all_objects(monkeypatch):
+    import pyarrow as pa
+
+    from docmill.functions import analysis as A
+
+    rows, sizes, stems_of = [["running", "cats"] * 50_000, None, [], ["a", "ponies"]], [], A._stems_of
+    monkeypatch.setattr(A, "_stems_of", lambda words: sizes.append(len(words)) or stems_of(words))
+    assert A._stems.func(pa.array([["cut off"], *rows]).slice(1)).to_pylist() == [None if r is None else [A.stem(w) for w in r] for r in rows]
+    assert sum(sizes) == 100_002 and max(sizes) <= 65_536
